@@ -1,0 +1,5 @@
+"""Intentionally empty: every input of this engine is a finished table.
+
+Histories that grow match by match are window and day-prefix operators in
+``courtlens.operators``; there are no watermarks or late-data rules to express.
+"""

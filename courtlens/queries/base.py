@@ -33,8 +33,13 @@ def with_ctes(needs: str, body: str) -> str:
     for name in needs.split():
         _ordered(name, seen)
     parts = ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in seen)
-    recursive = "RECURSIVE " if any("UNION ALL" in CTES[n][1] and n.startswith("rec_") for n in seen) else ""
-    return f"WITH {recursive}{parts}\n{body.strip()}" if parts else body.strip()
+    body = body.strip()
+    if not parts:
+        return body
+    start = "WITH RECURSIVE" if any(n.endswith("paths") for n in seen) else "WITH"
+    if body.startswith("WITH "):
+        return f"{start} {parts},\n{body[5:]}"
+    return f"{start} {parts}\n{body}"
 
 
 def query(name: str, needs: str = "", sql: str | None = None):

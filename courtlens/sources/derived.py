@@ -96,6 +96,6 @@ def odds(spark: SparkSession, folder: str) -> DataFrame:
     """Bookmaker odds per match, in winner/loser order."""
     return _read(spark, folder, "orders").select(
         F.col("o_orderkey").alias("match_num"),
-        (F.lit(1.2) + (F.col("o_orderkey") % 40) / 20.0).alias("odds_winner"),
-        (F.lit(1.2) + ((F.col("o_orderkey") + 17) % 40) / 20.0).alias("odds_loser"),
+        (F.lit(1.2) + (F.col("o_orderkey") % 40) / 40.0).alias("odds_winner"),
+        (F.lit(1.2) + ((F.col("o_orderkey") + 17) % 40) / 40.0).alias("odds_loser"),
     )

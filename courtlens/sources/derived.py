@@ -99,3 +99,39 @@ def odds(spark: SparkSession, folder: str) -> DataFrame:
         (F.lit(1.2) + (F.col("o_orderkey") % 40) / 40.0).alias("odds_winner"),
         (F.lit(1.2) + ((F.col("o_orderkey") + 17) % 40) / 40.0).alias("odds_loser"),
     )
+
+
+HEADER = "Date\tTournament\tSurface\tRd\tRk\tvRk\t\tScore\tDR\tA%\tDF%\t1stIn\t1st%\t2nd%\tBPSvd\tTime"
+
+
+def pasted_texts(two_sided: DataFrame) -> DataFrame:
+    """The newest fifteen matches of every player as pasted text, half of them with a header line."""
+    from courtlens.functions.dates import as_date
+    from courtlens.operators.timeline import newest
+
+    def percent(num: str, den: str) -> str:
+        x = f"((1000*{num}) div {den})"
+        return f"CASE WHEN {den} <= 0 THEN '' ELSE concat({x} div 10, '.', {x} % 10, '%') END"
+
+    ratio = "((100*(player_1stWon+player_2ndWon)*opp_svpt) div (player_svpt*(opp_1stWon+opp_2ndWon)))"
+    own = "coalesce(cast(cast(player_rank as int) as string), '-')"
+    other = "coalesce(cast(cast(opponent_rank as int) as string), '-')"
+    verb = "CASE WHEN match_num % 23 = 0 THEN ' vs ' ELSE ' d. ' END"
+    me, you = f"concat('(', {own}, ')', player)", f"concat('(', {other}, ')', opponent)"
+    parts = [
+        "day_text", "tourney_name", "coalesce(surface, '')", "round", own, other,
+        f"CASE WHEN label = 1 THEN concat({me}, {verb}, {you}, ' [FRA]') ELSE concat({you}, ' [ESP]', {verb}, {me}) END",
+        "score",
+        f"CASE WHEN player_svpt*(opp_1stWon+opp_2ndWon) = 0 THEN '' ELSE concat({ratio} div 100, '.', lpad(cast({ratio} % 100 as string), 2, '0')) END",
+        percent("player_ace", "player_svpt"), percent("player_df", "player_svpt"), percent("player_1stIn", "player_svpt"),
+        percent("player_1stWon", "player_1stIn"), percent("player_2ndWon", "(player_svpt-player_1stIn)"),
+        "concat(player_bpSaved, '/', player_bpFaced)", "'1:45'",
+    ]
+    rows = newest(two_sided, ["player"], ["tourney_date", "match_num"], 15).withColumn(
+        "day_text", F.date_format(as_date(F.col("tourney_date")), "dd-MMM-yyyy"))
+    lined = rows.select("player", "recent_no", F.expr(f"concat_ws('\\t', {', '.join(parts)})").alias("line"))
+    texts = lined.groupBy("player").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("recent_no", "line"))), lambda x: x.line), "\n").alias("body"))
+    return texts.select(
+        F.expr("cast(substr(player, 10) as bigint)").alias("doc_id"), F.col("player").alias("player_name"),
+        F.when(F.expr("cast(substr(player, -1) as int) % 2 = 0"), F.concat(F.lit(HEADER + "\n"), "body")).otherwise(F.col("body")).alias("text"))

@@ -1,4 +1,4 @@
 """Imports every query family, which registers its queries."""
 
-from courtlens.queries import history, ledger, match_table, pasted, scoring, views  # noqa: F401
+from courtlens.queries import history, ledger, match_table, pasted, scoring, serving, views  # noqa: F401
 from courtlens.queries.base import RUNS, SQL  # noqa: F401

@@ -43,21 +43,3 @@ def last_values(values: Column, n: int) -> Column:
     """The newest ``n`` values (``slice`` alone is empty when there are fewer)."""
     size = F.size(values)
     return F.slice(values, F.greatest(size - F.lit(n - 1), F.lit(1)), n)
-
-
-def short_mean(values: Column) -> Column:
-    """Fixed-weight mean of at most three newest values.
-
-    With two values the two smallest weights apply, renormalised; one value stands for itself.
-    """
-    newest, middle, oldest = SHORT_WEIGHTS
-    size = F.size(values)
-    three = (
-        F.lit(oldest) * F.element_at(values, -3)
-        + F.lit(middle) * F.element_at(values, -2)
-        + F.lit(newest) * F.element_at(values, -1)
-    ) / F.lit(newest + middle + oldest)
-    two = (
-        F.lit(oldest) * F.element_at(values, -2) + F.lit(middle) * F.element_at(values, -1)
-    ) / F.lit(middle + oldest)
-    return F.when(size >= 3, three).when(size == 2, two).when(size == 1, F.element_at(values, -1))

@@ -75,36 +75,34 @@ def _header_labels(columns: Column, patterns) -> Column:
     return F.transform(columns, label)
 
 
-def column_map(header: Column, patterns) -> Column:
-    """Field name to column index; the later of two columns with one name wins.
+def _with_column_map(df: DataFrame, header: Column, patterns) -> DataFrame:
+    """Adds ``column_map``: field name to column index, the later of two columns with one name wins.
 
     The unnamed column between opponent rank and score is the match description.
     """
     columns = F.when(header.contains("\t"), F.split(header, "\t")).otherwise(F.split(header, f"{BLANK}{{2,}}"))
-    labels = _header_labels(columns, patterns)
-    places = F.transform(labels, lambda name, i: F.struct(name.alias("name"), i.alias("i")))
-    named = F.filter(places, lambda p: p["name"].isNotNull())
+    placed = df.withColumn("_labels", _header_labels(columns, patterns)).withColumn("_size", F.size("_labels"))
 
     def last_place(name: str) -> Column:
-        hits = F.transform(F.filter(named, lambda p: p["name"] == name), lambda p: p.i)
-        return F.get(hits, F.size(hits) - 1)
+        back = F.array_position(F.reverse("_labels"), name)
+        return F.when(back > 0, F.col("_size") - back).cast("int")
 
-    cells = F.array(*[F.struct(F.lit(n).alias("key"), last_place(n).alias("value")) for n, _ in patterns])
-    opp, score = last_place("opponent_rank"), last_place("score")
+    placed = placed.withColumns({f"_at_{n}": last_place(n) for n, _ in patterns})
+    opp, score = F.col("_at_opponent_rank"), F.col("_at_score")
     end = F.coalesce(score, opp + 2)
-    free = F.filter(places, lambda p: p["name"].isNull() & (p.i > opp) & (p.i < end))
-    description = F.get(F.transform(free, lambda p: p.i), F.lit(0))
-    known = F.filter(
-        F.concat(cells, F.array(F.struct(F.lit("match_description").alias("key"), description.alias("value")))),
-        lambda c: c.value.isNotNull())
-    return F.map_from_entries(known)
+    free = F.filter(F.transform("_labels", lambda name, i: F.when(name.isNull() & (i > opp) & (i < end), i)), lambda i: i.isNotNull())
+    pairs = [F.struct(F.lit(n).alias("key"), F.col(f"_at_{n}").alias("value")) for n, _ in patterns]
+    pairs.append(F.struct(F.lit("match_description").alias("key"), F.get(free, F.lit(0)).alias("value")))
+    known = F.filter(F.array(*pairs), lambda c: c.value.isNotNull())
+    return placed.withColumn("column_map", F.when(header.isNotNull(), F.map_from_entries(known))).drop(
+        "_labels", "_size", *[f"_at_{n}" for n, _ in patterns])
 
 
 def read_lines(df: DataFrame, patterns=DISPLAY_PATTERNS) -> DataFrame:
     """One row per data line: index, line, fields and the column map of its text (null without header)."""
     prepared = df.withColumn("_lines", normalised_lines(F.col("text"))).withColumn("_header", header_index(F.col("_lines")))
-    header = F.get(F.col("_lines"), F.col("_header"))
-    mapped = prepared.withColumn("column_map", F.when(F.col("_header") >= 0, column_map(header, patterns)))
+    prepared = prepared.withColumn("_head", F.when(F.col("_header") >= 0, F.get(F.col("_lines"), F.col("_header"))))
+    mapped = _with_column_map(prepared, F.col("_head"), patterns).drop("_head")
     lines = mapped.select(*[c for c in df.columns if c != "text"], "column_map", (F.col("_header") >= 0).alias("has_header"),
                           "_header", F.posexplode("_lines").alias("row_index", "line"))
     data = lines.filter(F.col("row_index") > F.col("_header")).drop("_header")
@@ -236,44 +234,48 @@ def typed_matches(df: DataFrame) -> DataFrame:
 
     after = F.coalesce(F.col("column_map")["score"], F.lit(7)) + 1
     positional = mapped | tabbed
-
-    def stat(offset: int, name: str | None = None) -> Column:
-        value = F.when(positional, parsed_float(part(after + offset)))
-        if name is None:
-            return value
-        own = F.when(F.col("column_map")[name].isNotNull(), parsed_float(field(name, -1)))
-        return F.coalesce(own, value)
-
-    ratio = stat(0)
-    points = F.coalesce(part(after + 6), F.lit(""))
+    stats = ("dominance", "ace_pct", "df_pct", "first_in", "first_won", "second_won", "_points")
+    own = {"first_in": "first_in_pct", "first_won": "first_won_pct", "second_won": "second_won_pct"}
+    texts = {f"_t_{name}": F.when(positional, part(after + i)) for i, name in enumerate(stats)}
+    texts.update({f"_o_{name}": F.when(F.col("column_map")[c].isNotNull(), field(c, -1)) for name, c in own.items()})
+    texts.update({"_desc": desc, "_t_rank": field("rank", 4), "_t_opp": field("opponent_rank", 5), "_t_date": field("date", 0)})
+    rows = rows.filter(F.size("parts") >= 3).withColumns(texts)
+    desc = F.col("_desc")
+
+    def stat(name: str) -> Column:
+        value = parsed_float(F.col(f"_t_{name}"))
+        return F.coalesce(parsed_float(F.col(f"_o_{name}")), value) if name in own else value
+
+    ratio = stat("dominance")
+    points = F.coalesce("_t__points", F.lit(""))
     saved = F.regexp_extract(points, "^([0-9]+)/([0-9]+)$", 1).try_cast("double")
     faced = F.regexp_extract(points, "^([0-9]+)/([0-9]+)$", 2).try_cast("double")
     shaped = desc.rlike(".+?\\s+d\\.\\s+.+")
     left_text = F.regexp_extract(desc, "^(.+?)\\s+d\\.\\s+(.+)$", 1)
     right_text = F.regexp_extract(desc, "^(.+?)\\s+d\\.\\s+(.+)$", 2)
-    typed = rows.filter(F.size("parts") >= 3).withColumns({
-        "match_date": parsed_date(field("date", 0)),
+    typed = rows.withColumns({
+        "match_date": parsed_date(F.col("_t_date")),
         "tournament": field("tournament", 1), "surface": field("surface", 2), "round": field("round", 3),
-        "player_rank": parsed_int(field("rank", 4)), "opponent_rank": parsed_int(field("opponent_rank", 5)),
+        "player_rank": parsed_int(F.col("_t_rank")), "opponent_rank": parsed_int(F.col("_t_opp")),
         "score": score, "_left": _bare_name(left_text), "_right": _bare_name(right_text),
-        "_lefttext": left_text, "_righttext": right_text, "_rank_text": field("rank", 4),
+        "_lefttext": left_text, "_righttext": right_text,
         "_open": shaped & ~F.lower("line").contains(" vs "),
-        "dominance": F.when(ratio > 0, ratio), "ace_pct": stat(1), "df_pct": stat(2),
-        "first_in": stat(3, "first_in_pct"), "first_won": stat(4, "first_won_pct"), "second_won": stat(5, "second_won_pct"),
+        "dominance": F.when(ratio > 0, ratio), "ace_pct": stat("ace_pct"), "df_pct": stat("df_pct"),
+        "first_in": stat("first_in"), "first_won": stat("first_won"), "second_won": stat("second_won"),
         "break_points_saved": F.when(faced > 0, saved / faced),
     })
     named = F.col("player_name").isNotNull() & (F.col("player_name") != "")
     won = F.when(named, _name_matches(F.col("_left"), F.col("player_name"))).otherwise(
-        (F.col("_rank_text") != "") & F.col("_lefttext").contains(F.col("_rank_text")))
+        (F.col("_t_rank") != "") & F.col("_lefttext").contains(F.col("_t_rank")))
     lost = F.when(named, _name_matches(F.col("_right"), F.col("player_name"))).otherwise(
-        (F.col("_rank_text") != "") & F.col("_righttext").contains(F.col("_rank_text")))
+        (F.col("_t_rank") != "") & F.col("_righttext").contains(F.col("_t_rank")))
     typed = typed.withColumns({
         "result": F.when(F.col("_open") & won, "W").when(F.col("_open") & lost, "L").otherwise(""),
         "opponent": F.when(~F.col("_open"), "").when(~won & lost, F.col("_left")).otherwise(F.col("_right")),
         "return_pct": return_from_dominance(),
     })
     return typed.withColumn("is_valid", valid_match()).drop(
-        "_left", "_right", "_lefttext", "_righttext", "_rank_text", "_open", "fields", "parts", "column_map")
+        "_left", "_right", "_lefttext", "_righttext", "_open", "fields", "parts", "column_map", *texts)
 
 
 def return_from_dominance() -> Column:

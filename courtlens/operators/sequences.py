@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -68,43 +69,61 @@ def left_padded(steps: Column, fields: Sequence[str], n: int = SEQ_LEN) -> Colum
     return F.concat(F.array_repeat(blank, F.lit(n) - F.size(steps)), steps)
 
 
-def _prior(values: Column, i: Column) -> Column:
-    return F.slice(values, F.lit(1), i)
-
-
 def decayed_steps(history: Column, use_rank: bool = True) -> Column:
     """Steps with decayed serve form; every step only uses the steps before it in the window.
 
-    The first step has nothing before it and stands for itself.
+    The first step has nothing before it and stands for itself. One pass: the exponential means
+    carry a weighted sum and its weight, the short means the three newest values.
     """
-    serve = F.transform(history, lambda x: x.adj_serve)
-    if not use_rank:
-        rpw = F.transform(history, lambda x: x.adj_rpw)
-        net = F.transform(history, lambda x: x.net_skill)
-
-    def weighted(values, own, i, mean):
-        return F.when(i == 0, own).otherwise(mean(_prior(values, i)))
-
-    def step(x: Column, i: Column) -> Column:
-        short = weighted(serve, x.adj_serve, i, decay.short_mean)
-        medium = weighted(serve, x.adj_serve, i, lambda v: decay.exponential_mean(v, decay.MEDIUM_DECAY))
-        fields = [short.alias("adj_serve_short_decay"), medium.alias("adj_serve_medium_decay")]
+    newest, middle, oldest = decay.SHORT_WEIGHTS
+    medium_keep, recent_keep = math.exp(-decay.MEDIUM_DECAY), math.exp(-decay.RECENCY_LAMBDA)
+    names = RANK_STEP if use_rank else NO_RANK_STEP
+    step_type = "array<struct<" + ",".join(f"{n}:double" for n in names) + ">>"
+    sums = ("medium",) if use_rank else ("medium", "rpw", "net")
+    kept = ("v1", "v2", "v3") if use_rank else ("v1", "v2", "v3", "r1", "r2", "r3")
+
+    start = F.struct(
+        F.lit(0).alias("n"), *[F.lit(0.0).alias(k) for k in kept],
+        *[F.lit(0.0).alias(f"{k}_{part}") for k in sums for part in ("sum", "weight")],
+        F.array().cast(step_type).alias("steps"))
+
+    def merge(acc: Column, x: Column) -> Column:
+        first = acc.n == 0
+
+        def mean(k: str, own: Column) -> Column:
+            return F.when(first, own).otherwise(acc.getField(f"{k}_sum") / acc.getField(f"{k}_weight"))
+
+        def grown(k: str, keep: float, own: Column) -> list[Column]:
+            return [(acc.getField(f"{k}_sum") * keep + own).alias(f"{k}_sum"),
+                    (acc.getField(f"{k}_weight") * keep + 1.0).alias(f"{k}_weight")]
+
+        a, b, c = acc.v1, acc.v2, acc.v3
+        short = (
+            F.when(first, x.adj_serve).when(acc.n == 1, a)
+            .when(acc.n == 2, (F.lit(oldest) * b + F.lit(middle) * a) / F.lit(middle + oldest))
+            .otherwise((F.lit(oldest) * c + F.lit(middle) * b + F.lit(newest) * a) / F.lit(newest + middle + oldest)))
+        medium = mean("medium", x.adj_serve)
+        values = {"adj_serve_short_decay": short, "adj_serve_medium_decay": medium, "form_delta_serve": short - medium,
+                  "surface_idx": x.surface_idx.cast("double"), "days_since_prev": x.days_since_prev}
+        state = [(acc.n + 1).alias("n"), x.adj_serve.alias("v1"), a.alias("v2"), b.alias("v3")]
+        sums_now = grown("medium", medium_keep, x.adj_serve)
         if use_rank:
-            fields.append(x.opp_rank_norm.alias("opponent_rank_norm"))
-        fields += [
-            x.surface_idx.cast("double").alias("surface_idx"), x.days_since_prev.alias("days_since_prev"),
-            (short - medium).alias("form_delta_serve"),
-        ]
-        if not use_rank:
-            lam = decay.RECENCY_LAMBDA
-            fields += [
-                weighted(rpw, x.adj_rpw, i, lambda v: decay.exponential_mean(decay.last_values(v, 10), lam)).alias("rpw_adj_last10"),
-                weighted(rpw, x.adj_rpw, i, lambda v: decay.exponential_mean(decay.last_values(v, 3), lam)).alias("rpw_adj_last3"),
-                weighted(net, x.net_skill, i, lambda v: decay.exponential_mean(decay.last_values(v, 10), lam)).alias("net_skill_last10"),
-            ]
-        return F.struct(*fields)
-
-    return F.transform(history, step)
+            values["opponent_rank_norm"] = x.opp_rank_norm
+        else:
+            r1, r2, r3 = acc.r1, acc.r2, acc.r3
+            q = recent_keep
+            values["rpw_adj_last3"] = (
+                F.when(first, x.adj_rpw).when(acc.n == 1, r1).when(acc.n == 2, (r1 + r2 * q) / (1 + q))
+                .otherwise((r1 + r2 * q + r3 * (q * q)) / (1 + q + q * q)))
+            # a window holds at most ten steps, so all of the steps before are the last ten
+            values["rpw_adj_last10"] = mean("rpw", x.adj_rpw)
+            values["net_skill_last10"] = mean("net", x.net_skill)
+            state += [x.adj_rpw.alias("r1"), r1.alias("r2"), r2.alias("r3")]
+            sums_now += grown("rpw", recent_keep, x.adj_rpw) + grown("net", recent_keep, x.net_skill)
+        step = F.struct(*[values[n].alias(n) for n in names])
+        return F.struct(*state, *sums_now, F.concat(acc.steps, F.array(step)).alias("steps"))
+
+    return F.aggregate(history, start, merge, lambda acc: acc.steps)
 
 
 RANK_STEP = ("adj_serve_short_decay", "adj_serve_medium_decay", "opponent_rank_norm", "surface_idx",
@@ -134,9 +153,13 @@ def joined_sequences(df: DataFrame, a: str, a_mask: str, b: str, b_mask: str,
 
 def past_only_violations(df: DataFrame, history: str, sequence: str, mask: str) -> DataFrame:
     """Rows that break an invariant: history dated on or after the match, bad lengths or missing values."""
+    return df.filter(breaks_invariant(history, sequence, mask))
+
+
+def breaks_invariant(history: str, sequence: str, mask: str) -> Column:
     late = F.exists(history, lambda x: x.getField("_day") >= F.col(DAY))
     uneven = F.size(sequence) != F.size(mask)
     count = F.aggregate(mask, F.lit(0.0), lambda a, x: a + x)
     bad_count = (count < 0) | (count > F.size(mask)) | (count != F.size(history))
-    first = F.exists(sequence, lambda x: x.isNull())
-    return df.filter(late | uneven | bad_count | first)
+    missing = F.exists(sequence, lambda x: x.isNull())
+    return late | uneven | bad_count | missing

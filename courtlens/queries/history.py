@@ -8,6 +8,7 @@ from courtlens.functions import categories, decay, rates, ranks
 from courtlens.operators import sequences, windows
 from courtlens.plans import features, legacy
 from courtlens.queries.base import cte, dual, player_table, query, r6, rounded, sql_r6
+from courtlens.session import cut_lineage
 
 _ID = ["player", "opponent", "match_num"]
 _ID_SQL = "player, opponent, match_num"
@@ -298,7 +299,8 @@ FROM (SELECT player, match_num, list({_STEP_LIST}) OVER (PARTITION BY player ORD
 WHERE len(seq) = 10
 """)
 def _(spark, folder):
-    df = sequences.row_sequences(features.match_features(rated(spark, folder)), features.SEQUENCE_FEATURES)
+    df = sequences.row_sequences(
+        features.match_features(rated(spark, folder), stage=cut_lineage), features.SEQUENCE_FEATURES)
     steps = df.select("player", "match_num", F.posexplode("sequence").alias("i", "x")).select(
         "player", "match_num", (F.col("i") + 1).alias("step"), "x.*")
     return rounded(steps, ["player", "match_num", "step"], list(features.SEQUENCE_FEATURES))
@@ -393,9 +395,8 @@ SELECT count(*) AS rows_checked, count(*) FILTER (WHERE len(hist) > 10 OR len(li
 """)
 def _(spark, folder):
     df = legacy.with_sequences(step_inputs(spark, folder))
-    bad = sequences.past_only_violations(df.withColumn("_all", F.lit(1)), "history", "sequence", "mask")
-    total = df.agg(F.count(F.lit(1)).alias("rows_checked"))
-    return total.select("rows_checked", bad.agg(F.count(F.lit(1))).scalar().alias("violations"))
+    bad = sequences.breaks_invariant("history", "sequence", "mask")
+    return df.agg(F.count(F.lit(1)).alias("rows_checked"), F.count_if(bad).alias("violations"))
 
 
 # ---- F10-F13 ----------------------------------------------------------------------------------

@@ -86,10 +86,11 @@ def history_columns(
     """
     spread, parts = spread_long_keys(df, keys, day, reach, rows_per_run)
     window = Window.partitionBy(*parts).orderBy(*order)
-    out = spread.select("*", *[c.alias(name) for name, c in build(window).items()])
-    if "_own" in spread.columns:
-        out = out.filter("_own").drop("_own", "_run")
-    return out
+    new = [c.alias(name) for name, c in build(window).items()]
+    if "_own" not in spread.columns:
+        return df.select("*", *new)
+    own = spread.select("_own", *df.columns, *new).filter("_own")
+    return own.drop("_own")
 
 
 def before_each_day(

@@ -19,7 +19,7 @@ from courtlens.operators.windows import career_position
 from courtlens.session import cut_lineage
 
 START = 100.0
-BLOCK = 2000
+BLOCK = 500
 INF = float("inf")
 
 
@@ -69,11 +69,17 @@ def with_strategies(bets: DataFrame, names: Sequence[str], **options) -> DataFra
 # ---- the path ----------------------------------------------------------------------------------
 
 
+def numbered_bets(bets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bets with their date order per path; number before adding strategies, they share it."""
+    return career_position(bets, keys, "bet_number")
+
+
 def _positioned(bets: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
     """Number the bets of each path and cut them into blocks and groups of blocks."""
     gain = F.when(F.col("won"), F.col("odds") - 1).otherwise(F.lit(-1.0))
-    numbered = career_position(bets, keys, "bet_number")
-    return numbered.withColumns({
+    numbered = bets if "bet_number" in bets.columns else numbered_bets(bets, keys)
+    slim = numbered.select(*keys, "bet_number", "tourney_date", "match_num", "share", "amount", "odds", "won", "edge")
+    return slim.withColumns({
         "_gain": gain, "_share": F.least(F.coalesce("share", F.lit(1.0)), F.lit(1.0)),
         "_amount": F.coalesce("amount", F.lit(INF)),
         "_block": F.floor((F.col("bet_number") - 1) / block),
@@ -133,7 +139,7 @@ def _starts(lines: DataFrame, keys: Sequence[str], start: float) -> DataFrame:
 
 
 def bankroll_path(bets: DataFrame, keys: Sequence[str], start: float = START, block: int = BLOCK) -> DataFrame:
-    """Adds ``bet_number``, ``stake`` and ``bankroll`` (after the bet) in date order per path."""
+    """Bets with ``bet_number``, ``stake`` and ``bankroll`` (after the bet) in date order per path."""
     keys = list(keys)
     rows = cut_lineage(_positioned(bets, keys, block))
     blocks = _block_lists(rows, keys)
@@ -178,6 +184,7 @@ def drawdown(path: DataFrame, keys: Sequence[str], start: float = START) -> Data
 
 def summary(path: DataFrame, keys: Sequence[str], totals: DataFrame, total_keys: Sequence[str], start: float = START) -> DataFrame:
     """Backtest summary per path; ``totals`` has the number of matches per ``total_keys``."""
+    path = cut_lineage(path)  # read for the totals and twice for the drawdown
     base = path.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_bets_placed"), F.count_if("won").alias("bets_won"),
         F.count_if(~F.col("won")).alias("bets_lost"), F.avg(F.col("won").cast("double")).alias("win_rate"),
@@ -192,6 +199,7 @@ def summary(path: DataFrame, keys: Sequence[str], totals: DataFrame, total_keys:
 
 def temperature_table(candidates: DataFrame, path: DataFrame, keys: Sequence[str], start: float = START) -> DataFrame:
     """Bets, profit, ROI, hit rate, mean edge and drawdown per temperature; zeros without bets."""
+    path = cut_lineage(path)
     base = path.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("bets"), (F.max_by("bankroll", "bet_number") - start).alias("profit"),
         F.avg(F.col("won").cast("double")).alias("hit_rate"), F.avg("edge").alias("avg_edge"))

@@ -87,7 +87,8 @@ def _(spark, folder):
 
 
 def path(spark, folder, block=ledger.BLOCK):
-    staked = ledger.with_strategies(bets(spark, folder), ALL)
+    numbered = ledger.numbered_bets(bets(spark, folder), ["season", "temperature"])
+    staked = ledger.with_strategies(numbered, ALL)
     return ledger.bankroll_path(staked, PATH, block=block)
 
 

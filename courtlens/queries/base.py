@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from courtlens.operators import orient
-from courtlens.sources import derived
+from courtlens.sources import derived, tables
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,13 +72,27 @@ def sql_r6(*names: str) -> str:
 
 # ---- tables every family starts from -------------------------------------------------------
 
-MATCH_EXTRAS = ["tourney_date", "match_num"]
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def match_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The match table of a data folder, derived once per application and then read as Parquet.
+
+    It is stored in the shared folder, so every query prunes its columns at the scan instead of
+    joining the order tables again.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        place = tables.shared_folder(spark, "matches")
+        derived.matches(spark, folder).write.parquet(place)
+        _STORED[key] = place
+    return spark.read.parquet(_STORED[key])
 
 
 def dual(spark: SparkSession, folder: str, *carry: str) -> DataFrame:
     """Two-sided table carrying only the match columns asked for."""
     keep = list(dict.fromkeys(["tourney_date", "match_num", *carry]))
-    return orient.two_sided(derived.matches(spark, folder), keep)
+    return orient.two_sided(match_table(spark, folder), keep)
 
 
 def player_table(spark: SparkSession, folder: str, *carry: str) -> DataFrame:

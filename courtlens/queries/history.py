@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from courtlens.functions import categories, decay, rates, ranks
 from courtlens.operators import sequences, windows
 from courtlens.plans import features, legacy
-from courtlens.queries.base import cte, dual, player_table, query, r6, rounded, sql_r6
+from courtlens.queries.base import cte, dual, match_table, player_table, query, r6, rounded, sql_r6
 from courtlens.session import cut_lineage
 
 _ID = ["player", "opponent", "match_num"]
@@ -218,12 +218,19 @@ def skilled(spark, folder, *carry):
     return features.with_skills(features.with_rolling(slim, windows=(10,)))
 
 
+def staged_skills(spark, folder):
+    """Skills stored once: as-of joins read them from both sides."""
+    return cut_lineage(skilled(spark, folder).select(
+        *_ID, "tourney_date", "serve_skill", "return_skill", "player_1stWon", "player_2ndWon", "player_svpt",
+        "opp_1stWon", "opp_2ndWon", "opp_svpt"))
+
+
 _OPP = ["opp_serve_skill", "opp_return_skill"]
 
 
 @query("d01_opponent_skills_asof", "faced", f"SELECT {_ID_SQL}, {sql_r6(*_OPP)} FROM faced")
 def _(spark, folder):
-    return rounded(features.with_opponent_skills(skilled(spark, folder)), _ID, _OPP)
+    return rounded(features.with_opponent_skills(staged_skills(spark, folder)), _ID, _OPP)
 
 
 @query("d01_opponent_skills_before_date", "skilled", f"""
@@ -234,7 +241,7 @@ FROM (SELECT {_ID_SQL}, tourney_date FROM skilled) a ASOF LEFT JOIN (
 ON a.opponent = b.who AND a.tourney_date > b.at
 """)
 def _(spark, folder):
-    return rounded(features.with_opponent_skills(skilled(spark, folder), "before"), _ID, _OPP)
+    return rounded(features.with_opponent_skills(staged_skills(spark, folder), "before"), _ID, _OPP)
 
 
 @query("d01_opponent_skills_last_on_date", "skilled", f"""
@@ -245,7 +252,7 @@ FROM (SELECT {_ID_SQL}, tourney_date FROM skilled) a ASOF LEFT JOIN (
 ON a.opponent = b.who AND a.tourney_date >= b.at
 """)
 def _(spark, folder):
-    return rounded(features.with_opponent_skills(skilled(spark, folder), "day"), _ID, _OPP)
+    return rounded(features.with_opponent_skills(staged_skills(spark, folder), "day"), _ID, _OPP)
 
 
 _C11 = ["expected_spw", "actual_spw", "spw_diff", "expected_rpw", "actual_rpw", "rpw_diff"]
@@ -253,7 +260,7 @@ _C11 = ["expected_spw", "actual_spw", "spw_diff", "expected_rpw", "actual_rpw",
 
 @query("c11_expected_and_actual_points", "edged", f"SELECT {_ID_SQL}, {sql_r6(*_C11)} FROM edged")
 def _(spark, folder):
-    df = features.with_expectation(features.with_opponent_skills(skilled(spark, folder)))
+    df = features.with_expectation(features.with_opponent_skills(staged_skills(spark, folder)))
     return rounded(df, _ID, _C11)
 
 
@@ -262,7 +269,7 @@ _C14 = ["serve_vs_return_edge", "return_vs_serve_edge", "net_edge"]
 
 @query("c14_matchup_edges", "edged", f"SELECT {_ID_SQL}, {sql_r6(*_C14)} FROM edged")
 def _(spark, folder):
-    return rounded(features.with_edges(features.with_opponent_skills(skilled(spark, folder))), _ID, _C14)
+    return rounded(features.with_edges(features.with_opponent_skills(staged_skills(spark, folder))), _ID, _C14)
 
 
 _F2 = ["surface_serve_skill", "surface_return_skill"]
@@ -568,8 +575,7 @@ SELECT least(winner_name, loser_name) AS player_one, greatest(winner_name, loser
 FROM matches WINDOW w AS (PARTITION BY least(winner_name, loser_name), greatest(winner_name, loser_name) ORDER BY tourney_date, match_num ROWS UNBOUNDED PRECEDING)
 """)
 def _(spark, folder):
-    from courtlens.sources import derived
-    df = derived.matches(spark, folder).select("winner_name", "loser_name", "tourney_date", "match_num")
+    df = match_table(spark, folder).select("winner_name", "loser_name", "tourney_date", "match_num")
     return windows.cumulative_meetings(df).select(
         "player_one", "player_two", "match_num", "meeting", "player_one_wins", "player_two_wins")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from courtlens.functions import dates
 from courtlens.operators import orient
 from courtlens.operators.timeline import newest, one_per_key
-from courtlens.queries.base import cte, dual, player_table, query, r6, sql_r6
+from courtlens.queries.base import cte, dual, match_table, player_table, query, r6, sql_r6
 from courtlens.sources import derived
 
 _ALL_STATS = [f"{s}" for s in orient.STATS]
@@ -88,14 +88,14 @@ def _(spark, folder):
 SELECT match_num, score FROM matches WHERE NOT coalesce(regexp_matches(score, 'W/O|RET|DEF'), false)
 """)
 def _(spark, folder):
-    return orient.finished_only(derived.matches(spark, folder)).select("match_num", "score")
+    return orient.finished_only(match_table(spark, folder)).select("match_num", "score")
 
 
 @query("b07_both_ranked", "matches", """
 SELECT match_num, winner_rank, loser_rank FROM matches WHERE winner_rank IS NOT NULL AND loser_rank IS NOT NULL
 """)
 def _(spark, folder):
-    return orient.both_ranked(derived.matches(spark, folder)).select("match_num", "winner_rank", "loser_rank")
+    return orient.both_ranked(match_table(spark, folder)).select("match_num", "winner_rank", "loser_rank")
 
 
 @query("b08_any_service_stat", "matches", f"""
@@ -105,7 +105,7 @@ SELECT match_num FROM (SELECT match_num, {", ".join(
 WHERE coalesce({", ".join(f'"{side}_{s}"' for side in ("w", "l") for s in orient.STATS)}) IS NOT NULL
 """)
 def _(spark, folder):
-    df = derived.matches(spark, folder)
+    df = match_table(spark, folder)
     blank = {f"{side}_{s}": F.when(F.col("match_num") % 31 != 0, F.col(f"{side}_{s}"))
              for side in ("w", "l") for s in orient.STATS}
     return orient.any_service_stat(df.withColumns(blank)).select("match_num")
@@ -123,7 +123,7 @@ SELECT player, opponent, match_num, player_ioc, player_hand, player_ht, player_r
   "opp_bpSaved" AS "opponent_bpSaved", "player_bpFaced", "opp_bpFaced" AS "opponent_bpFaced" FROM dual
 """)
 def _(spark, folder):
-    raw = derived.matches(spark, folder)
+    raw = match_table(spark, folder)
     return orient.picked_by_name(orient.two_sided(raw)).select("player", "opponent", "match_num", *_B9)
 
 
@@ -218,7 +218,7 @@ SELECT match_num, tourney_date, CAST(substr(CAST(tourney_date AS VARCHAR),1,4) |
 FROM matches WHERE tourney_date // 10000 = 1998
 """)
 def _(spark, folder):
-    df = derived.matches(spark, folder).select(
+    df = match_table(spark, folder).select(
         "match_num", "tourney_date", dates.iso_text(F.col("tourney_date")).alias("iso"))
     return df.filter((dates.year_of(F.col("tourney_date")) == 1998) & (F.substring("iso", 1, 4) == "1998"))
 
@@ -229,7 +229,7 @@ WHERE tourney_level <> 'D' AND tourney_name NOT LIKE '%United Cup%' AND tourney_
 """)
 def _(spark, folder):
     from courtlens.operators.views import without_team_cups
-    return without_team_cups(derived.matches(spark, folder)).select("match_num", "tourney_name", "tourney_level")
+    return without_team_cups(match_table(spark, folder)).select("match_num", "tourney_name", "tourney_level")
 
 
 @query("b23_default_context", "matches", """
@@ -240,7 +240,7 @@ SELECT match_num, coalesce(surface, 'Hard') AS surface, coalesce(CASE WHEN match
 """)
 def _(spark, folder):
     from courtlens.operators.views import with_default_context
-    df = derived.matches(spark, folder).withColumns({
+    df = match_table(spark, folder).withColumns({
         "round": F.when(F.col("match_num") % 5 != 0, F.col("round")),
         "tourney_level": F.when(F.col("match_num") % 3 != 0, F.col("tourney_level")),
         "tourney_id": F.when(F.col("match_num") % 13 != 0, F.col("tourney_id"))})
@@ -265,7 +265,7 @@ SELECT winner_name AS player, count(*) AS n FROM (
   SELECT winner_name FROM matches UNION ALL SELECT loser_name FROM matches) GROUP BY 1
 """)
 def _(spark, folder):
-    df = derived.matches(spark, folder)
+    df = match_table(spark, folder)
     both = df.select(F.col("winner_name").alias("player")).unionByName(df.select(F.col("loser_name").alias("player")))
     return both.groupBy("player").agg(F.count(F.lit(1)).alias("n"))
 

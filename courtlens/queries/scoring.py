@@ -8,11 +8,10 @@ from courtlens.functions import calibrate, dates, ranks, rates
 from courtlens.operators import evaluate, joins, orient, sequences
 from courtlens.operators.asof import asof_join
 from courtlens.plans import features, scoring
-from courtlens.queries.base import cte, dual, player_table, query, r6, rounded, sql_r6
+from courtlens.queries.base import cte, dual, match_table, player_table, query, r6, rounded, sql_r6
 from courtlens.queries import views as _views  # noqa: F401  (registers the scored building block)
-from courtlens.queries.history import rated, skilled
+from courtlens.queries.history import rated, skilled, staged_skills
 from courtlens.session import cut_lineage
-from courtlens.sources import derived
 
 _MATCH = ["match_id", "match_num"]
 TRAIN_UNTIL, VALIDATE_UNTIL = 19991231, 20001231
@@ -32,7 +31,7 @@ def combined(spark, folder):
 
 def predictions(spark, folder):
     """Combined predictions with the match details."""
-    info = derived.matches(spark, folder).select(
+    info = match_table(spark, folder).select(
         "match_num", "tourney_name", "tourney_id", "tourney_level", "surface", "round",
         F.when(F.col("winner_name") < F.col("loser_name"), F.col("winner_rank")).otherwise(F.col("loser_rank")).alias("rank_one"),
         F.when(F.col("winner_name") < F.col("loser_name"), F.col("loser_rank")).otherwise(F.col("winner_rank")).alias("rank_two"))
@@ -307,7 +306,7 @@ _SF = ["serve_skill", "return_skill", "opp_serve_skill", "opp_return_skill"]
 SELECT CAST({i} AS INTEGER) AS position, '{f}' AS feature, round(avg({f}), 6) + 0.0 AS mean, round(coalesce(nullif(stddev_pop({f}), 0), 1.0), 6) + 0.0 AS std FROM edged WHERE tourney_date <= {TRAIN_UNTIL}
 """ for i, f in enumerate(["serve_vs_return_edge", "return_vs_serve_edge", "net_edge"])))
 def _(spark, folder):
-    df = features.with_edges(features.with_opponent_skills(skilled(spark, folder)))
+    df = features.with_edges(features.with_opponent_skills(staged_skills(spark, folder)))
     stats = scoring.scaler_stats(df.filter(F.col("tourney_date") <= TRAIN_UNTIL), ["serve_vs_return_edge", "return_vs_serve_edge", "net_edge"])
     return rounded(stats, ["position", "feature"], ["mean", "std"])
 

@@ -8,14 +8,14 @@ from courtlens.functions import dates, rates
 from courtlens.operators import ledger, pasted
 from courtlens.operators.joins import ROW_KEYS
 from courtlens.plans import bookmaker, features, scoring, serve
-from courtlens.queries.base import cte, dual, player_table, query, r6, rounded, sql_r6
+from courtlens.queries.base import cte, dual, match_table, player_table, query, r6, rounded, sql_r6
 from courtlens.queries.history import rated, served, skilled
 from courtlens.queries.ledger import summaries, temperature_table, path, PATH
 from courtlens.queries.match_table import requests
 from courtlens.queries.pasted import typed
 from courtlens.queries.scoring import predictions
 from courtlens.session import cut_lineage
-from courtlens.sources import derived, tables
+from courtlens.sources import tables
 
 
 # ---- J12, J13, I12 ------------------------------------------------------------------------------
@@ -27,7 +27,7 @@ def request_rows(spark, folder):
 
 
 def feature_history(spark, folder):
-    return cut_lineage(features.match_features(rated(spark, folder)).select(
+    return cut_lineage(features.match_features(rated(spark, folder), stage=cut_lineage).select(
         "player", "opponent", "tourney_date", "match_num", "label", "surface", *features.ROLLED, *features.SEQUENCE_FEATURES[:6],
         "surface_Hard", "surface_Clay", "surface_Grass", "days_since_last_match", "opp_serve_skill", "opp_return_skill"))
 
@@ -233,7 +233,7 @@ SELECT tourney_date, match_num, winner_name, loser_name, winner_rank, surface, s
 """)
 def _(spark, folder):
     place = tables.shared_folder(spark, "raw")
-    df = derived.matches(spark, folder)
+    df = match_table(spark, folder)
     df.filter("tourney_date >= 19980101").write.option("header", True).csv(f"{place}/new")
     older = df.filter("tourney_date < 19980101").drop("w_ace", "l_ace")
     older.write.option("header", True).csv(f"{place}/old")
@@ -309,5 +309,5 @@ def _(spark, folder):
 
 @query("m04_chained_plan", "edged", f"SELECT player, match_num, {sql_r6(*features.SEQUENCE_FEATURES, 'net_edge')} FROM edged")
 def _(spark, folder):
-    df = player_table(spark, folder).transform(features.match_features)
+    df = player_table(spark, folder).transform(lambda d: features.match_features(d, stage=cut_lineage))
     return rounded(df, ["player", "match_num"], [*features.SEQUENCE_FEATURES, "net_edge"])

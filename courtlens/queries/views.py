@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from courtlens.functions import categories, dates, names, rates, ranks
 from courtlens.operators import evaluate, views
 from courtlens.operators.timeline import newest, one_per_key
-from courtlens.queries.base import cte, dual, player_table, query, r6, rounded, sql_r6
-from courtlens.sources import derived
+from courtlens.queries.base import cte, dual, match_table, player_table, query, r6, rounded, sql_r6
 
 _PM = ["player", "match_num"]
 
@@ -116,7 +115,7 @@ SELECT match_num, CASE WHEN tourney_name LIKE '%250%' THEN '250' WHEN tourney_na
 """)
 def _(spark, folder):
     name = F.col("tourney_name")
-    return derived.matches(spark, folder).select(
+    return match_table(spark, folder).select(
         "match_num", categories.tier_from_event(name).alias("tier"), categories.tier_group(name).alias("tier_group"),
         categories.level_from_event(name).alias("level"))
 
@@ -187,7 +186,7 @@ FROM dual QUALIFY row_number() OVER (PARTITION BY player ORDER BY tourney_date D
 
 def records(spark, folder):
     from courtlens.operators import orient
-    raw = derived.matches(spark, folder)
+    raw = match_table(spark, folder)
     keep = ["tourney_date", "match_num", "winner_name", "winner_ioc", "loser_ioc", "winner_hand", "loser_hand",
             "winner_ht", "loser_ht"]
     sided = orient.two_sided(raw, keep)
@@ -368,7 +367,7 @@ def _(spark, folder):
 SELECT count(*) AS matches, round(avg(CAST(winner_rank < loser_rank AS DOUBLE)), 6) + 0.0 AS accuracy FROM matches WHERE winner_rank IS NOT NULL AND loser_rank IS NOT NULL
 """)
 def _(spark, folder):
-    return evaluate.higher_rank_baseline(derived.matches(spark, folder)).select("matches", r6("accuracy").alias("accuracy"))
+    return evaluate.higher_rank_baseline(match_table(spark, folder)).select("matches", r6("accuracy").alias("accuracy"))
 
 
 # ---- pairs -------------------------------------------------------------------------------------

@@ -32,7 +32,9 @@ from courtlens.llm.common import stage
 TRUSTED = 5
 #: Bytes of text and rows in a chunk; words and pairs in a task, on average.
 CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 2500
-WORDS, PAIRS = 1_500_000, 2_500_000
+WORDS, PAIRS = 1_200_000, 2_000_000
+#: Histories more frequent than this are dealt by the whole pair.
+FREQUENT = PAIRS // 8
 _END_HASH = xxhash.xxh64_intdigest(b"\n")  # no word is a line feed
 
 
@@ -301,9 +303,10 @@ def _merge_pairs(unigrams_of, frequent: int):
         unigrams = unigrams_of.value
         history = np.concatenate([loosen_sorted(a) for a in frame["a"]])
         word = np.concatenate([loosen(b) for b in frame["b"]])
-        marks = [loosen(c) for c in frame["c"]]
-        chunk_number = np.repeat(np.arange(len(frame)), [len(m) for m in marks])
+        marks = [loosen(c).astype(np.int32) for c in frame["c"]]
+        chunk_number = np.repeat(np.arange(len(frame), dtype=np.int32), [len(m) for m in marks])
         mark = np.concatenate(marks)
+        del marks
         order = np.argsort(history << 32 | word, kind="stable") if max(history.max(), word.max()) < 1 << 31 else np.lexsort((word, history))
         history, word, mark, chunk_number = history[order], word[order], mark[order], chunk_number[order]
         opens = np.flatnonzero(np.concatenate([[True], (history[1:] != history[:-1]) | (word[1:] != word[:-1])]))
@@ -314,7 +317,7 @@ def _merge_pairs(unigrams_of, frequent: int):
         sums = _history_sums(history, word, seen, unigrams)
         often = sums["history"] < frequent
         return pd.DataFrame([(key[0], 0, squeeze_sorted(history), _join(squeeze(word), squeeze(seen), squeeze(sizes)),
-                              squeeze(chunk_number << 32 | mark >> 1), _join(np.array(frame["chunk"], dtype=np.int64).tobytes(),
+                              squeeze(chunk_number.astype(np.int64) << 32 | mark >> 1), _join(np.array(frame["chunk"], dtype=np.int64).tobytes(),
                               np.column_stack([v[often] for v in sums.values()]).astype(np.float64).tobytes()), kinds)],
                             columns=["part", "chunk", "a", "b", "c", "d", "kinds"])
 
@@ -447,7 +450,7 @@ def score(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column:
     shares = Shares.of(words)
     unigrams = Unigrams.of(shares)
     parts = max(1, math.ceil(size["tokens"] / PAIRS))
-    frequent = int(shares.n[shares.kinds > PAIRS // 2].sum())
+    frequent = int(shares.n[shares.kinds > FREQUENT].sum())
     shared = docs.sparkSession.sparkContext.broadcast(unigrams)
     dealt = _deal_pairs(chunks, _numbers(words, shares), unigrams, parts, frequent)
     pairs = stage(dealt.groupBy("part").applyInPandas(_merge_pairs(shared, frequent), _PAIR_ROW), "pairs")

@@ -78,11 +78,11 @@ def best_of_block(query: np.ndarray, data: np.ndarray, k: int, ids: np.ndarray)
 
 def _large(query: np.ndarray, data: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same in whole numbers of any size, for components too large for exact doubles; scores
-    outside the range of long become its ends."""
+    outside the range of long become its ends, and tie there."""
     whole = [int(x) for x in query]
-    scores = [sum(a * int(b) for a, b in zip(whole, column)) for column in data.T]
+    scores = [max(-_LONG - 1, min(_LONG, sum(a * int(b) for a, b in zip(whole, column)))) for column in data.T]
     best = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
-    return ids[best], np.array([max(-_LONG - 1, min(_LONG, scores[i])) for i in best], dtype=object)
+    return ids[best], np.array([scores[i] for i in best], dtype=object)
 
 
 def _meet(k: int):

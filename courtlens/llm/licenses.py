@@ -85,22 +85,22 @@ def hits(docs: DataFrame, templates: Sequence[Template], id_column: str, text_co
 def spans(found: DataFrame) -> DataFrame:
     """Verified spans (id, template, label, base, first, score) of hits.
 
-    A base phrase needs all its 3-grams on one diagonal, which is word-for-word equality. Other
-    templates need ``COVER`` of their distinct 3-grams within merged diagonals.
+    A base phrase needs all its 3-grams on one diagonal, which is word-for-word equality, so its
+    diagonals are not merged. Other templates need ``COVER`` of their distinct 3-grams within merged
+    diagonals.
     """
     lines = found.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(
         "id", "template", "label", "base", "length", "grams", "diagonal"
-    ).agg(F.countDistinct("at").alias("votes"), F.min("place").alias("first"), F.collect_set("at").alias("seen"))
-    exact = lines.where("base AND votes = grams").select(
-        "id", "template", "label", "base", F.col("diagonal").cast("long").alias("first"), F.lit(1.0).alias("score"))
+    ).agg(F.min("place").alias("first"), F.collect_set("at").alias("seen"))
     order = Window.partitionBy("id", "template").orderBy("diagonal")
-    runs = lines.where("NOT base").withColumn(
-        "opens", (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT) | F.lag("diagonal").over(order).isNull()
-    ).withColumn("run", F.sum(F.col("opens").cast("int")).over(order))
-    loose = runs.withColumn("at", F.explode("seen")).groupBy("id", "template", "label", "base", "grams", "run").agg(
+    last = F.lag("diagonal").over(order)
+    opens = F.col("base") | last.isNull() | (F.col("diagonal") - last > DRIFT)
+    runs = lines.withColumn("run", F.sum(opens.cast("int")).over(order))
+    merged = runs.withColumn("at", F.explode("seen")).groupBy("id", "template", "label", "base", "grams", "run").agg(
         F.min("first").cast("long").alias("first"), F.countDistinct("at").alias("covered")
-    ).withColumn("score", F.col("covered") / F.col("grams")).where(F.col("score") >= COVER)
-    return exact.unionByName(loose.select("id", "template", "label", "base", "first", "score"))
+    ).withColumn("score", F.col("covered") / F.col("grams"))
+    enough = F.when(F.col("base"), F.col("covered") == F.col("grams")).otherwise(F.col("score") >= COVER)
+    return merged.where(enough).select("id", "template", "label", "base", "first", "score")
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = BASE + NOTICES,

@@ -311,13 +311,14 @@ def serve_stats_from_text(text: Column) -> dict[str, Column]:
             "break_points_saved": F.when(faced > 0, saved / faced)}
 
 
-def newest_valid(typed: DataFrame, n: int = 10) -> DataFrame:
-    """The newest valid matches per text with the number of valid ones and whether that suffices."""
+def newest_valid(typed: DataFrame, n: int = 10, by: str = "doc_id") -> DataFrame:
+    """The newest valid matches per text, or per player of several texts, with the number of valid
+    ones and whether that suffices."""
     valid = typed.filter("is_valid")
-    w = Window.partitionBy("doc_id").orderBy(F.col("match_date").desc(), "row_index")
-    totals = valid.groupBy("doc_id").agg(F.count(F.lit(1)).alias("valid_matches"))
+    w = Window.partitionBy(by).orderBy(F.col("match_date").desc(), "row_index")
+    totals = valid.groupBy(by).agg(F.count(F.lit(1)).alias("valid_matches"))
     picked = valid.withColumn("recent_no", F.row_number().over(w)).filter(F.col("recent_no") <= n)
-    return picked.join(totals, "doc_id").withColumn("enough", F.col("valid_matches") >= n)
+    return picked.join(totals, by).withColumn("enough", F.col("valid_matches") >= n)
 
 
 SERVE_POINTS = 120

@@ -40,10 +40,10 @@ def _pasted_sql() -> str:
     ]
     header = derived.HEADER.replace("\t", "' || chr(9) || '")
     return f"""
-SELECT CAST(substr(player, 10) AS BIGINT) AS doc_id, player AS player_name,
+SELECT CAST(substr(player, 10) AS BIGINT) * 10000 + tourney_date // 10000 AS doc_id, player AS player_name,
   CASE WHEN CAST(right(player, 1) AS INTEGER) % 2 = 0 THEN '{header}' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY tourney_date DESC, match_num DESC) AS text
-FROM (SELECT player, tourney_date, match_num, concat_ws(chr(9), {", ".join(parts)}) AS line FROM dual
-  QUALIFY row_number() OVER (PARTITION BY player ORDER BY tourney_date DESC, match_num DESC) <= 15) GROUP BY player
+FROM (SELECT player, tourney_date, match_num, concat_ws(chr(9), {", ".join(parts)}) AS line FROM dual)
+GROUP BY player, tourney_date // 10000
 """
 
 

@@ -81,7 +81,7 @@ def _(spark, folder):
 
 
 def custom_rows(spark, folder):
-    newest = pasted.newest_valid(typed(spark, folder)).filter("enough")
+    newest = pasted.newest_valid(typed(spark, folder), by="player_name").filter("enough")
     counts = pasted.estimated_counts(newest)
     return counts.select(
         F.col("player_name").alias("player"), "opponent", F.date_format("match_date", "yyyyMMdd").cast("int").alias("tourney_date"),
@@ -103,8 +103,8 @@ def _(spark, folder):
 
 @query("i12_custom_sequence_actuals", "typed_valid", """
 SELECT player_name AS player, CAST(11 - recent_no AS INTEGER) AS step, CAST(a AS DOUBLE) AS days_since_last_match FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY match_date DESC, row_index) AS recent_no, count(*) OVER (PARTITION BY doc_id) AS n FROM typed_valid WHERE is_valid) x,
-  LATERAL (SELECT greatest(0, least(365, coalesce(x.match_date - (SELECT y.match_date FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY match_date DESC, row_index) AS rn FROM typed_valid WHERE is_valid) y WHERE y.doc_id = x.doc_id AND y.rn = x.recent_no + 1 AND y.rn <= 10), 0))) AS a)
+  SELECT *, row_number() OVER (PARTITION BY player_name ORDER BY match_date DESC, row_index) AS recent_no, count(*) OVER (PARTITION BY player_name) AS n FROM typed_valid WHERE is_valid) x,
+  LATERAL (SELECT greatest(0, least(365, coalesce(x.match_date - (SELECT y.match_date FROM (SELECT *, row_number() OVER (PARTITION BY player_name ORDER BY match_date DESC, row_index) AS rn FROM typed_valid WHERE is_valid) y WHERE y.player_name = x.player_name AND y.rn = x.recent_no + 1 AND y.rn <= 10), 0))) AS a)
 WHERE recent_no <= 10 AND n >= 10
 """)
 def _(spark, folder):
@@ -254,7 +254,7 @@ def _(spark, folder):
 
     tables.load_or_build_features(spark, place, ["serve_skill"], lambda: build().select("player", "match_num", "serve_skill"))
     tables.load_or_build_features(spark, place, names, build)
-    again = tables.load_or_build_features(spark, place, names, lambda: build().limit(0))
+    again = tables.load_or_build_features(spark, place, names, build)
     return rounded(again, ["player", "match_num"], names)
 
 

@@ -60,10 +60,10 @@ def _(spark, folder):
 
 @query("c19_slugs_of_texts", "", """
 SELECT doc_id, regexp_replace(regexp_replace(translate(lower(trim(text)), '%s', '%s'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
-FROM documents WHERE lang <> 'zh'
+FROM documents
 """ % (names.ACCENTED, names.PLAIN))
 def _(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet").filter(F.col("lang") != "zh")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     return docs.select("doc_id", names.slug(F.col("text")).alias("slug"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,9 +44,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder so later stages reuse it.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a private
-    one is made only on a local master. A cluster that names none keeps the lineage.
+    one is made only on a local master. On a cluster that names none this raises.
     """
-    if _checkpoint_dir_ready(df.sparkSession):
-        return df.checkpoint(eager=True)
-    warnings.warn("spark.checkpoint.dir is not set; lineage is kept", stacklevel=2)
-    return df
+    if not _checkpoint_dir_ready(df.sparkSession):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    return df.checkpoint(eager=True)

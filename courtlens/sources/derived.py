@@ -105,9 +105,9 @@ HEADER = "Date\tTournament\tSurface\tRd\tRk\tvRk\t\tScore\tDR\tA%\tDF%\t1stIn\t1
 
 
 def pasted_texts(two_sided: DataFrame) -> DataFrame:
-    """The newest fifteen matches of every player as pasted text, half of them with a header line."""
+    """Every match of every player as a line of pasted text: one text per player and year, newest
+    first, half of the players with a header line. A year bounds how many lines a text can have."""
     from courtlens.functions.dates import as_date
-    from courtlens.operators.timeline import newest
 
     def percent(num: str, den: str) -> str:
         x = f"((1000*{num}) div {den})"
@@ -127,11 +127,12 @@ def pasted_texts(two_sided: DataFrame) -> DataFrame:
         percent("player_1stWon", "player_1stIn"), percent("player_2ndWon", "(player_svpt-player_1stIn)"),
         "concat(player_bpSaved, '/', player_bpFaced)", "'1:45'",
     ]
-    rows = newest(two_sided, ["player"], ["tourney_date", "match_num"], 15).withColumn(
-        "day_text", F.date_format(as_date(F.col("tourney_date")), "dd-MMM-yyyy"))
-    lined = rows.select("player", "recent_no", F.expr(f"concat_ws('\\t', {', '.join(parts)})").alias("line"))
-    texts = lined.groupBy("player").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("recent_no", "line"))), lambda x: x.line), "\n").alias("body"))
+    rows = two_sided.withColumn("day_text", F.date_format(as_date(F.col("tourney_date")), "dd-MMM-yyyy"))
+    lined = rows.select(
+        "player", F.expr("tourney_date div 10000").alias("year"), (-F.col("tourney_date")).alias("newest"), (-F.col("match_num")).alias("last"),
+        F.expr(f"concat_ws('\\t', {', '.join(parts)})").alias("line"))
+    texts = lined.groupBy("player", "year").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("newest", "last", "line"))), lambda x: x.line), "\n").alias("body"))
     return texts.select(
-        F.expr("cast(substr(player, 10) as bigint)").alias("doc_id"), F.col("player").alias("player_name"),
+        F.expr("cast(substr(player, 10) as bigint) * 10000 + year").alias("doc_id"), F.col("player").alias("player_name"),
         F.when(F.expr("cast(substr(player, -1) as int) % 2 = 0"), F.concat(F.lit(HEADER + "\n"), "body")).otherwise(F.col("body")).alias("text"))

@@ -6,11 +6,16 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from courtlens.llm import covertree, katz, language, licenses, mixing, packing, pii, simhash, topk, urls
+from courtlens.llm import checks, covertree, katz, language, licenses, mixing, packing, pii, simhash, topk, urls
 from courtlens.llm.common import read, remainder
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+#: Checking SQL of those that SQL can express: no classifier, tokenizer, XXH64 or rewriting.
+SQL: dict[str, str] = {
+    "op2_exact_top_k": checks.top_k("vec_id % 100 = 0"),
+    "op3_cosine_near_duplicates": checks.cosine_groups(),
+    "op10_license_scan": checks.license_labels(),
+}
 
 
 def query(name: str):

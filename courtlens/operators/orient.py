@@ -158,6 +158,7 @@ def with_request_rows(history: DataFrame, requests: DataFrame) -> DataFrame:
 
 def stable_swap(df: DataFrame, seed: int) -> DataFrame:
     """Seeded order of the two rows of a match: ``slot`` 0/1, swapped for about half of them."""
-    swap = F.pmod(F.xxhash64(F.col("match_id"), F.col("match_num"), F.lit(seed)), F.lit(2))
+    digest = F.md5(F.concat_ws("/", F.col("match_id"), F.col("match_num"), F.lit(seed)))
+    swap = F.substring(digest, -1, 1).isin(*"13579bdf").cast("int")
     first = (F.col("player") < F.col("opponent")).cast("int")
     return df.withColumn("slot", F.pmod(F.lit(1) - first + swap, F.lit(2)).cast("int"))

@@ -18,6 +18,7 @@ from courtlens.functions import calibrate, categories, rates
 from courtlens.operators.evaluate import auc_by
 from courtlens.plans.features import ROLLED
 from courtlens.session import cut_lineage
+from courtlens.sources.tables import shared_folder
 
 STYLE_INPUT = tuple(f"{r}_roll30" for r in (
     "player_ace_rate", "player_df_rate", "player_1st_win_pct", "player_2nd_win_pct",
@@ -146,25 +147,41 @@ class Model:
             "_x", "rawPrediction", "probability", "prediction")
 
 
+def _flat(df: DataFrame, fields: Sequence[str], static: Sequence[str]) -> DataFrame:
+    return df.select(flat_vector(F.col("sequence"), fields, static).alias("_x"), F.col("label").cast("double").alias("label"))
+
+
 def fit_model(train: DataFrame, fields: Sequence[str], static: Sequence[str], reg: float = 0.01,
               mix: float = 0.0, rounds: int = 30) -> Model:
-    ready = train.select(flat_vector(F.col("sequence"), fields, static).alias("_x"), F.col("label").cast("double").alias("label"))
+    return _fit(_flat(train, fields, static), fields, static, reg, mix, rounds)
+
+
+def _fit(ready: DataFrame, fields, static, reg: float, mix: float, rounds: int = 30) -> Model:
     lr = LogisticRegression(featuresCol="_x", labelCol="label", regParam=reg, elasticNetParam=mix, maxIter=rounds)
     return Model(lr.fit(ready), tuple(fields), tuple(static))
 
 
-def sweep(train: DataFrame, hold_out: DataFrame, fields, static, regs=(0.001, 0.01, 0.1), mixes=(0.0, 0.5)) -> DataFrame:
-    """Two-stage search: a coarse grid, then a finer one around the best, judged by hold-out AUC."""
+def sweep(train: DataFrame, hold_out: DataFrame, fields, static, regs=(0.0001, 0.001, 0.01, 0.1), mixes=(0.0, 0.5),
+          finer=(0.25, 0.5, 0.75, 2.0, 4.0)) -> DataFrame:
+    """Two-stage search: a coarse grid, then a finer one around the best, judged by hold-out AUC.
+
+    Flat vectors of both splits are stored once in the shared folder, and every trial reads those.
+    """
     spark = train.sparkSession
+    place = shared_folder(spark, "sweep")
+    for name, part in (("train", train), ("hold_out", hold_out)):
+        _flat(part, fields, static).write.parquet(f"{place}/{name}")
+    ready, judged = spark.read.parquet(f"{place}/train"), spark.read.parquet(f"{place}/hold_out")
 
     def trial(reg, mix, stage):
-        scored = fit_model(train, fields, static, reg, mix).score(hold_out)
+        fitted = _fit(ready, fields, static, reg, mix).logistic.transform(judged)
+        scored = fitted.select("label", vector_to_array("probability")[1].alias("prob"))
         auc = auc_by(scored.withColumn("_all", F.lit(1)), ["_all"], "prob", "label").first()["auc"]
         return stage, float(reg), float(mix), float(auc)
 
     trials = [trial(r, m, 1) for r in regs for m in mixes]
     _, reg, mix, _ = max(trials, key=lambda t: t[3])
-    trials += [trial(reg * f, mix, 2) for f in (0.5, 2.0)]
+    trials += [trial(reg * f, mix, 2) for f in finer]
     return spark.createDataFrame(trials, "stage int, reg double, mix double, auc double")
 
 
@@ -237,7 +254,7 @@ def fit_platt(df: DataFrame, prob: str = "raw_probability", actual: str = "actua
     """Slope in [0.01, 20] and intercept in [-10, 10] on the logit, by unregularised logistic regression."""
     ready = df.select(array_to_vector(F.array(calibrate.to_logit(F.col(prob)))).alias("x"), F.col(actual).cast("double").alias("y"))
     lr = LogisticRegression(
-        featuresCol="x", labelCol="y", regParam=0.0, standardization=False, maxIter=100,
+        featuresCol="x", labelCol="y", regParam=0.0, standardization=False, maxIter=200, tol=1e-12,
         lowerBoundsOnCoefficients=Matrices.dense(1, 1, [0.01]), upperBoundsOnCoefficients=Matrices.dense(1, 1, [20.0]),
         lowerBoundsOnIntercepts=Vectors.dense([-10.0]), upperBoundsOnIntercepts=Vectors.dense([10.0]))
     model = lr.fit(ready)

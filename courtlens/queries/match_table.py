@@ -247,7 +247,10 @@ def _(spark, folder):
     return with_default_context(df).select("match_num", "surface", "round", "tourney_level", "tourney_id", "tourney_name")
 
 
-@query("b24_stable_swap")
+@query("b24_stable_swap", "dual", """
+SELECT match_id, match_num, player, CAST((CASE WHEN player < opponent THEN 0 ELSE 1 END
+  + CASE WHEN substr(md5(match_id || '/' || match_num || '/42'), 32, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE 0 END) % 2 AS INTEGER) AS slot FROM dual
+""")
 def _(spark, folder):
     return orient.stable_swap(dual(spark, folder), 42).select("match_id", "match_num", "player", "slot")
 

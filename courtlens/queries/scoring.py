@@ -290,11 +290,30 @@ def _(spark, folder):
     return rounded(scoring.fit_temperature(hold_out), [], ["temperature", "nll"])
 
 
-@query("j08_fitted_platt")
+def _newton(steps: int) -> str:
+    """Slope a and intercept b of a logistic regression of y on l in table s, by Newton steps."""
+    out = ["n0 AS (SELECT CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b)"]
+    for i in range(steps):
+        out.append(f"""n{i + 1} AS (SELECT any_value(a) - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, any_value(b) - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+  SELECT any_value(a) AS a, any_value(b) AS b, sum((p - y) * l) AS ga, sum(p - y) AS gb, sum(p * (1 - p) * l * l) AS haa, sum(p * (1 - p) * l) AS hab, sum(p * (1 - p)) AS hbb
+  FROM (SELECT a, b, l, y, 1 / (1 + exp(-(a * l + b))) AS p FROM s CROSS JOIN n{i})) GROUP BY ga, gb, haa, hab, hbb)""")
+    return ",\n".join(out)
+
+
+@query("j08_fitted_platt", "scored", f"""
+WITH s AS (SELECT {_logit('raw_one')} AS l, actual AS y FROM scored WHERE tourney_date > {TRAIN_UNTIL} AND tourney_date <= {VALIDATE_UNTIL}),
+{_newton(10)},
+t AS (SELECT greatest(least(1 / (1 + exp(-(a * {_logit('raw_one')} + b))), 1 - 1e-6), 1e-6) AS p, actual AS y, a, b FROM scored CROSS JOIN n10 WHERE tourney_date > {VALIDATE_UNTIL})
+SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 4) + 0.0 AS nll, round(avg((p - y) * (p - y)), 4) + 0.0 AS brier,
+  round(any_value(a), 4) + 0.0 AS platt_a, round(any_value(b), 4) + 0.0 AS platt_b FROM t
+""")
 def _(spark, folder):
-    a, b = scoring.fit_platt(combined(spark, folder).filter(F.col("tourney_date") <= VALIDATE_UNTIL))
-    fitted = combined(spark, folder).withColumn("platt", calibrate.with_platt(F.col("raw_probability"), F.lit(a), F.lit(b)))
-    return evaluate.table_loss(fitted, "platt").withColumns({"platt_a": F.lit(a), "platt_b": F.lit(b)})
+    table = combined(spark, folder)
+    a, b = scoring.fit_platt(table.filter((F.col("tourney_date") > TRAIN_UNTIL) & (F.col("tourney_date") <= VALIDATE_UNTIL)))
+    fitted = table.filter(F.col("tourney_date") > VALIDATE_UNTIL).withColumn(
+        "platt", calibrate.with_platt(F.col("raw_probability"), F.lit(a), F.lit(b)))
+    loss = evaluate.table_loss(fitted, "platt").withColumns({"platt_a": F.lit(a), "platt_b": F.lit(b)})
+    return loss.select(*[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in loss.columns])
 
 
 # ---- scalers ------------------------------------------------------------------------------------
@@ -386,7 +405,7 @@ def _(spark, folder):
 def _(spark, folder):
     table = feature_table(spark, folder)
     trials = scoring.sweep(table.filter("split = 'train'"), table.filter("split = 'validation'"),
-                           features.SEQUENCE_FEATURES, features.STATIC_FEATURES, regs=(0.01, 0.1), mixes=(0.0,))
+                           features.SEQUENCE_FEATURES, features.STATIC_FEATURES)
     return scoring.best_trial(trials)
 
 

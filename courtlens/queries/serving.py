@@ -228,20 +228,36 @@ def _(spark, folder):
 _RAW = ["tourney_date", "match_num", "winner_name", "loser_name", "winner_rank", "surface", "score", "w_svpt", "l_bpFaced"]
 
 
-@query("a01_raw_csv_a04_written_table", "matches", """
+_RAW_SQL = """
 SELECT tourney_date, match_num, winner_name, loser_name, winner_rank, surface, score, CAST(w_svpt AS DOUBLE) AS w_svpt, CAST("l_bpFaced" AS DOUBLE) AS "l_bpFaced" FROM matches
-""")
+"""
+
+
+@query("a01_raw_csv_a04_written_table", "matches", _RAW_SQL)
 def _(spark, folder):
     place = tables.shared_folder(spark, "raw")
     df = match_table(spark, folder)
-    df.filter("tourney_date >= 19980101").write.option("header", True).csv(f"{place}/new")
+    df.filter("tourney_date >= 19980101").write.option("header", True).csv(f"{place}/atp_matches_new.csv")
     older = df.filter("tourney_date < 19980101").drop("w_ace", "l_ace")
-    older.write.option("header", True).csv(f"{place}/old")
-    parts = [tables._typed(p) for p in tables._by_header(spark, [f"{place}/new/*.csv", f"{place}/old/*.csv"])]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.select(*_RAW)
+    older.write.option("header", True).csv(f"{place}/older_years/atp_matches_old.csv")
+    stored = tables.shared_folder(spark, "processed")
+    tables.write_table(tables.read_raw_matches(spark, place), stored)
+    return tables.read_table(spark, stored, _RAW)
+
+
+@query("a01_merged_file_fallback", "matches", _RAW_SQL)
+def _(spark, folder):
+    place = tables.shared_folder(spark, "merged")
+    match_table(spark, folder).write.option("header", True).csv(f"{place}/merged.csv")
+    return tables.read_raw_matches(spark, f"{place}/raw", f"{place}/merged.csv").select(*_RAW)
+
+
+@query("a04_table_by_year", "matches", "SELECT tourney_date // 10000 AS year, count(*) AS matches, count(winner_rank) AS ranked FROM matches GROUP BY 1")
+def _(spark, folder):
+    stored = tables.shared_folder(spark, "processed")
+    tables.write_table(match_table(spark, folder), stored)
+    df = tables.read_table(spark, stored, ["year", "winner_rank"])
+    return df.groupBy("year").agg(F.count(F.lit(1)).alias("matches"), F.count("winner_rank").alias("ranked"))
 
 
 @query("a05_feature_cache", "skilled", "SELECT player, match_num, round(serve_skill, 6) + 0.0 AS serve_skill, round(return_skill, 6) + 0.0 AS return_skill FROM skilled")

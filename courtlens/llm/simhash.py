@@ -116,7 +116,7 @@ def _look_up(crowd: DataFrame, fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fingerprint, component_id) per row.
+    """(doc_id, fingerprint, component_id, group) per row; group is a fingerprint that names the component.
 
     Rows whose fingerprints differ in ``REACH`` bits at most are linked; component_id is the smallest
     doc_id reachable. Null and empty texts share fingerprint 0 and are linked like any other. Null
@@ -128,18 +128,33 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     joined = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(joined.join(smallest, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = stage(joined.join(smallest, "root").select("fp", "component_id", "root"), "named")
+    return rows.join(named, "fp").select("doc_id", _digits("fp").alias("fingerprint"), "component_id", _digits("root").alias("group"))
+
+
+def _digits(fp: str) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of the smallest id of every group, all columns; of a repeated id one row stays.
 
-    Rows with a null id cannot be told apart: if no other id is in their group, one of them stays.
+    Rows with a null id give way to any other row of their group; a group without an id keeps the
+    row of its smallest text.
     """
-    found = near_duplicates(docs, id_column, text_column)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    chosen = docs.join(kept, docs[id_column].eqNullSafe(kept["__kept"]), "left_semi")
-    place = F.row_number().over(Window.partitionBy(id_column).orderBy(F.col(text_column)))
-    return chosen.select("*", place.alias("__place")).where("__place = 1").drop("__place")
+    found = stage(near_duplicates(docs, id_column, text_column), "groups")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    chosen = _one_each(docs.join(kept, docs[id_column] == kept["__kept"], "left_semi"), id_column, text_column)
+    nameless = found.where("component_id IS NULL").select(F.col("fingerprint").alias("__fp"), F.col("group").alias("__group")).distinct()
+    if nameless.isEmpty():
+        return chosen
+    rows = docs.where(F.col(id_column).isNull())
+    texts = fingerprints(rows.select(text_column).distinct(), text_column, text_column).select(
+        F.col("doc_id").alias("__text"), _digits("fp").alias("__fp"))
+    least = texts.join(nameless, "__fp").groupBy("__group").agg(F.min("__text").alias("__text"))
+    return chosen.unionByName(_one_each(rows.join(least, rows[text_column].eqNullSafe(least["__text"]), "left_semi"), text_column, id_column))
+
+
+def _one_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.select("*", place.alias("__place")).where("__place = 1").drop("__place")

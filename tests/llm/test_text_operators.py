@@ -154,6 +154,14 @@ def test_groups_of_odd_rows(documents):
     assert simhash.near_duplicates(documents([])).count() == 0 and simhash.keep_one(documents([])).count() == 0
 
 
+def test_rows_without_an_id_are_kept_by_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a, "x"), (None, a, "y"), (None, b, "x"), (1, c, "x"), (None, c, "y"), (None, None, "x"), (None, "", "y")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, `group` string"))
+    assert kept.columns == ["doc_id", "text", "group"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, a), (0, b), (1, c)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 200), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -27,7 +27,7 @@ END = 0
 #: Pieces numbered together in one window at most, on average.
 PER_WINDOW = 100_000
 #: Words kept with their ids in each worker.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 
 # ---- tokens --------------------------------------------------------------------------------------
 

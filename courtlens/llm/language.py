@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Characters of text handled at once; longer texts go through in pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 

@@ -48,11 +48,6 @@ def bucket_of(rank: Column, buckets, unranked: str | None = None) -> Column:
     return F.when(rank.isNull() | (rank == 0), missing).otherwise(label)
 
 
-def bucket_position(label: Column, buckets) -> Column:
-    names = F.array(*[F.lit(name) for name, _, _ in buckets])
-    return F.array_position(names, label).cast("int")
-
-
 def inverse_rank(rank: Column) -> Column:
     """``1 / rank`` with unranked opponents taken as 1000."""
     value = F.coalesce(rank.cast("double"), F.lit(1000.0))

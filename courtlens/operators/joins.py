@@ -28,7 +28,3 @@ def with_match_info(predictions: DataFrame, matches: DataFrame, key: Sequence[st
     order = [F.col("match_num")] if "match_num" not in key else [F.col(key[0])]
     info = one_per_key(matches.select(*{*key, "match_num"}, *INFO), list(key), order).select(*key, *INFO)
     return predictions.join(info, list(key), "left").withColumns({c: F.coalesce(c, F.lit("")) for c in INFO})
-
-
-def prediction_odds(predictions: DataFrame, odds: DataFrame) -> DataFrame:
-    return predictions.join(odds, "match_num")

@@ -30,18 +30,6 @@ def row_sequences(df: DataFrame, fields: Sequence[str], n: int = SEQ_LEN, rows_p
     return out.filter(F.size("sequence") == n).withColumn("mask", F.array_repeat(F.lit(1.0), n))
 
 
-def short_sequences(df: DataFrame, fields: Sequence[str], n: int = SEQ_LEN) -> DataFrame:
-    """As ``row_sequences`` but shorter histories are kept and padded with zeros on the left."""
-
-    def build(w):
-        return {"_hist": F.collect_list(_clean(fields)).over(w.rowsBetween(-n, -1))}
-
-    out = history_columns(df, ["player"], DAY, ORDER, n, build)
-    return out.withColumns({
-        "sequence": left_padded(F.col("_hist"), fields, n), "mask": mask_of(F.size("_hist"), n),
-    }).drop("_hist")
-
-
 def strict_history(df: DataFrame, fields: Sequence[str], n: int = SEQ_LEN, name: str = "history") -> DataFrame:
     """The last ``n`` rows of the player with a strictly earlier date.
 

@@ -11,7 +11,6 @@ from courtlens.operators import orient
 from courtlens.operators.timeline import newest, one_per_key
 
 ORDER = ("tourney_date", "match_num")
-LATEST = F.struct
 
 
 # ---- single rows ----------------------------------------------------------------------------
@@ -300,8 +299,7 @@ def round_sizes(rows: DataFrame) -> DataFrame:
 
 
 def tournament_list(events: DataFrame) -> DataFrame:
-    """Grouped list: one entry per name and start date, known tiers only, newest first inside a tier."""
+    """Grouped list: one entry per name and start date, known tiers only; sort it where it is shown."""
     group = categories.lookup(F.col("tournament_level"), categories.LIST_GROUPS, F.lit(None).cast("string"))
     single = one_per_key(events, ["tourney_name", "start_date"], [F.col("tournament_id"), F.col("year_month")])
-    return single.withColumn("tier", group).filter("tier IS NOT NULL").orderBy(
-        "tier", F.col("start_date").desc(), "tourney_name")
+    return single.withColumn("tier", group).filter("tier IS NOT NULL")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from courtlens.functions import categories, decay, rates, ranks
 from courtlens.operators import sequences, windows
+from courtlens.operators.timeline import newest
 from courtlens.plans import features, legacy
 from courtlens.queries.base import cte, dual, match_table, player_table, query, r6, rounded, sql_r6
 from courtlens.session import cut_lineage
@@ -207,7 +208,9 @@ SELECT player, match_num, tourney_date, round(serve_skill, 6) + 0.0 AS serve_ski
 FROM skilled QUALIFY row_number() OVER (PARTITION BY player ORDER BY tourney_date DESC, match_num DESC) = 1
 """)
 def _(spark, folder):
-    df = features.with_skills(features.with_rolling(rated(spark, folder), windows=(10,)))
+    # the newest row of a player needs no more than the ten before it
+    recent = newest(rated(spark, folder), features.KEY, features.ORDER, 11).drop("recent_no")
+    df = features.with_skills(features.with_rolling(recent, windows=(10,)))
     latest = df.groupBy("player").agg(F.max_by(
         F.struct("match_num", "tourney_date", "serve_skill", "return_skill"), F.struct("tourney_date", "match_num")).alias("r"))
     return rounded(latest.select("player", "r.*"), ["player", "match_num", "tourney_date"], ["serve_skill", "return_skill"])
@@ -582,7 +585,6 @@ def _(spark, folder):
 
 @query("f27_last_ten", "recent", "SELECT player, match_num, CAST(back AS INTEGER) AS recent_no FROM recent WHERE back <= 10")
 def _(spark, folder):
-    from courtlens.operators.timeline import newest
     return newest(dual(spark, folder), ["player"], ["tourney_date", "match_num"], 10).select("player", "match_num", "recent_no")
 
 

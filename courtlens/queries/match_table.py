@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from courtlens.functions import dates
 from courtlens.operators import orient
-from courtlens.operators.timeline import newest, one_per_key
 from courtlens.queries.base import cte, dual, match_table, player_table, query, r6, sql_r6
 from courtlens.sources import derived
 
@@ -277,8 +276,4 @@ def _(spark, folder):
 SELECT match_id, min(match_num) AS first_num, max(match_num) AS last_num FROM dual GROUP BY match_id
 """)
 def _(spark, folder):
-    df = dual(spark, folder)
-    first = one_per_key(df, ["match_id"], [F.col("match_num"), F.col("player")])
-    last = one_per_key(df, ["match_id"], [F.col("match_num").desc(), F.col("player")])
-    return first.select("match_id", F.col("match_num").alias("first_num")).join(
-        last.select("match_id", F.col("match_num").alias("last_num")), "match_id")
+    return dual(spark, folder).groupBy("match_id").agg(F.min("match_num").alias("first_num"), F.max("match_num").alias("last_num"))

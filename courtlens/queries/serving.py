@@ -291,8 +291,8 @@ def _(spark, folder):
     place = tables.shared_folder(spark, "newest")
     df = predictions(spark, folder).select("match_num", "tourney_date")
     for year in (1999, 2000):
-        df.filter(F.floor(F.col("tourney_date") / 10000) == year).repartition(1).write.mode("append").parquet(f"{place}/run={year}")
-    newest = tables.newest_file(spark, f"{place}/run=*/*.parquet", "none")
+        df.filter(F.floor(F.col("tourney_date") / 10000) == year).write.mode("append").parquet(f"{place}/run={year}")
+    newest = tables.newest_run(spark, f"{place}/run=*/*.parquet", "none")
     return spark.read.parquet(newest).agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -541,7 +541,8 @@ SELECT tourney_name, start_date, tournament_id, tournament_level, matches, CASE
 WHERE tournament_level IN ('G','M','500','250','A') QUALIFY row_number() OVER (PARTITION BY tourney_name, start_date ORDER BY tournament_id, year_month) = 1
 """)
 def _(spark, folder):
-    return views.tournament_list(views.tournaments(tournament_rows(spark, folder))).select(
+    listed = views.tournament_list(views.tournaments(tournament_rows(spark, folder)))
+    return listed.orderBy("tier", F.col("start_date").desc(), "tourney_name").select(
         "tourney_name", "start_date", "tournament_id", "tournament_level", "matches", "tier")
 
 

@@ -148,12 +148,13 @@ def read_predictions(spark: SparkSession, path: str, year: int) -> DataFrame | N
     return spark.read.schema(PREDICTION_SCHEMA).json(f"{path}/by_year").filter(F.col("year") == year)
 
 
-def newest_file(spark: SparkSession, pattern: str, fallback: str) -> str:
-    """Path of the newest file matching a pattern, else the fallback."""
+def newest_run(spark: SparkSession, pattern: str, fallback: str) -> str:
+    """Folder of the newest file matching a pattern, else the fallback: a run writes one folder of files."""
     if not _exists(spark, pattern):
         return fallback
     files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
-    return files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+    newest = files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+    return newest.rsplit("/", 1)[0]
 
 
 # ---- parameters and reports --------------------------------------------------------------------

@@ -66,10 +66,17 @@ def test_drawdown_is_in_currency(spark):
     assert ledger.drawdown(df, ["strategy"]).first().max_drawdown == pytest.approx(4.474396046333027)
 
 
-def test_summary_ratios_match_published_ones(spark):
+def test_summary_of_a_path(spark):
     # published: 227 of 828 matches, ROI 123.187 at drawdown 23.494
-    assert 123.186993682975 / 23.494039518041006 == pytest.approx(5.243329413192255)
-    assert 227 / 828 * 100 == pytest.approx(27.415458937198068)
+    values = [100.0 + k * 0.5 for k in range(225)] + [246.681033200998, 223.186993682975]
+    rows = [("a", k + 1, 0, v, k % 3 > 0, 0.1) for k, v in enumerate(values)]
+    path = spark.createDataFrame(rows, "strategy string, bet_number long, _block long, bankroll double, won boolean, edge double")
+    totals = spark.createDataFrame([("a", 828)], "strategy string, num_total_matches long")
+    r = ledger.summary(path, ["strategy"], totals, ["strategy"]).first()
+    assert (r.num_bets_placed, r.bets_won, r.bets_lost) == (227, 151, 76)
+    assert r.roi_pct == pytest.approx(123.186993682975) and r.max_drawdown == pytest.approx(23.494039518023)
+    assert r.risk_adjusted_roi == pytest.approx(5.243329413192255)
+    assert r.pct_bet_on == pytest.approx(27.415458937198068)
 
 
 def test_confusion_matches_published_ratios(spark):

@@ -9,6 +9,11 @@ that bit clear meet rows with it set, so equal halves meet once and not 33 times
 Copies share one fingerprint and are one row here, so groups of copies cost nothing. Halves shared
 by more than ``CROWD`` different fingerprints are not joined pairwise: their fingerprints look up
 every fingerprint in reach instead, a fixed number of exact keys each. Both ways are exact.
+
+``keep_one`` is after texts that share four fifths of their five-word shingles, which two bits miss
+mostly. It cuts fingerprints into three segments, takes as candidates those that differ in one bit of
+a segment at most (always so up to five bits, often beyond) and in ``NEAR_BITS`` in all, and links
+those whose shingles confirm it.
 """
 
 from __future__ import annotations
@@ -27,9 +32,14 @@ from courtlens.llm.components import components
 SHINGLE = 3
 SEED = 42
 REACH = 2
-HALF = 32
+SEGMENTS = 2
 #: Different fingerprints that may share a half before look-ups replace the join.
 CROWD = 20_000
+#: For ``keep_one``: words of a shingle, the similarity of linked texts, segments, and bits candidates may differ in.
+NEAR_SHINGLE = 5
+NEAR = 0.8
+NEAR_SEGMENTS = 3
+NEAR_BITS = 9
 _PIECE = 1 << 17
 
 
@@ -39,19 +49,25 @@ def fingerprint(text: str | None) -> int:
     Fewer words than a shingle make one shingle of what there is; no word gives 0.
     """
     words = words_of(text)
-    if not words:
-        return 0
+    return _majority(_hashes(words, SHINGLE)) if words else 0
+
+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words, or of all words if there are fewer."""
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) > SHINGLE:
-        ends = ends[SHINGLE - 1:]
+    if len(words) > size:
+        ends = ends[size - 1:]
         starts = starts[:len(ends)]
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), dtype=np.uint64, count=len(starts))
+
+
+def _majority(hashes: np.ndarray) -> int:
     set_bits = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _PIECE):
         part = hashes[at:at + _PIECE].view(np.uint8).reshape(-1, 8)
@@ -73,33 +89,80 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return inner.mapInArrow(work, f"doc_id {kind}, fp long")
 
 
-def _half(fp: Column, side: int) -> Column:
-    return fp.bitwiseAND((1 << HALF) - 1) if side == 0 else F.shiftrightunsigned(fp, HALF)
+def _shingles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, fp, shingles) per row: the fingerprint and the different hashes, cut to 32 bits, of
+    the runs of ``NEAR_SHINGLE`` words; none for a text without a word."""
+    inner = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    kind = dict(inner.dtypes)["doc_id"]
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, parts = [], [0], [np.zeros(0, np.int32)]
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                fps.append(_majority(_hashes(words, SHINGLE)) if words else 0)
+                part = np.unique(_hashes(words, NEAR_SHINGLE).astype(np.uint32).view(np.int32)) if words else parts[0]
+                parts.append(part)
+                sizes.append(len(part))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), lists], ["doc_id", "fp", "shingles"])
+
+    return inner.mapInArrow(work, f"doc_id {kind}, fp long, shingles array<int>")
 
 
 def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _variants(cut: DataFrame) -> DataFrame:
+    """(fp, own, whole, key) for each segment as it is (``whole``) and with each of its bits deleted;
+    own is the deleted bit. A key is segment, deleted bit (its width: none) and the rest."""
+    deleted = cut.select("fp", "side", "width", "part", F.explode(F.sequence(F.lit(0), F.col("width"))).alias("bit"))
+    return deleted.select(
+        "fp", F.expr("shiftright(part, bit) & 1").alias("own"), (F.col("bit") == F.col("width")).alias("whole"),
+        F.expr("shiftleft(CAST(side * 64 + bit AS BIGINT), 32) | IF(bit = width, part, part & ~shiftleft(1L, bit))").alias("key"))
+
+
+def _cut(fps: DataFrame, segments: int) -> DataFrame:
+    """(fp, side, width, part): the segments of each fingerprint, of 32 bits at most."""
+    bounds = [64 * i // segments for i in range(segments + 1)]
+    parts = [F.struct(F.lit(i).alias("side"), F.lit(b - a).alias("width"),
+                      F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1).alias("part"))
+             for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    return fps.select("fp", F.explode(F.array(*parts)).alias("s")).select("fp", "s.*")
+
+
+def _meeting(cut: DataFrame, bits: int) -> DataFrame:
+    """(u, v) of fingerprints that share a variant and differ in ``bits`` at most."""
+    variants = _variants(cut)
+    left = variants.where("whole OR own = 0").select(F.col("fp").alias("u"), "key")
+    right = variants.where("whole OR own = 1").select(F.col("fp").alias("v"), "key")
+    return left.join(right, "key").where((F.col("u") != F.col("v")) & (_distance("u", "v") <= bits)).select("u", "v")
+
+
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(u, v) of different fingerprints of column ``fp`` at distance 1 or 2; a pair may come twice."""
-    halves = fps.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn(
-        "half", F.when(F.col("side") == 0, _half(F.col("fp"), 0)).otherwise(_half(F.col("fp"), 1)))
-    crowded = halves.groupBy("side", "half").count().where(F.col("count") > crowd).select("side", "half")
+    halves = _cut(fps, SEGMENTS)
+    crowded = halves.groupBy("side", "part").count().where(F.col("count") > crowd).select("side", "part")
     crowded = stage(crowded, "crowded")
-    apart, lookups = halves, None
-    if not crowded.isEmpty():
-        apart = halves.join(crowded, ["side", "half"], "left_anti")
-        lookups = _look_up(halves.join(crowded, ["side", "half"], "left_semi"), fps)
-    # A key is side, deleted bit (HALF: none) and the rest of the half; 32 + 6 + 1 bits.
-    bit = F.explode(F.sequence(F.lit(0), F.lit(HALF))).alias("bit")
-    variants = apart.select("fp", "side", "half", bit).select(
-        "fp", F.expr("shiftright(half, bit) & 1").alias("own"), (F.col("bit") == HALF).alias("whole"),
-        F.expr(f"shiftleft(CAST(side * 64 + bit AS BIGINT), {HALF}) | IF(bit = {HALF}, half, half & ~shiftleft(1L, bit))").alias("key"))
-    left = variants.where("whole OR own = 0").select(F.col("fp").alias("u"), "key")
-    right = variants.where("whole OR own = 1").select(F.col("fp").alias("v"), "key")
-    found = left.join(right, "key").where((F.col("u") != F.col("v")) & (_distance("u", "v") <= REACH)).select("u", "v")
-    return found if lookups is None else found.union(lookups)
+    if crowded.isEmpty():
+        return _meeting(halves, REACH)
+    lookups = _look_up(halves.join(crowded, ["side", "part"], "left_semi"), fps)
+    return _meeting(halves.join(crowded, ["side", "part"], "left_anti"), REACH).union(lookups)
+
+
+def _similar(rows: DataFrame) -> DataFrame:
+    """(u, v) of fingerprints whose texts share ``NEAR`` of their shingles, out of the candidates.
+
+    A fingerprint stands for the least list of shingles of its rows; only candidates' lists move.
+    """
+    met = _meeting(_cut(rows.select("fp").distinct(), NEAR_SEGMENTS), NEAR_BITS)
+    pairs = stage(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+    lists = stage(rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
+    both = pairs.join(lists.toDF("u", "a"), "u").join(lists.toDF("v", "b"), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= NEAR * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
 def _masks() -> list[int]:
@@ -124,7 +187,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     rows = stage(fingerprints(docs, id_column, text_column), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), crowd))
+    return _grouped(rows, classes, links(classes.select("fp"), crowd))
+
+
+def _grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = components(edges)
     joined = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -137,12 +204,16 @@ def _digits(fp: str) -> Column:
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of the smallest id of every group, all columns; of a repeated id one row stays.
+    """The rows of the smallest id of every group of similar texts, all columns; of a repeated id one row stays.
 
+    Texts of one fingerprint are copies; others are linked if ``NEAR`` of their different runs of
+    ``NEAR_SHINGLE`` words (Jaccard) are shared. Texts without a word are copies of one another.
     Rows with a null id give way to any other row of their group; a group without an id keeps the
     row of its smallest text.
     """
-    found = stage(near_duplicates(docs, id_column, text_column), "groups")
+    rows = stage(_shingles(docs, id_column, text_column), "shingled")
+    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    found = stage(_grouped(rows, classes, _similar(rows)), "groups")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     chosen = _one_each(docs.join(kept, docs[id_column] == kept["__kept"], "left_semi"), id_column, text_column)
     nameless = found.where("component_id IS NULL").select(F.col("fingerprint").alias("__fp"), F.col("group").alias("__group")).distinct()

@@ -162,6 +162,40 @@ def test_rows_without_an_id_are_kept_by_group(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, a), (0, b), (1, c)]
 
 
+def test_one_of_similar_texts_stays(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 240)]
+        texts.append(words)
+        for changed in (1, 2, 3, 5, 8, 12, 20, 40):
+            other = list(words)
+            for at in rng.choice(len(words), changed, replace=False):
+                other[at] = f"v{rng.integers(0, 5000)}"
+            texts.append(other)
+        texts += [words[:120] + [f"u{g}{i}" for i in range(120)], words]
+    fps = [naive_fingerprint(" ".join(t)) for t in texts]
+    runs = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def linked(a, b):
+        apart = fps[a] ^ fps[b]
+        parts = [apart & (1 << 21) - 1, apart >> 21 & (1 << 21) - 1, apart >> 42]
+        shared = len(runs[a] & runs[b])
+        alike = shared / (len(runs[a]) + len(runs[b]) - shared) >= 0.8
+        return apart == 0 or alike and apart.bit_count() <= 9 and min(p.bit_count() for p in parts) <= 1
+
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if linked(a, b)]
+    for _ in texts:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == [i for i, r in enumerate(root) if i == r]
+    for g in range(6):  # one changed word of 240 goes, half a text or 40 changed words stay
+        assert 11 * g + 1 not in kept and 11 * g + 10 not in kept and {11 * g, 11 * g + 8, 11 * g + 9} <= set(kept)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 200), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

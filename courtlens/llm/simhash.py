@@ -10,14 +10,17 @@ Copies share one fingerprint and are one row here, so groups of copies cost noth
 by more than ``CROWD`` different fingerprints are not joined pairwise: their fingerprints look up
 every fingerprint in reach instead, a fixed number of exact keys each. Both ways are exact.
 
-``keep_one`` is after texts that share four fifths of their five-word shingles, which two bits miss
-mostly. It cuts fingerprints into three segments, takes as candidates those that differ in one bit of
-a segment at most (always so up to five bits, often beyond) and in ``NEAR_BITS`` in all, and links
-those whose shingles confirm it.
+``keep_one`` is after texts that share four fifths of their five-word shingles, which no number of
+bits tells surely. It is an exact join: shingles are put into one order, rare ones first, and of two
+such texts a fixed first part of both must have a shingle in common (prefix filter). All texts of
+such a shingle are first compared with one of them; only texts that this left in different groups
+are compared pair by pair, so a large group of near copies costs a multiple of its size. Every link
+is confirmed on the whole lists.
 """
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 from typing import Iterable, Iterator
 
@@ -35,11 +38,14 @@ REACH = 2
 SEGMENTS = 2
 #: Different fingerprints that may share a half before look-ups replace the join.
 CROWD = 20_000
-#: For ``keep_one``: words of a shingle, the similarity of linked texts, segments, and bits candidates may differ in.
+#: For ``keep_one``: words of a shingle, and the similarity of linked texts as a fraction.
 NEAR_SHINGLE = 5
-NEAR = 0.8
-NEAR_SEGMENTS = 3
-NEAR_BITS = 9
+NEAR = (4, 5)
+#: Counters that tell rare shingles from frequent ones, and blocks they are summed in. Shingles that
+#: share a counter only change the order, which may be any.
+COUNTERS, BLOCKS = 1 << 20, 16
+#: Bits of the filter that spares most lists the way to a join.
+MARKS = 1 << 23
 _PIECE = 1 << 17
 
 
@@ -90,8 +96,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def _shingles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, fp, shingles) per row: the fingerprint and the different hashes, cut to 32 bits, of
-    the runs of ``NEAR_SHINGLE`` words; none for a text without a word."""
+    """(doc_id, fp, shingles) per row: the different hashes, cut to 32 bits, of the runs of
+    ``NEAR_SHINGLE`` words, none for a text without a word; ``fp`` is the 64-bit hash of that list."""
     inner = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = dict(inner.dtypes)["doc_id"]
 
@@ -100,16 +106,96 @@ def _shingles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
             fps, sizes, parts = [], [0], [np.zeros(0, np.int32)]
             for text in batch.column("text"):
                 words = words_of(text.as_py())
-                fps.append(_majority(_hashes(words, SHINGLE)) if words else 0)
                 part = np.unique(_hashes(words, NEAR_SHINGLE).astype(np.uint32).view(np.int32)) if words else parts[0]
+                fps.append(xxhash.xxh64_intdigest(part.tobytes(), SEED))
                 parts.append(part)
                 sizes.append(len(part))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), lists], ["doc_id", "fp", "shingles"])
+            made = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made, lists], ["doc_id", "fp", "shingles"])
 
     return inner.mapInArrow(work, f"doc_id {kind}, fp long, shingles array<int>")
 
 
+def _only(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows (fp, shingles) whose fp has its bit set."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("fp").to_numpy(zero_copy_only=False) & (MARKS - 1)
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1))
+
+    return rows.select("fp", "shingles").mapInArrow(work, "fp long, shingles array<int>")
+
+
+def _marked(fps: DataFrame) -> np.ndarray:
+    """A bit for each fp of the table, which others may share: a filter ahead of a join."""
+    slots = fps.select(F.col("fp").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("slot")).distinct()
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = np.zeros(MARKS, np.uint8)
+        for batch in batches:
+            made[batch.column("slot").to_numpy(zero_copy_only=False)] = 1
+        packed = zlib.compress(np.packbits(made, bitorder="little").tobytes(), 1)
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([packed], pa.binary())})
+
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in slots.mapInArrow(work, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
+def _counters(rows: DataFrame) -> np.ndarray:
+    """How many shingles of all rows fall to each counter; one small table whatever the input."""
+    width = COUNTERS // BLOCKS
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            values = batch.column("shingles").flatten().to_numpy(zero_copy_only=False)
+            made += np.bincount(values & (COUNTERS - 1), minlength=COUNTERS)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "counts": pa.array(
+            [zlib.compress(made[i:i + width].tobytes(), 1) for i in range(0, COUNTERS, width)], pa.binary())})
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = np.zeros(width, np.int64)
+        for batch in batches:
+            for raw in batch.column("counts").to_pylist():
+                made += np.frombuffer(zlib.decompress(raw), np.int64)
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([made.tobytes()], pa.binary())})
+
+    kind = "block int, counts binary"
+    parts = rows.select("shingles").mapInArrow(count, kind).groupBy("block").applyInArrow(add, kind).collect()
+    out = np.zeros(COUNTERS, np.int64)
+    for r in parts:
+        out[r["block"] * width:(r["block"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """(fp, size, prefix) per different list: its size and as many of its rarest shingles, in order,
+    as it can have before the first one shared with a similar list that is no larger."""
+    shared = rows.sparkSession.sparkContext.broadcast(_counters(rows))
+    over, under = NEAR
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            fps, parts = batch.column("fp"), []
+            sizes = []
+            for values in batch.column("shingles"):
+                values = values.values.to_numpy(zero_copy_only=False)
+                least = -(-len(values) * over // under)
+                order = np.lexsort((values, counts[values & (COUNTERS - 1)]))
+                parts.append(values[order[:len(values) - least + 1]])
+                sizes.append(len(values))
+            yield pa.RecordBatch.from_arrays([fps, pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int32()))], ["fp", "size", "prefix"])
+
+    made = rows.select("fp", "shingles").mapInArrow(work, "fp long, size int, prefix array<int>")
+    return made.dropDuplicates(["fp"])
+
+
 def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
@@ -152,17 +238,58 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def _similar(rows: DataFrame) -> DataFrame:
-    """(u, v) of fingerprints whose texts share ``NEAR`` of their shingles, out of the candidates.
-
-    A fingerprint stands for the least list of shingles of its rows; only candidates' lists move.
-    """
-    met = _meeting(_cut(rows.select("fp").distinct(), NEAR_SEGMENTS), NEAR_BITS)
-    pairs = stage(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    """(u, v) of lists that share ``NEAR`` of their shingles, enough of them to connect all such lists."""
+    placed = _prefixes(rows).select("fp", "size", F.posexplode("prefix").alias("at", "token"))
+    bucket = Window.partitionBy("token")
+    marked = placed.select("*", F.min("fp").over(bucket).alias("pivot"), F.max("fp").over(bucket).alias("last"),
+                           F.min_by(F.struct("size", "at"), "fp").over(bucket).alias("p"))
+    met = stage(marked.where("pivot <> last").drop("last"), "met")
+    star = met.where(F.col("fp") != F.col("pivot")).where(_may_be_similar("p.size", "p.at", "size", "at")).select(
+        F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v"), _least_shared("p.size", "size"))
+    first = stage(_confirmed(rows, star), "links")
+    roots = components(first)
+    named = met.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = stage(named.select("token", "fp", "size", "at", "root", (F.col("fp") == F.col("pivot")).alias("is_pivot")), "named")
+    # A pair of different groups has a side that is not of the pivot's group; that side is the left one.
+    split = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.when(F.col("is_pivot"), F.col("root"))).alias("main"))
+    open_rows = named.join(split.where("a <> b").select("token", "main"), "token")
+    left = open_rows.where("root <> main").select("token", *[F.col(c).alias(f"l_{c}") for c in ("fp", "size", "at", "root")])
+    right = open_rows.select("token", "fp", "size", "at", "root", (F.col("root") == F.col("main")).alias("of_main"))
+    apart = left.join(right, "token").where((F.col("l_root") != F.col("root")) & (F.col("of_main") | (F.col("l_fp") < F.col("fp"))))
+    rest = apart.where(_may_be_similar("l_size", "l_at", "size", "at")).select(
+        F.least("l_fp", "fp").alias("u"), F.greatest("l_fp", "fp").alias("v"), _least_shared("l_size", "size"))
+    return first.union(_confirmed(rows, rest))
+
+
+def _may_be_similar(size: str, at: str, other_size: str, other_at: str) -> Column:
+    """Whether lists of these sizes that share the shingle at these places can be similar: no more
+    shingles are shared than the shorter rests before and after it have."""
+    over, under = NEAR
+    a, i, b, j = (F.col(c).cast("long") for c in (size, at, other_size, other_at))
+    most = F.least(i, j) + F.least(a - i, b - j)
+    return (F.least(a, b) * under >= F.greatest(a, b) * over) & (most * (over + under) >= (a + b) * over)
+
+
+def _least_shared(size: str, other_size: str) -> Column:
+    """How many shingles the first parts of similar lists of these sizes have in common at least:
+    what the similarity asks for less what can follow the first part that ends earlier."""
+    over, under = NEAR
+    a, b = (F.col(c).cast("long") for c in (size, other_size))
+    behind = F.ceil(F.greatest(a, b) * over / under) - 1
+    return (F.ceil((a + b) * over / (over + under)) - behind).alias("need")
+
+
+def _confirmed(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """The pairs whose lists are similar, of (u, v, need) with a row for each shingle that the first
+    parts share. The first pass has a part of those rows and may miss pairs; the second has all."""
+    over, under = NEAR
+    often = met.groupBy("u", "v").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
+    pairs = stage(often.select("u", "v"), "candidates")
     asked = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
-    lists = stage(rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
+    lists = stage(_only(rows, _marked(asked)).join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "shingles")
     both = pairs.join(lists.toDF("u", "a"), "u").join(lists.toDF("v", "b"), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= NEAR * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    return both.where(shared * under >= over * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
 def _masks() -> list[int]:
@@ -206,8 +333,8 @@ def _digits(fp: str) -> Column:
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of the smallest id of every group of similar texts, all columns; of a repeated id one row stays.
 
-    Texts of one fingerprint are copies; others are linked if ``NEAR`` of their different runs of
-    ``NEAR_SHINGLE`` words (Jaccard) are shared. Texts without a word are copies of one another.
+    Texts are linked if ``NEAR`` of their different runs of ``NEAR_SHINGLE`` words (Jaccard) are
+    shared, all such pairs and no others. Texts without a word are copies of one another.
     Rows with a null id give way to any other row of their group; a group without an id keeps the
     row of its smallest text.
     """
@@ -220,7 +347,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     if nameless.isEmpty():
         return chosen
     rows = docs.where(F.col(id_column).isNull())
-    texts = fingerprints(rows.select(text_column).distinct(), text_column, text_column).select(
+    texts = _shingles(rows.select(text_column).distinct(), text_column, text_column).select(
         F.col("doc_id").alias("__text"), _digits("fp").alias("__fp"))
     least = texts.join(nameless, "__fp").groupBy("__group").agg(F.min("__text").alias("__text"))
     return chosen.unionByName(_one_each(rows.join(least, rows[text_column].eqNullSafe(least["__text"]), "left_semi"), text_column, id_column))

@@ -384,3 +384,24 @@ def test_license_places_equal_plain_ones(documents):
         assert set(filter(None, labels.split(","))) <= set(row["labels"].split(",")) and 0 <= row["score"] <= 1
     assert out[len(texts) - 1]["labels"] == "mit" and out[len(texts) - 1]["base_labels"] == ""
     assert licenses.annotate(documents(ODD)).count() == len(ODD) and licenses.annotate(documents([])).count() == 0
+
+
+def test_all_pairs_at_four_fifths_are_linked_and_no_others(spark):
+    rng = random.Random(7)
+    texts = []
+    for g in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([40, 90, 200]))]
+        for _ in range(12):
+            other = list(base)
+            for at in rng.sample(range(len(base)), rng.randint(1, max(2, len(base) // 25))):
+                other[at] = f"v{rng.randrange(4000)}"
+            texts.append(other)
+    runs = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if 5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b])]
+    for _ in texts:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == [i for i, r in enumerate(root) if i == r]

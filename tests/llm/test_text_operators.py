@@ -405,3 +405,10 @@ def test_all_pairs_at_four_fifths_are_linked_and_no_others(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
     assert kept == [i for i, r in enumerate(root) if i == r]
+
+
+def test_equal_fingerprints_are_not_copies(spark):
+    texts = [" ".join(["ha"] * 300 + [f"z{g}x{i}" for i in range(60)]) for g in range(6)]
+    assert len({simhash.fingerprint(t) for t in texts}) == 1
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(6))

@@ -285,8 +285,8 @@ CHAIN: tuple[Callable[[str], list[tuple[int, int, str]]], ...] = (
 
 
 def hidden_spans(text: str, plain: list[Span]) -> list[Span]:
-    """Spans found only after rewriting, in places of the original text, apart from plain ones of
-    their kind and from one another."""
+    """Spans found only after rewriting, in places of the original text, that do not lie inside a
+    plain one of their kind or inside one another; they may reach beyond a plain one."""
     copy = Rewritten(text)
     for step in CHAIN:
         copy.apply(step(copy.text))
@@ -298,7 +298,7 @@ def hidden_spans(text: str, plain: list[Span]) -> list[Span]:
         if span.kind == 0 and not re.search(r"\.[A-Za-z]{2,}$", copy.text[span.start:span.end]):
             continue
         if touched and start < end and not any(
-                p.kind == span.kind and p.start < end and start < p.end for p in (*plain, *out)):
+                p.kind == span.kind and p.start <= start and end <= p.end for p in (*plain, *out)):
             out.append(Span(span.kind, start, end))
     return out
 

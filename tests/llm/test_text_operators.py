@@ -62,6 +62,18 @@ def test_clean_texts_have_no_hidden_spans(text):
     assert pii.hidden_spans(text, pii.plain_spans(text)) == []
 
 
+@pytest.mark.parametrize("text, masked", [
+    ("to jоhn@example.com now", "to <email> now"),
+    ("to alice@example.cоm now", "to <email> now"),
+    ("at +1 555 123 456７ ok", "at <phone> ok"),
+])
+def test_disguises_that_reach_beyond_a_plain_span(text, masked):
+    plain = pii.plain_spans(text)
+    hidden = pii.hidden_spans(text, plain)
+    assert plain and len(hidden) == 1 and hidden[0].start <= plain[0].start and plain[0].end <= hidden[0].end
+    assert pii.masked(text) == masked
+
+
 def test_rewriting_keeps_places():
     copy = pii.Rewritten("abcdef")
     copy.apply([(1, 3, "X"), (4, 5, "")])

@@ -197,14 +197,19 @@ _SAID_DOT = re.compile(rf"\s+(?:{_DOT_WORD})\s+", re.I)
 # What cannot begin a said host name, and how one may end.
 _NO_HOST = frozenset("a an the this that these those my your his her our their its la le el un der die das ein".split())
 _TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co dev app ai me tv uk us de fr es it nl eu ch at be ca au nz jp cn in br mx ru example test".split())
-_LOCAL_DOTS = re.compile(r"(?:[A-Za-z0-9_%+-]+\s+dot\s+)+[A-Za-z0-9_%+-]+$", re.I)
+# English says "at some point and" too: after "at ... point" an ending is one of the above or two letters that are no word.
+_TWO_LETTER_WORDS = frozenset("am an as at be by do go he if in is it me my no of oh ok on or so to up us we".split())
+# Words that go on with the sentence after any said dot.
+_NO_END = _TWO_LETTER_WORDS | frozenset("and are but for from had has have not she that the then there they this was were when where which who will with you und der die das y el la et le les".split())
+_NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_%+-")
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,3}@\s{0,3}|@\s{1,3})(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})")
 _HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s{{0,3}}[\])}}>]|[-_]at[-_]|\s(?:{_DOT_WORD})\s|\s@|@\s", re.I)
 
 
 def marked_at_and_dot(text: str) -> list[tuple[int, int, str]]:
     """``name [at] host (dot) org`` and ``name @ host.org``."""
-    if not any(c in text for c in "[({<@") and "at_" not in text and "at-" not in text or not _HINT.search(text):
+    low = text.lower()
+    if not any(c in text for c in "[({<@") and "at_" not in low and "at-" not in low or not _HINT.search(text):
         return []
     edits = [(*m.span(), "@") for m in _MARKED_AT.finditer(text)]
     edits += [(*m.span(), "@") for m in _SPACED_AT.finditer(text)]
@@ -212,6 +217,37 @@ def marked_at_and_dot(text: str) -> list[tuple[int, int, str]]:
     return _disjoint(edits)
 
 
+def _may_end(address: re.Match, ending: str) -> bool:
+    """Whether a said address may end so: any letters but those of a word that goes on with the sentence."""
+    if ending in _TOP_LEVEL:
+        return True
+    said = [d[0].strip().lower() for d in _SAID_DOT.finditer(address["domain"])]
+    if address["at"].strip().lower() == "at" and said[-1] == "point":
+        return len(ending) == 2 and ending not in _TWO_LETTER_WORDS
+    return ending not in _NO_END
+
+
+def _name_start(text: str, end: int) -> int:
+    """Where the words joined by said dots that end at ``end`` begin; ``end`` if there is no dot."""
+
+    def back(at: int, holds: Callable[[str], bool]) -> int:
+        while at and holds(text[at - 1]):
+            at -= 1
+        return at
+
+    start, first = end, back(end, _NAME.__contains__)
+    while first < end:
+        dot = back(first, str.isspace)
+        if dot == first or text[max(0, dot - 3):dot].lower() != "dot":
+            break
+        word = back(dot - 3, str.isspace)
+        begin = back(word, _NAME.__contains__)
+        if word == dot - 3 or begin == word:
+            break
+        start = first = begin
+    return start
+
+
 def said_at_and_dot(text: str) -> list[tuple[int, int, str]]:
     """``name at host dot org``: a bare at counts only where a said dot follows in the same address."""
     edits: list[tuple[int, int, str]] = []
@@ -220,13 +256,11 @@ def said_at_and_dot(text: str) -> list[tuple[int, int, str]]:
         return edits
     for m in _SAID.finditer(text):
         labels = _SAID_DOT.sub(".", m["domain"]).lower().split(".")
-        if labels[0] in _NO_HOST or labels[-1] not in _TOP_LEVEL:
+        if labels[0] in _NO_HOST or not _may_end(m, labels[-1]):
             continue
         edits.append((*m.span("at"), "@"))
         edits += [(*d.span(), ".") for d in _SAID_DOT.finditer(text, *m.span("domain"))]
-        before = _LOCAL_DOTS.search(text, max(0, m.start() - 64), m.start())
-        if before:
-            edits += [(*d.span(), ".") for d in _SAID_DOT.finditer(text, *before.span())]
+        edits += [(*d.span(), ".") for d in _SAID_DOT.finditer(text, _name_start(text, m.start()), m.start())]
     for m in re.finditer(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s+dot\s+[A-Za-z0-9-]+)+", text, re.I):
         edits += [(*d.span(), ".") for d in _SAID_DOT.finditer(text, *m.span())]
     return _disjoint(edits)

@@ -74,6 +74,22 @@ def test_disguises_that_reach_beyond_a_plain_span(text, masked):
     assert pii.masked(text) == masked
 
 
+@pytest.mark.parametrize("text, found", [
+    ("maria at firma dot pl", "maria at firma dot pl"),
+    ("ask maria at firma dot online now", "maria at firma dot online"),
+    ("maria arobase firma point pl", "maria arobase firma point pl"),
+    ("john-AT-host.org", "john-AT-host.org"),
+    ("a dot " * 30 + "z at mail dot se", "a dot " * 30 + "z at mail dot se"),
+])
+def test_said_addresses_of_any_ending_and_length(text, found):
+    assert [text[s.start:s.end] for s in pii.hidden_spans(text, pii.plain_spans(text))] == [found]
+
+
+@pytest.mark.parametrize("text", ["water at boiling point and above", "stood at red dot and left", "we met at meeting point we knew", "look at my dot pl"])
+def test_sentences_are_no_said_addresses(text):
+    assert pii.hidden_spans(text, pii.plain_spans(text)) == []
+
+
 def test_rewriting_keeps_places():
     copy = pii.Rewritten("abcdef")
     copy.apply([(1, 3, "X"), (4, 5, "")])

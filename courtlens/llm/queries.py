@@ -6,15 +6,17 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from courtlens.llm import checks, covertree, katz, language, licenses, mixing, packing, pii, simhash, topk, urls
+from courtlens.llm import checks, covertree, katz, language, licenses, mixing, packing, phrases, pii, sharding, simhash, topk, urls, variants
 from courtlens.llm.common import read, remainder
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: Checking SQL of those that SQL can express: no classifier, tokenizer, XXH64 or rewriting.
+#: Checking SQL of those that SQL can express: no classifier, tokenizer, XXH64, rewriting or step-by-step plan.
 SQL: dict[str, str] = {
     "op2_exact_top_k": checks.top_k("vec_id % 100 = 0"),
     "op3_cosine_near_duplicates": checks.cosine_groups(),
     "op10_license_scan": checks.license_labels(),
+    "op11_spelling_variants": checks.spelling_variants(),
+    "op13_collocations": checks.collocations(),
 }
 
 
@@ -89,3 +91,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.annotate(read(spark, folder, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(read(spark, folder, "documents"))
+
+
+@query("op12_slot_shards")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The law is that of equal bytes, so no grown shard; ``next_shard`` is the map's second version."""
+    rows = sharding.shard(read(spark, folder, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")
+
+
+@query("op13_collocations")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine(read(spark, folder, "documents"))

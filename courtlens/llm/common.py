@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from typing import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from courtlens.sources.tables import shared_folder
 
+#: Bits of a bit map, whatever the input, and bits handled in one row.
+MARKS, BLOCK = 1 << 27, 1 << 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -45,3 +49,34 @@ def pack(values) -> bytes:
 
 def table(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def bit_map(hashes: DataFrame, marks: int | None = None) -> np.ndarray:
+    """A map in which the bit of every 64-bit hash of the one column is set; others may share it.
+
+    What comes to the driver, and may be broadcast, is ``marks`` bits at any input: a filter ahead
+    of a join that is exact by itself.
+    """
+    marks = marks or MARKS
+    bit = F.col(hashes.columns[0]).bitwiseAND(F.lit(marks - 1))
+    blocks = hashes.select(F.floor(bit / BLOCK).cast("int").alias("block"), (bit % BLOCK).cast("int").alias("bit")).groupBy("block").agg(
+        F.collect_set("bit").alias("bits"))  # BLOCK bits at most
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for bits in batch.column("bits"):
+                row = np.zeros(BLOCK, np.uint8)
+                row[bits.values.to_numpy(zero_copy_only=False)] = 1
+                made.append(np.packbits(row, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(made, pa.binary())], ["block", "raw"])
+
+    out = np.zeros(marks // 8, np.uint8)
+    for r in blocks.mapInArrow(packed, "block int, raw binary").toLocalIterator():
+        out[r["block"] * (BLOCK // 8):(r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(r["raw"], np.uint8)
+    return out
+
+
+def is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes.view(np.int64) & (len(bits) * 8 - 1)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)

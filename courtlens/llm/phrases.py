@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from courtlens.llm.common import UPPER, stage
+from courtlens.llm.common import UPPER, bit_map, is_set, stage
 
 WORDS = 4
 LEAST = 30
@@ -35,8 +35,6 @@ SCALE = 2_000_000
 COVERED = 80
 TOP = 2000
 UNKNOWN = "und"
-#: Bits of the map of pairs that may count, whatever the input, and bits handled in one row.
-MARKS, BLOCK = 1 << 27, 1 << 16
 #: Bytes of text handled together, and pair hashes gathered before they are counted.
 _BYTES, _GATHERED = 1 << 22, 1 << 21
 
@@ -121,28 +119,9 @@ def _counted(gathered: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def marks(texts: DataFrame, least: int) -> np.ndarray:
-    """A bit map in which every pair of ``least`` occurrences or more has its bit set.
-
-    It has ``MARKS`` bits, so what comes to the driver and is broadcast has a fixed size.
-    """
+    """A bit map in which every pair of ``least`` occurrences or more has its bit set."""
     often = pair_counts(texts).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bit = F.col("pair").bitwiseAND(F.lit(MARKS - 1))
-    blocks = often.select(F.floor(bit / BLOCK).cast("int").alias("block"), (bit % BLOCK).cast("int").alias("bit")).groupBy("block").agg(
-        F.collect_set("bit").alias("bits"))  # BLOCK bits at most
-
-    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for bits in batch.column("bits"):
-                row = np.zeros(BLOCK, np.uint8)
-                row[bits.values.to_numpy(zero_copy_only=False)] = 1
-                made.append(np.packbits(row, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(made, pa.binary())], ["block", "raw"])
-
-    out = np.zeros(MARKS // 8, np.uint8)
-    for r in blocks.mapInArrow(packed, "block int, raw binary").toLocalIterator():
-        out[r["block"] * (BLOCK // 8):(r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(r["raw"], np.uint8)
-    return out
+    return bit_map(often.select("pair"))
 
 
 def runs(texts: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -155,8 +134,7 @@ def runs(texts: DataFrame, bits: np.ndarray) -> DataFrame:
             words, order, cut = _coded(part)
             if not len(order):
                 continue
-            slot = (_pair_hashes(_word_hashes(lang, words), order) & np.uint64(MARKS - 1)).astype(np.int64)
-            linked = (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+            linked = is_set(shared.value, _pair_hashes(_word_hashes(lang, words), order))
             linked &= (order[:-1] != cut) & (order[1:] != cut)
             first = np.flatnonzero(np.concatenate([[True], ~linked]))
             size = np.diff(np.append(first, len(order)))

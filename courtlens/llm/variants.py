@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from courtlens.llm.common import UPPER, stage
+from courtlens.llm.common import UPPER, bit_map, is_set, stage
 
 #: What a run of letters is, and how often a text's runs lose a letter (see ``runs``).
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
@@ -26,8 +26,8 @@ LEAST_LENGTH, LEAST_COUNT = 5, 3
 SYMBOLS = 8
 #: A form is at least this many times as frequent as its word.
 AHEAD = 2
-#: Generated keys sent together.
-_TOGETHER = 100_000
+#: Neighbours made together.
+_TOGETHER = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,12 +39,13 @@ def _lowered(run: Column) -> Column:
     return F.when(F.octet_length(run) == F.char_length(run), F.lower(run)).otherwise(F.translate(run, UPPER, UPPER.lower()))
 
 
-def runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(run) for every maximal run of letters, lower-cased, of every text: where ``LOSES`` divides
-    the crc32 h of ``<doc_id>:<run>``, the code point h % length is left out. A null id counts as
-    an empty string there."""
+def runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_length: int = 1) -> DataFrame:
+    """(run) for every maximal run of ``least_length`` letters or more, lower-cased, of every text:
+    where ``LOSES`` divides the crc32 h of ``<doc_id>:<run>``, the code point h % length is left
+    out. A null id counts as an empty string there."""
     found = docs.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("doc"),
-                        F.explode(F.regexp_extract_all(F.col(text_column), F.lit(RUN), F.lit(0))).alias("found"))
+                        F.explode(F.regexp_extract_all(F.col(text_column), F.lit(RUN), F.lit(0))).alias("found")).where(
+        F.char_length("found") >= least_length)
     low = found.select("doc", _lowered(F.col("found")).alias("run"))
     hashed = low.select("run", F.crc32(F.concat("doc", F.lit(":"), "run").cast("binary")).alias("h"))
     at = (F.col("h") % F.char_length("run")).cast("int")
@@ -55,18 +56,20 @@ def runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def vocabulary(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
     """(word, n): runs of ``least_length`` code points or more that occur ``least_count`` times or more."""
-    long = runs(docs, id_column, text_column).where(F.char_length("run") >= least_length)
+    long = runs(docs, id_column, text_column, least_length).where(F.char_length("run") >= least_length)
     return long.groupBy(F.col("run").alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
 
 
 # ---- reduced words -------------------------------------------------------------------------------
 
 
-def symbols_of(word: str, symbols: int = SYMBOLS) -> np.ndarray:
-    """The reduced word: a symbol from 1 to ``symbols`` per code point, by hash."""
-    codes = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)
-    table = {c: zlib.crc32(chr(c).encode("utf-8")) % symbols + 1 for c in set(codes.tolist())}
-    return np.fromiter(map(table.__getitem__, codes.tolist()), dtype=np.uint64, count=len(codes))
+def reduced_words(words: list[str], symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
+    """(reduced, sizes): the words' code points one after another, each hashed to a symbol from 1
+    to ``symbols``, and the length of each word."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+    different, place = np.unique(codes, return_inverse=True)
+    table = np.array([zlib.crc32(chr(c).encode("utf-8")) % symbols + 1 for c in different.tolist()], dtype=np.uint64)
+    return table[place], np.fromiter(map(len, words), np.int64, len(words))
 
 
 def _powers(n: int) -> np.ndarray:
@@ -78,92 +81,111 @@ def _mixed(value: np.ndarray) -> np.ndarray:
     return (value ^ (value >> np.uint64(29))).view(np.int64)
 
 
-def hash_of(reduced: np.ndarray) -> int:
-    """64-bit hash of a reduced word: a polynomial whose parts can be moved, then mixed."""
-    total = (reduced * _powers(len(reduced))[:-1]).sum(dtype=np.uint64)
-    return int(_mixed(np.array([total]))[0])
+def hashes_of(reduced: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of each reduced word: a polynomial whose parts can be moved, then mixed."""
+    starts = np.cumsum(sizes) - sizes
+    terms = reduced * _powers(int(sizes.max(initial=0)))[np.arange(len(reduced)) - np.repeat(starts, sizes)]
+    return _mixed(np.add.reduceat(terms, starts)) if len(terms) else np.zeros(len(sizes), np.int64)
 
 
-def neighbourhood(reduced: np.ndarray, symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
-    """(same, longer): hashes of the reduced words one replacement, with a greater symbol, or one
-    insertion away. Smaller symbols and deletions are the same pairs seen from their other side.
+def neighbourhoods(reduced: np.ndarray, symbols: int = SYMBOLS) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(row, hash, longer) of all reduced words one replacement, with a greater symbol, or one
+    insertion away from the rows of a matrix of reduced words of one length. Smaller symbols and
+    deletions are the same pairs seen from their other side.
 
-    Parts before the place keep their sum, parts behind an insertion move by one power, so each
-    neighbour costs a few operations and a long word has a table of its length times ``symbols``.
+    Parts before the place keep their sum and parts behind an insertion move by one power, so each
+    neighbour costs a few operations; a chunk of places at a time bounds the memory for long words.
     """
-    size = len(reduced)
+    rows, size = reduced.shape
     power = _powers(size)
-    terms = reduced * power[:-1]
-    before = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
-    total = before[-1]
+    before = np.zeros((rows, size + 1), np.uint64)
+    np.cumsum(reduced * power[:-1], axis=1, dtype=np.uint64, out=before[:, 1:])
+    total = before[:, -1:]
     letters = np.arange(1, symbols + 1, dtype=np.uint64)
-    same = total + (letters[None, :] - reduced[:, None]) * power[:-1, None]
-    same = same[letters[None, :] > reduced[:, None]]
-    longer = before[:, None] + letters[None, :] * power[:, None] + ((total - before) * _BASE)[:, None]
-    return np.unique(_mixed(same)), np.unique(_mixed(longer.reshape(-1)))
+    step = max(1, _TOGETHER // max(1, rows * symbols))
+    for at in range(0, size + 1, step):
+        here = slice(at, min(size, at + step))
+        change = letters - reduced[:, here, None]
+        row, _, _ = greater = np.nonzero(letters > reduced[:, here, None])
+        yield row, _mixed((total[:, :, None] + change * power[here][:, None])[greater]), False
+        some = before[:, at:at + step]
+        longer = some[:, :, None] + letters * power[at:at + step][:, None] + ((total - some) * _BASE)[:, :, None]
+        yield np.repeat(np.arange(rows), longer.shape[1] * symbols), _mixed(longer.reshape(-1)), True
 
 
 def _reduced(words: DataFrame, symbols: int) -> DataFrame:
     """(word, n, reduced): the hash of each word's reduced word."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [hash_of(symbols_of(w, symbols)) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], [*batch.schema.names, "reduced"])
+            made = hashes_of(*reduced_words(batch.column("word").to_pylist(), symbols))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], [*batch.schema.names, "reduced"])
 
     return words.select("word", "n").mapInArrow(work, "word string, n long, reduced long")
 
 
 def _reduced_pairs(named: DataFrame, symbols: int) -> DataFrame:
     """(low, high, longer): pairs of reduced words that are equal, differ in one symbol, or of which
-    ``high`` has one symbol more."""
-    shapes = named.groupBy("reduced").agg(F.min("word").alias("word"))
+    ``high`` has one symbol more.
 
-    def rows(lows: list[int], keys: list[np.ndarray], longer: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array(lows, np.int64), [len(k) for k in keys])), pa.array(np.concatenate(keys)),
-             pa.array(np.concatenate(longer))], ["low", "high", "longer"])
+    Neighbours whose bit in a map of the reduced vocabulary is not set are in no pair and go before
+    the join; the map has a fixed size and only spares work.
+    """
+    shapes = named.groupBy("reduced").agg(F.min("word").alias("word"))
+    shared = named.sparkSession.sparkContext.broadcast(bit_map(named.select("reduced")))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lows, keys, longs, held = [], [], [], 0
-            for low, word in zip(batch.column("reduced").to_pylist(), batch.column("word").to_pylist()):
-                same, longer = neighbourhood(symbols_of(word, symbols), symbols)
-                key = np.concatenate([np.array([low], np.int64), same, longer])
-                lows.append(low)
-                keys.append(key)
-                longs.append(np.arange(len(key)) > len(same))
-                held += len(key)
-                if held > _TOGETHER:
-                    yield rows(lows, keys, longs)
-                    lows, keys, longs, held = [], [], [], 0
-            if lows:
-                yield rows(lows, keys, longs)
+            words, low = batch.column("word").to_pylist(), batch.column("reduced").to_numpy()
+            flat, sizes = reduced_words(words, symbols)
+            starts = np.cumsum(sizes) - sizes
+            yield _pairs(low, low, False)
+            for size in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == size)
+                for at in range(0, len(mine), max(1, _TOGETHER // (size * symbols))):
+                    part = mine[at:at + max(1, _TOGETHER // (size * symbols))]
+                    for row, key, longer in neighbourhoods(flat[starts[part][:, None] + np.arange(size)], symbols):
+                        known = is_set(shared.value, key)
+                        both = np.unique(np.stack([low[part][row[known]], key[known]]), axis=1)
+                        yield _pairs(both[0], both[1], longer)
 
     around = shapes.mapInArrow(work, "low long, high long, longer boolean")
-    return around.join(shapes.select(F.col("reduced").alias("high")), "high")
+    # A long word comes in several chunks, which may name a neighbour twice.
+    return around.dropDuplicates(["low", "high", "longer"]).join(shapes.select(F.col("reduced").alias("high")), "high")
+
+
+def _pairs(low: np.ndarray, high: np.ndarray, longer: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.full(len(low), longer))], ["low", "high", "longer"])
 
 
 def near(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(a, b, n_a, n_b) of different words with exactly one inserted, deleted or replaced code
-    point between them, each pair once. ``words`` has one row per word."""
+    point between them, each pair once. ``words`` has one row per word.
+
+    The half that both share enters the join's key as a hash; so do the reduced word, whether the
+    other word is longer, and which half it is.
+    """
     named = stage(_reduced(words, symbols), "reduced")
     met = _reduced_pairs(named, symbols)
-    # Half of the shorter word: its first h code points or the rest of it.
     size = F.char_length("word")
-    side = F.explode(F.array(F.lit(False), F.lit(True)))
-    part = lambda length, half: F.when(F.col("back"), F.substring(
-        F.col("word"), F.char_length("word") - (length - half) + 1, length - half)).otherwise(F.substring(F.col("word"), F.lit(1), half))
-    left = named.select("*", side.alias("back")).select(
-        F.col("reduced").alias("low"), F.col("word").alias("a"), F.col("n").alias("n_a"), "back", part(size, F.floor(size / 2).cast("int")).alias("half"))
-    kinds = named.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("longer")).select("*", side.alias("back"))
-    shorter = size - F.col("longer").cast("int")
-    right = kinds.select(F.col("reduced").alias("high"), F.col("word").alias("b"), F.col("n").alias("n_b"), "longer", "back",
-                         part(shorter, F.floor(shorter / 2).cast("int")).alias("half"))
-    met = met.join(left, "low").join(right, ["high", "longer", "back", "half"])
-    half = F.floor(F.char_length("a") / 2).cast("int")
-    again = F.col("back") & (F.substring(F.col("a"), F.lit(1), half) == F.substring(F.col("b"), F.lit(1), half))
-    once = (F.col("low") != F.col("high")) | (F.col("a") < F.col("b"))
-    return met.where(once & ~again & (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "n_a", "n_b")
+    yes_no = F.explode(F.array(F.lit(False), F.lit(True)))
+
+    def half(length: Column) -> Column:
+        """The first half of the shorter word's length, or as much of the end as is then left."""
+        first = F.floor(length / 2).cast("int")
+        end = F.substring(F.col("word"), size - (length - first) + 1, length - first)
+        return F.when(F.col("back"), end).otherwise(F.substring(F.col("word"), F.lit(1), first))
+
+    left = named.select("*", yes_no.alias("back")).select(
+        F.col("reduced").alias("low"), F.col("word").alias("a"), F.col("n").alias("n_a"), "back", F.xxhash64(half(size)).alias("half"))
+    asked = met.join(left, "low").select(
+        "a", "n_a", "back", (F.col("low") == F.col("high")).alias("alike"), F.xxhash64("high", "longer", "back", "half").alias("key"))
+    kinds = named.select("*", yes_no.alias("longer")).select("*", yes_no.alias("back"))
+    right = kinds.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.xxhash64(
+        F.col("reduced"), "longer", "back", F.xxhash64(half(size - F.col("longer").cast("int")))).alias("key"))
+    first = F.floor(F.char_length("a") / 2).cast("int")
+    again = F.col("back") & (F.substring(F.col("a"), F.lit(1), first) == F.substring(F.col("b"), F.lit(1), first))
+    once = ~F.col("alike") | (F.col("a") < F.col("b"))
+    return asked.join(right, "key").where(once & ~again & (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "n_a", "n_b")
 
 
 # ---- groups --------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from courtlens.llm import phrases, sharding, variants
+from courtlens.llm import common, phrases, sharding, variants
 from .conftest import LONG, ODD
 
 # ---- slot shards ---------------------------------------------------------------------------------
@@ -137,20 +137,30 @@ def test_variants_equal_all_pairs(documents, symbols):
     assert {(form, root) for word, form, root, *_ in out if word == "linkea"} == {("linkeb", "linkxby")}
 
 
-def test_neighbourhood_is_full():
+@pytest.mark.parametrize("together", [1 << 20, 5])
+def test_neighbourhood_is_full(monkeypatch, together):
+    monkeypatch.setattr(variants, "_TOGETHER", together)
     rng = np.random.default_rng(2)
-    for _ in range(50):
-        word = rng.integers(1, 4, rng.integers(0, 8)).astype(np.uint64)
-        same, longer = variants.neighbourhood(word, 3)
-        replaced, inserted = set(), set()
-        for i in range(len(word) + 1):
-            for c in (1, 2, 3):
-                inserted.add(variants.hash_of(np.insert(word, i, c)))
-                if i < len(word) and c > word[i]:
-                    other = word.copy()
-                    other[i] = c
-                    replaced.add(variants.hash_of(other))
-        assert set(same.tolist()) == replaced and set(longer.tolist()) == inserted
+
+    def hash_of(word):
+        return int(variants.hashes_of(word, np.array([len(word)]))[0])
+
+    for _ in range(30):
+        words = rng.integers(1, 4, (2, rng.integers(1, 8))).astype(np.uint64)
+        got = {(0, False): set(), (1, False): set(), (0, True): set(), (1, True): set()}
+        for row, keys, longer in variants.neighbourhoods(words, 3):
+            for r, k in zip(row.tolist(), keys.tolist()):
+                got[r, longer].add(k)
+        for r, word in enumerate(words):
+            replaced, inserted = set(), set()
+            for i in range(len(word) + 1):
+                for c in (1, 2, 3):
+                    inserted.add(hash_of(np.insert(word, i, c)))
+                    if i < len(word) and c > word[i]:
+                        other = word.copy()
+                        other[i] = c
+                        replaced.add(hash_of(other))
+            assert got[r, False] == replaced and got[r, True] == inserted
 
 
 def test_variants_of_odd_rows(documents):
@@ -201,7 +211,7 @@ def phrase_rows(seed):
 
 @pytest.mark.parametrize("bits,size", [(1 << 27, 1 << 22), (1 << 16, 300)])
 def test_phrases_equal_plain_counts(documents, monkeypatch, bits, size):
-    monkeypatch.setattr(phrases, "MARKS", bits)
+    monkeypatch.setattr(common, "MARKS", bits)
     monkeypatch.setattr(phrases, "_BYTES", size)
     rows = phrase_rows(size)
     out = rows_of(phrases.mine(documents(rows).repartition(3), least=12, top=25))

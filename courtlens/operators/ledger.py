@@ -1,17 +1,20 @@
 """Bet ledger: bankroll paths, equity curves, drawdown and summaries.
 
 A bankroll path is sequential, but a bet is a simple map of the bankroll: below a threshold it
-multiplies it, above it adds a fixed sum. A run of bets is therefore one straight line as long
-as no bet changes side of its threshold. Blocks of bets are reduced to their line for a guessed
-start, lines are chained, and blocks whose true start lies outside the stretch the line holds
-for are reduced again from the better start. Every round extends the exact part of each path,
-and the result is exact once all starts fit. Pure share rules fit in the first round.
+multiplies it, above it adds a fixed sum, and it never falls. Such maps compose: a run of bets is a
+broken line with one more piece than bets at most, and one piece for pure share rules. So paths are
+an associative scan: bets to blocks and blocks to groups of blocks in parallel, then the groups of a
+path one after another as a stream, then starts of blocks and bets in parallel again. The number of
+jobs does not depend on the bets.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterable, Iterator, NamedTuple, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from courtlens.functions import calibrate, staking
@@ -86,56 +89,137 @@ def _positioned(bets: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
     }).withColumn("_group", F.floor(F.col("_block") / block))
 
 
-def _line(state, factor: Column, add: Column, low: Column, high: Column) -> Column:
-    """Append the map ``x -> factor * x + add``, valid for low < x <= high, to a line."""
-    a, c = state.a, state.c
-    lo = F.when(a > 0, (low - c) / a).otherwise(F.when(c > low, F.lit(-INF)).otherwise(F.lit(INF)))
-    hi = F.when(a > 0, (high - c) / a).otherwise(F.when(c <= high, F.lit(INF)).otherwise(F.lit(-INF)))
-    return F.struct(
-        (state.x * factor + add).alias("x"), (a * factor).alias("a"), (c * factor + add).alias("c"),
-        F.greatest(state.lo, lo).alias("lo"), F.least(state.hi, hi).alias("hi"))
+class BrokenLine(NamedTuple):
+    """``x -> slope[k] * x + offset[k]`` on the k-th piece, which ends at ``until[k]``; never falling."""
+
+    until: np.ndarray
+    slope: np.ndarray
+    offset: np.ndarray
+
+    @staticmethod
+    def same() -> "BrokenLine":
+        return BrokenLine(np.array([INF]), np.array([1.0]), np.array([0.0]))
+
+    def __call__(self, x: float) -> float:
+        k = int(np.searchsorted(self.until, x))
+        return float(self.slope[k] * x + self.offset[k])
+
+    def then(self, other: "BrokenLine") -> "BrokenLine":
+        """This line followed by ``other``: pieces are split where their value crosses its breaks."""
+        out = [], [], []
+        low = -INF
+        for end, a, c in zip(self.until.tolist(), self.slope.tolist(), self.offset.tolist()):
+            first = int(np.searchsorted(other.until, a * low + c, side="right")) if a > 0 and low > -INF else 0 if a > 0 else int(np.searchsorted(other.until, c))
+            for k in range(first, len(other.until)):
+                stop = min(end, (other.until[k] - c) / a) if a > 0 else end
+                if stop > low:
+                    out[0].append(stop)
+                    out[1].append(a * other.slope[k])
+                    out[2].append(c * other.slope[k] + other.offset[k])
+                    low = stop
+                if stop >= end:
+                    break
+            low = end
+        return BrokenLine(*map(np.array, out))
+
+    def pack(self) -> bytes:
+        return np.stack(self).tobytes()
+
+    @staticmethod
+    def unpack(raw: bytes) -> "BrokenLine":
+        return BrokenLine(*np.frombuffer(raw, np.float64).reshape(3, -1))
+
+
+def line_of_bets(share: np.ndarray, amount: np.ndarray, gain: np.ndarray) -> BrokenLine:
+    """The broken line of bets in order. A bet multiplies up to ``amount / share`` and adds beyond."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        turns = np.where(share > 0, amount / share, INF)
+    until, slope, offset = BrokenLine.same()
+    for turn, s, m, g in zip(turns.tolist(), share.tolist(), amount.tolist(), gain.tolist()):
+        if turn == INF:
+            slope, offset = slope * (1 + g * s), offset * (1 + g * s)
+            continue
+        ends = np.where(slope > 0, slope * np.where(slope > 0, until, 0.0), 0.0) + offset
+        k = int(np.searchsorted(ends, turn, side="left"))  # pieces before k stay below the turn
+        if k < len(until) and slope[k] > 0:
+            at = (turn - offset[k]) / slope[k]
+            if at < until[k] and (k == 0 or at > until[k - 1]):
+                until, slope, offset = np.insert(until, k, at), np.insert(slope, k, slope[k]), np.insert(offset, k, offset[k])
+                k += 1
+            elif at >= until[k]:
+                k += 1
+        slope, offset = slope.copy(), offset.copy()
+        slope[:k] *= 1 + g * s
+        offset[:k] *= 1 + g * s
+        offset[k:] += g * m
+    return BrokenLine(until, slope, offset)
 
 
-def _empty_line(start: Column) -> Column:
-    return F.struct(start.cast("double").alias("x"), F.lit(1.0).alias("a"), F.lit(0.0).alias("c"),
-                    F.lit(-INF).alias("lo"), F.lit(INF).alias("hi"))
+def _block_lists(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    bet = F.struct("bet_number", F.col("_share").alias("share"), F.col("_amount").alias("amount"), F.col("_gain").alias("gain"))
+    return rows.groupBy(*keys, "_group", "_block").agg(F.array_sort(F.collect_list(bet)).alias("_bets"))
 
 
-def _after_bet(state, bet) -> Column:
-    turn = F.when(bet.share > 0, bet.amount / bet.share).otherwise(F.lit(INF))
-    scaled = state.x <= turn
-    return _line(
-        state,
-        F.when(scaled, 1 + bet.gain * bet.share).otherwise(F.lit(1.0)),
-        F.when(scaled, F.lit(0.0)).otherwise(bet.gain * bet.amount),
-        F.when(scaled, F.lit(-INF)).otherwise(turn),
-        F.when(scaled, turn).otherwise(F.lit(INF)))
+def _block_lines(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _group, _block, line) with the packed line of every block of bets."""
+    named = blocks.select(*keys, "_group", "_block", F.transform("_bets", lambda b: b.share).alias("s"),
+                          F.transform("_bets", lambda b: b.amount).alias("m"), F.transform("_bets", lambda b: b.gain).alias("g"))
+    kept = [*keys, "_group", "_block"]
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[np.asarray(x.values) for x in batch.column(c)] for c in ("s", "m", "g")]
+            lines = [line_of_bets(*bets).pack() for bets in zip(*lists)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(lines, pa.binary())], [*kept, "line"])
 
-def _block_lists(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    bet = F.struct("bet_number", F.col("_share").alias("share"), F.col("_amount").alias("amount"), F.col("_gain").alias("gain"))
-    return rows.groupBy(*keys, "_group", "_block").agg(F.array_sort(F.collect_list(bet)).alias("_bets"))
+    kinds = ", ".join(f"`{n}` {k}" for n, k in named.dtypes if n in kept)
+    return named.mapInArrow(work, f"{kinds}, line binary")
+
+
+def _group_starts(lines: DataFrame, keys: Sequence[str], start: float) -> DataFrame:
+    """(keys, _group, _begin): the bankroll at the start of every group of blocks.
+
+    A group's line is composed in a task of its own; a path's groups then pass one after another
+    through a task that holds one line at a time.
+    """
+    kinds = ", ".join(f"`{n}` {k}" for n, k in lines.dtypes if n in (*keys, "_group"))
+
+    def composed(frame: pd.DataFrame) -> pd.DataFrame:
+        line = BrokenLine.same()
+        for raw in frame.sort_values("_block")["line"]:
+            line = line.then(BrokenLine.unpack(raw))
+        return frame.iloc[:1][[*keys, "_group"]].assign(line=line.pack())
+
+    def chained(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, now = None, start
+        for frame in frames:
+            begins = []
+            for own, raw in zip(frame[list(keys)].itertuples(index=False, name=None), frame["line"]):
+                if own != path:
+                    path, now = own, start
+                begins.append(now)
+                now = BrokenLine.unpack(raw)(now)
+            yield frame[[*keys, "_group"]].assign(_begin=np.array(begins, np.float64))
+
+    groups = lines.groupBy(*keys, "_group").applyInPandas(composed, f"{kinds}, line binary")
+    ordered = groups.repartition(*keys).sortWithinPartitions(*keys, "_group")
+    return ordered.mapInPandas(chained, f"{kinds}, _begin double")
+
+
+def _block_starts(lines: DataFrame, keys: Sequence[str], begins: DataFrame | None, start: float) -> DataFrame:
+    """(keys, _block, _start) from the starts of the groups, or ``start`` where a path is one group."""
+    known = lines.withColumn("_begin", F.lit(float(start))) if begins is None else lines.join(begins, [*keys, "_group"])
+    kinds = ", ".join(f"`{n}` {k}" for n, k in lines.dtypes if n in (*keys, "_block"))
 
+    def walked(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_block")
+        now, out = float(frame["_begin"].iloc[0]), []
+        for raw in frame["line"]:
+            out.append(now)
+            now = BrokenLine.unpack(raw)(now)
+        return frame[[*keys, "_block"]].assign(_start=np.array(out, np.float64))
 
-def _starts(lines: DataFrame, keys: Sequence[str], start: float) -> DataFrame:
-    """True start of every block from the lines: chain inside groups, then over groups, then back."""
-    item = F.struct("_block", F.col("line.a").alias("a"), F.col("line.c").alias("c"))
-    groups = lines.groupBy(*keys, "_group").agg(F.array_sort(F.collect_list(item)).alias("_lines"))
-    whole = F.aggregate("_lines", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("c")),
-                        lambda s, x: F.struct((s.a * x.a).alias("a"), (s.c * x.a + x.c).alias("c")))
-    # one entry per block * block bets
-    top = groups.select(*keys, F.struct("_group", whole.alias("w")).alias("g")).groupBy(*keys).agg(
-        F.array_sort(F.collect_list("g")).alias("_gs"))
-    begin = F.array(F.struct(F.lit(-1).cast("bigint").alias("_group"), F.lit(float(start)).alias("b")))
-    chained = F.aggregate("_gs", begin, lambda acc, g: F.concat(acc, F.array(F.struct(
-        g["_group"].alias("_group"), (F.element_at(acc, -1).b * g["w"].a + g["w"].c).alias("b")))))
-    group_starts = top.select(*keys, F.explode(F.arrays_zip(
-        F.transform("_gs", lambda g: g["_group"]).alias("_group"),
-        F.transform(chained, lambda x: x.b).alias("b"))).alias("z")).select(*keys, "z.*").filter("_group IS NOT NULL")
-    inside = F.aggregate("_lines", F.array(F.col("b")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) * x.a + x.c)))
-    return groups.join(group_starts, [*keys, "_group"]).select(*keys, F.explode(F.arrays_zip(
-        F.transform("_lines", lambda x: x["_block"]).alias("_block"), inside.alias("_start"))).alias("z")).select(
-            *keys, "z.*").filter("_block IS NOT NULL")
+    return known.groupBy(*keys, "_group").applyInPandas(walked, f"{kinds}, _start double")
 
 
 def bankroll_path(bets: DataFrame, keys: Sequence[str], start: float = START, block: int = BLOCK) -> DataFrame:
@@ -143,18 +227,14 @@ def bankroll_path(bets: DataFrame, keys: Sequence[str], start: float = START, bl
     keys = list(keys)
     rows = cut_lineage(_positioned(bets, keys, block))
     blocks = _block_lists(rows, keys)
-    many = not rows.filter(F.col("_block") > 0).isEmpty()
-    starts = blocks.select(*keys, "_block", F.lit(float(start)).alias("_start"))
-    if many:
+    longest = rows.agg(F.max("_block").alias("block"), F.max("_group").alias("group")).first()
+    if not longest["block"]:
+        blocks = blocks.withColumn("_start", F.lit(float(start)))
+    else:
         blocks = cut_lineage(blocks)
-    while many:
-        lines = blocks.join(starts, [*keys, "_block"]).withColumn(
-            "line", F.aggregate("_bets", _empty_line(F.col("_start")), _after_bet))
-        better = _starts(lines, keys, start)
-        checked = cut_lineage(lines.select(*keys, "_block", "line").join(better, [*keys, "_block"]))
-        starts = checked.select(*keys, "_block", "_start")
-        unfit = checked.filter((F.col("_start") <= F.col("line.lo")) | (F.col("_start") > F.col("line.hi")))
-        many = not unfit.isEmpty()
+        lines = cut_lineage(_block_lines(blocks, keys))
+        begins = _group_starts(lines, keys, start) if longest["group"] else None
+        blocks = blocks.join(_block_starts(lines, keys, begins, start), [*keys, "_block"])
     begin = F.array(F.struct(F.lit(0).cast("bigint").alias("bet_number"), F.lit(0.0).alias("stake"), F.col("_start").alias("bankroll")))
 
     def settle(acc, bet):
@@ -162,7 +242,7 @@ def bankroll_path(bets: DataFrame, keys: Sequence[str], start: float = START, bl
         stake = F.least(bet.share * now, bet.amount)
         return F.concat(acc, F.array(F.struct(bet.bet_number.alias("bet_number"), stake.alias("stake"), (now + bet.gain * stake).alias("bankroll"))))
 
-    paths = blocks.join(starts, [*keys, "_block"]).select(*keys, F.inline(F.aggregate("_bets", begin, settle))).filter("bet_number > 0")
+    paths = blocks.select(*keys, F.inline(F.aggregate("_bets", begin, settle))).filter("bet_number > 0")
     return rows.drop("_gain", "_share", "_amount", "_group").join(paths, [*keys, "bet_number"])
 
 

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,37 @@ def test_bankroll_paths_against_replay(spark, block):
     assert len(got) == len(rows)
 
 
+def test_broken_lines_compose():
+    rnd = random.Random(4)
+    for _ in range(60):
+        share, amount, gain = (np.array([rnd.choice(c) for _ in range(12)]) for c in (
+            (0.0, 0.1, 0.5, 1.0), (math.inf, 1.0, 20.0, 0.0), (-1.0, -1.0, 0.8, 2.0)))
+        first, second = ledger.line_of_bets(share[:5], amount[:5], gain[:5]), ledger.line_of_bets(share[5:], amount[5:], gain[5:])
+        whole = ledger.BrokenLine.unpack(first.then(second).pack())
+        assert len(whole.until) <= 13 and list(whole.until) == sorted(set(whole.until.tolist()))
+        for x in [0.0, 0.5, 1.0, 20.0, 40.0, 1e6, *[rnd.random() * 100 for _ in range(10)]]:
+            bank = x
+            for s, m, g in zip(share, amount, gain):
+                bank += g * min(s * bank, m)
+            assert whole(x) == pytest.approx(bank, rel=1e-9, abs=1e-9)
+            assert second(first(x)) == pytest.approx(bank, rel=1e-9, abs=1e-9)
+
+
+def test_number_of_jobs_does_not_follow_the_path(spark):
+    schema = "strategy string, tourney_date int, match_num long, share double, amount double, odds double, won boolean, edge double"
+
+    def jobs(n, tag):
+        # every block ends close to where its bets change side
+        rows = [("a", 20200101, i, 0.5, 50.0, 2.0, i % 2 == 0, 0.1) for i in range(n)]
+        spark.sparkContext.setJobGroup(tag, tag)
+        ledger.bankroll_path(spark.createDataFrame(rows, schema), ["strategy"], block=7).count()
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+        spark.sparkContext.setJobGroup("", "")
+        return found
+
+    assert jobs(60, "short path") + 2 >= jobs(2000, "long path")
+
+
 def test_drawdown_is_in_currency(spark):
     # stored equity curve: peak 112.98980, trough 108.51540
     values = [102.08, 106.244864, 104.11996672, 112.98979914982364, 110.73000316682716, 108.51540310349064, 111.70575595473323]

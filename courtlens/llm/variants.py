@@ -3,8 +3,8 @@
 Letters are hashed to ``SYMBOLS`` symbols. One edit of a word is one edit, or none, of its reduced
 word; so for each different reduced word all reduced words one edit away are generated (as 64-bit
 hashes, one side of each unordered pair) and joined with the reduced vocabulary. Words of such
-reduced pairs meet by an equality join on their first or last half, since one edit leaves one half
-as it is; what meets is verified on the original strings. Hashes only lead to candidates: a
+reduced pairs meet in the same equality join by their first or last half, since one edit leaves one
+half as it is; what meets is verified on the original strings. Hashes only lead to candidates: a
 collision costs one comparison and changes nothing.
 """
 
@@ -113,79 +113,101 @@ def neighbourhoods(reduced: np.ndarray, symbols: int = SYMBOLS) -> Iterator[tupl
         yield np.repeat(np.arange(rows), longer.shape[1] * symbols), _mixed(longer.reshape(-1)), True
 
 
+def _by_length(words: list[str], symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in ``words``, reduced words, code points), the last two as matrices of one length and
+    of about ``_TOGETHER`` neighbours."""
+    flat, sizes = reduced_words(words, symbols)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == size)
+        step = max(1, _TOGETHER // (size * symbols))
+        for at in range(0, len(mine), step):
+            cells = starts[mine[at:at + step]][:, None] + np.arange(size)
+            yield mine[at:at + step], flat[cells], codes[cells]
+
+
+def _half(codes: np.ndarray, length: int, back: bool) -> np.ndarray:
+    """Hash of the first half of ``length`` code points, or of as many at the end as are then left."""
+    first = length // 2
+    part = codes[:, codes.shape[1] - (length - first):] if back else codes[:, :first]
+    return (part * _powers(part.shape[1])[:-1]).sum(axis=1, dtype=np.uint64)
+
+
+def _key(high: np.ndarray, half: np.ndarray, longer: bool, back: bool) -> np.ndarray:
+    return _mixed(high.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + half * _BASE + np.uint64(2 * longer + back + 1))
+
+
+def _hashes(reduced: np.ndarray) -> np.ndarray:
+    return hashes_of(reduced.reshape(-1), np.full(len(reduced), reduced.shape[1], np.int64))
+
+
 def _reduced(words: DataFrame, symbols: int) -> DataFrame:
-    """(word, n, reduced): the hash of each word's reduced word."""
+    """(reduced): the hash of each word's reduced word."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = hashes_of(*reduced_words(batch.column("word").to_pylist(), symbols))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], [*batch.schema.names, "reduced"])
-
-    return words.select("word", "n").mapInArrow(work, "word string, n long, reduced long")
+            yield pa.RecordBatch.from_arrays([pa.array(made)], ["reduced"])
 
+    return words.select("word").mapInArrow(work, "reduced long")
 
-def _reduced_pairs(named: DataFrame, symbols: int) -> DataFrame:
-    """(low, high, longer): pairs of reduced words that are equal, differ in one symbol, or of which
-    ``high`` has one symbol more.
-
-    Neighbours whose bit in a map of the reduced vocabulary is not set are in no pair and go before
-    the join; the map has a fixed size and only spares work.
-    """
-    shapes = named.groupBy("reduced").agg(F.min("word").alias("word"))
-    shared = named.sparkSession.sparkContext.broadcast(bit_map(named.select("reduced")))
 
+def _answers(words: DataFrame, symbols: int) -> DataFrame:
+    """(key, b, n_b): the four keys under which a word is found: by its first or last half, as a
+    word of the same length or as one with a code point more."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, low = batch.column("word").to_pylist(), batch.column("reduced").to_numpy()
-            flat, sizes = reduced_words(words, symbols)
-            starts = np.cumsum(sizes) - sizes
-            yield _pairs(low, low, False)
-            for size in np.unique(sizes).tolist():
-                mine = np.flatnonzero(sizes == size)
-                for at in range(0, len(mine), max(1, _TOGETHER // (size * symbols))):
-                    part = mine[at:at + max(1, _TOGETHER // (size * symbols))]
-                    for row, key, longer in neighbourhoods(flat[starts[part][:, None] + np.arange(size)], symbols):
-                        known = is_set(shared.value, key)
-                        both = np.unique(np.stack([low[part][row[known]], key[known]]), axis=1)
-                        yield _pairs(both[0], both[1], longer)
+            for place, reduced, codes in _by_length(batch.column("word").to_pylist(), symbols):
+                high, size = _hashes(reduced), codes.shape[1]
+                keys = [_key(high, _half(codes, size - longer, back), longer, back) for longer in (False, True) for back in (False, True)]
+                took = pa.array(np.tile(place, 4))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("word").take(took), batch.column("n").take(took)], ["key", "b", "n_b"])
 
-    around = shapes.mapInArrow(work, "low long, high long, longer boolean")
-    # A long word comes in several chunks, which may name a neighbour twice.
-    return around.dropDuplicates(["low", "high", "longer"]).join(shapes.select(F.col("reduced").alias("high")), "high")
+    return words.select("word", "n").mapInArrow(work, "key long, b string, n_b long")
 
 
-def _pairs(low: np.ndarray, high: np.ndarray, longer: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.full(len(low), longer))], ["low", "high", "longer"])
+def _questions(words: DataFrame, symbols: int, known: np.ndarray, answered: np.ndarray) -> DataFrame:
+    """(key, a, n_a, back, alike): for every reduced word of a word's neighbourhood, itself
+    included, that the map of reduced words knows, the keys of both halves that the map of keys
+    knows. Both maps have a fixed size and only spare work."""
+    shared = words.sparkSession.sparkContext.broadcast((known, answered))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, reduced, codes in _by_length(batch.column("word").to_pylist(), symbols):
+                halves = [_half(codes, codes.shape[1], back) for back in (False, True)]
+                own = _hashes(reduced)
+                asked = {False: [(np.arange(len(own)), own)], True: []}
+                for row, key, longer in neighbourhoods(reduced, symbols):
+                    found = is_set(shared.value[0], key)
+                    asked[longer].append((row[found], key[found]))
+                for longer, parts in asked.items():
+                    # a long word comes in several chunks, which may name a neighbour twice
+                    row, high = np.unique(np.concatenate([np.stack([r, k]) for r, k in parts], axis=1), axis=1)
+                    for back in (False, True):
+                        key = _key(high, halves[back][row], longer, back)
+                        open_ = np.flatnonzero(is_set(shared.value[1], key))
+                        took = pa.array(place[row[open_]])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(key[open_]), batch.column("word").take(took), batch.column("n").take(took), pa.array(np.full(len(open_), back)),
+                             pa.array(high[open_] == own[row[open_]])], ["key", "a", "n_a", "back", "alike"])
+
+    return words.select("word", "n").mapInArrow(work, "key long, a string, n_a long, back boolean, alike boolean")
 
 
 def near(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(a, b, n_a, n_b) of different words with exactly one inserted, deleted or replaced code
-    point between them, each pair once. ``words`` has one row per word.
+    point between them, each pair once. ``words``, staged, has one row per word.
 
-    The half that both share enters the join's key as a hash; so do the reduced word, whether the
-    other word is longer, and which half it is.
+    A key is the hash of the other's reduced word, of the half that both share, of which half that
+    is and of whether the other word is longer.
     """
-    named = stage(_reduced(words, symbols), "reduced")
-    met = _reduced_pairs(named, symbols)
-    size = F.char_length("word")
-    yes_no = F.explode(F.array(F.lit(False), F.lit(True)))
-
-    def half(length: Column) -> Column:
-        """The first half of the shorter word's length, or as much of the end as is then left."""
-        first = F.floor(length / 2).cast("int")
-        end = F.substring(F.col("word"), size - (length - first) + 1, length - first)
-        return F.when(F.col("back"), end).otherwise(F.substring(F.col("word"), F.lit(1), first))
-
-    left = named.select("*", yes_no.alias("back")).select(
-        F.col("reduced").alias("low"), F.col("word").alias("a"), F.col("n").alias("n_a"), "back", F.xxhash64(half(size)).alias("half"))
-    asked = met.join(left, "low").select(
-        "a", "n_a", "back", (F.col("low") == F.col("high")).alias("alike"), F.xxhash64("high", "longer", "back", "half").alias("key"))
-    kinds = named.select("*", yes_no.alias("longer")).select("*", yes_no.alias("back"))
-    right = kinds.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.xxhash64(
-        F.col("reduced"), "longer", "back", F.xxhash64(half(size - F.col("longer").cast("int")))).alias("key"))
+    answers = _answers(words, symbols)
+    questions = _questions(words, symbols, bit_map(_reduced(words, symbols)), bit_map(answers.select("key")))
     first = F.floor(F.char_length("a") / 2).cast("int")
     again = F.col("back") & (F.substring(F.col("a"), F.lit(1), first) == F.substring(F.col("b"), F.lit(1), first))
     once = ~F.col("alike") | (F.col("a") < F.col("b"))
-    return asked.join(right, "key").where(once & ~again & (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "n_a", "n_b")
+    return questions.join(answers, "key").where(once & ~again & (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "n_a", "n_b")
 
 
 # ---- groups --------------------------------------------------------------------------------------

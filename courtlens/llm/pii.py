@@ -9,6 +9,7 @@ without a disguise get exactly the plain findings.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -193,14 +194,17 @@ _MARKED_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s{{0,3}}{_OPEN}(?:{_DOT_WORD}|\.){_
 _SAID = re.compile(
     rf"(?<=[A-Za-z0-9])(?P<at>\s+(?:{_AT_WORD})\s+|\s{{0,3}}@\s{{0,3}})(?P<domain>[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT_WORD})\s+|\.)[A-Za-z0-9-]+)*"
     rf"\s+(?:{_DOT_WORD})\s+[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.I)
-_SAID_DOT = re.compile(rf"\s+(?:{_DOT_WORD})\s+", re.I)
+# Begins where a run of blanks does and never gives blanks back, so a long run is read once.
+_SAID_DOT = re.compile(rf"(?<!\s)\s++(?:{_DOT_WORD})\s++", re.I)
 # What cannot begin a said host name, and how one may end.
 _NO_HOST = frozenset("a an the this that these those my your his her our their its la le el un der die das ein".split())
-_TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co dev app ai me tv uk us de fr es it nl eu ch at be ca au nz jp cn in br mx ru example test".split())
-# English says "at some point and" too: after "at ... point" an ending is one of the above or two letters that are no word.
+_TOP_LEVEL = frozenset((
+    "com org net edu gov mil int info biz io co dev app ai me tv uk us de fr es it nl eu ch at be ca au nz jp cn in br mx ru example test "
+    "online xyz shop site store tech cloud blog agency club space website live news pro mobi name page email digital world group team work").split())
+#: Endings that need no more evidence after ``at ... point``.
+_PLAIN_LEVEL = frozenset("com org net".split())
+# English words of two letters; other two letters may be a country's ending.
 _TWO_LETTER_WORDS = frozenset("am an as at be by do go he if in is it me my no of oh ok on or so to up us we".split())
-# Words that go on with the sentence after any said dot.
-_NO_END = _TWO_LETTER_WORDS | frozenset("and are but for from had has have not she that the then there they this was were when where which who will with you und der die das y el la et le les".split())
 _NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_%+-")
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,3}@\s{0,3}|@\s{1,3})(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})")
 _HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s{{0,3}}[\])}}>]|[-_]at[-_]|\s(?:{_DOT_WORD})\s|\s@|@\s", re.I)
@@ -217,14 +221,23 @@ def marked_at_and_dot(text: str) -> list[tuple[int, int, str]]:
     return _disjoint(edits)
 
 
-def _may_end(address: re.Match, ending: str) -> bool:
-    """Whether a said address may end so: any letters but those of a word that goes on with the sentence."""
-    if ending in _TOP_LEVEL:
+def _may_end(text: str, address: re.Match, labels: list[str]) -> bool:
+    """Whether a said address may end so: in a usual ending or two letters that are no English word.
+
+    Any other ending, and "at ... point", which sentences say too, need a second piece of evidence:
+    a host of more labels, or a name that holds a digit, a sign or a said dot.
+    """
+    ending = labels[-1]
+    sentence = address["at"].strip().lower() == "at" and any(d[0].strip().lower() == "point" for d in _SAID_DOT.finditer(address["domain"]))
+    if ending in _PLAIN_LEVEL or not sentence and (ending in _TOP_LEVEL or len(ending) == 2 and ending not in _TWO_LETTER_WORDS):
         return True
-    said = [d[0].strip().lower() for d in _SAID_DOT.finditer(address["domain"])]
-    if address["at"].strip().lower() == "at" and said[-1] == "point":
-        return len(ending) == 2 and ending not in _TWO_LETTER_WORDS
-    return ending not in _NO_END
+    if ending in _TWO_LETTER_WORDS:
+        return False
+    at = address.start()
+    begin = at
+    while begin and text[begin - 1] in _NAME:
+        begin -= 1
+    return len(labels) > 2 or not text[begin:at].isalpha() or _name_start(text, at) < begin
 
 
 def _name_start(text: str, end: int) -> int:
@@ -256,7 +269,7 @@ def said_at_and_dot(text: str) -> list[tuple[int, int, str]]:
         return edits
     for m in _SAID.finditer(text):
         labels = _SAID_DOT.sub(".", m["domain"]).lower().split(".")
-        if labels[0] in _NO_HOST or not _may_end(m, labels[-1]):
+        if labels[0] in _NO_HOST or not _may_end(text, m, labels):
             continue
         edits.append((*m.span("at"), "@"))
         edits += [(*d.span(), ".") for d in _SAID_DOT.finditer(text, *m.span("domain"))]
@@ -327,13 +340,20 @@ def hidden_spans(text: str, plain: list[Span]) -> list[Span]:
     if not copy.touched:
         return []
     out: list[Span] = []
+    # Plain spans of a kind are in order and apart: one that holds a place is the last to begin before it.
+    known = {k: [p for p in plain if p.kind == k] for k in range(len(KINDS))}
+    starts = {k: [p.start for p in spans] for k, spans in known.items()}
+    reached = [-1] * len(KINDS)
     for span in plain_spans(copy.text):
         start, end, touched = copy.source(span.start, span.end)
         if span.kind == 0 and not re.search(r"\.[A-Za-z]{2,}$", copy.text[span.start:span.end]):
             continue
-        if touched and start < end and not any(
-                p.kind == span.kind and p.start <= start and end <= p.end for p in (*plain, *out)):
+        if not touched or start >= end or end <= reached[span.kind]:
+            continue
+        before = bisect.bisect_right(starts[span.kind], start) - 1
+        if before < 0 or known[span.kind][before].end < end:
             out.append(Span(span.kind, start, end))
+            reached[span.kind] = end
     return out
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -90,6 +91,28 @@ def test_sentences_are_no_said_addresses(text):
     assert pii.hidden_spans(text, pii.plain_spans(text)) == []
 
 
+@pytest.mark.parametrize("text", [
+    "the shop at home dot depot sale", "stop at noon dot please call", "sat at table point de vue", "met at some point in may"])
+def test_words_are_no_endings(text):
+    assert pii.hidden_spans(text, pii.plain_spans(text)) == []
+
+
+@pytest.mark.parametrize("text", ["j_doe at firma dot depot", "j dot doe at firma dot depot", "doe at mail dot firma dot depot", "maria at firma point com"])
+def test_more_evidence_allows_any_ending(text):
+    assert [text[s.start:s.end] for s in pii.hidden_spans(text, pii.plain_spans(text))] == [text]
+
+
+def test_long_blanks_and_many_addresses_take_linear_time():
+    started = time.monotonic()
+    blanks = " " * 1_000_000
+    text = f"bob at host dot com,{blanks}dot{blanks}, a at{blanks}, one{blanks}two"
+    assert pii.hidden_spans(text, pii.plain_spans(text))[0] == pii.Span(0, 0, 19)
+    many = " ".join(f"u{i} [at] host{i} (dot) org, a{i}@b.com" for i in range(50_000))
+    plain = pii.plain_spans(many)
+    assert len(plain) == 50_000 and len(pii.hidden_spans(many, plain)) == 50_000
+    assert time.monotonic() - started < 60
+
+
 def test_rewriting_keeps_places():
     copy = pii.Rewritten("abcdef")
     copy.apply([(1, 3, "X"), (4, 5, "")])
@@ -131,13 +154,87 @@ def test_language_on_held_out_and_odd_rows(spark, documents, folder):
     assert {r["lang_pred"] for r in language.predict(documents(ODD), empty, {"doc_id": F.col("doc_id")}).collect()} == {"und"}
 
 
-def test_language_counts_equal_plain_ones():
-    texts = ["abca", "", None, "zé", "q"]
-    numbers, codes, ends = next(language._batches(texts))
-    grams = [b for b in language._buckets(codes, ends)]
-    assert numbers == [0, 3, 4] and [int((g < language.BUCKETS).sum()) for g in grams] == [7, 4, 2]
-    alone = [b for b in language._buckets(*next(language._batches(["zé"]))[1:])]
-    assert all((g[4:6] == a).all() for g, a in zip(grams, alone))  # neighbours do not matter
+def plain_grams(text):
+    """Bucket of every run of 1 to 3 characters of the lower-cased text."""
+    low, out = text.lower(), []
+    for n in (1, 2, 3):
+        for i in range(len(low) - n + 1):
+            value = 11
+            for c in low[i:i + n]:
+                value = (value * 0x9E3779B1 + ord(c)) % 2**32
+            out.append(((value ^ value >> 15) * 0x85EBCA77) % 2**32 >> 17)
+    return collections.Counter(out)
+
+
+def found_grams(texts):
+    out = collections.defaultdict(collections.Counter)
+    for numbers, codes, ends, cut in language._batches(texts):
+        owner = np.repeat(numbers, np.diff(ends, prepend=0))
+        for bucket in language._buckets(codes, ends, cut):
+            for i, g in zip(owner.tolist(), bucket.tolist()):
+                if g < language.BUCKETS:
+                    out[i][g] += 1
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 7])
+def test_language_grams_equal_plain_ones(monkeypatch, piece):
+    monkeypatch.setattr(language, "PIECE", piece)
+    texts = ["abca", "", None, "zé", "q", "Onde thetion rea, ÄÖ!", "a" * 50, "xy" * 9]
+    found = found_grams(texts)
+    assert all(found[i] == plain_grams(t or "") for i, t in enumerate(texts))
+
+
+def test_every_gram_of_a_long_text_counts_once():
+    text = "".join(random.Random(2).choices("abcdé ", k=600_000))
+    plain = plain_grams(text)
+    counts = np.zeros(language.BUCKETS + 1, dtype=np.int64)
+    for _, codes, ends, cut in language._batches([text]):
+        for bucket in language._buckets(codes, ends, cut):
+            counts += np.bincount(bucket, minlength=language.BUCKETS + 1)
+    assert {g: n for g, n in enumerate(counts[:-1].tolist()) if n} == dict(plain)
+
+
+def test_language_equals_plain_naive_bayes(documents):
+    rng = random.Random(7)
+    letters = {"en": "abcdef th", "fr": "abcdéè qu", "de": "abcdäö ch"}
+    rows = [(i, "".join(rng.choices(letters[lang], k=rng.randint(0, 40))), lang) for i, lang in enumerate(rng.choices(list(letters), k=60))]
+    docs = documents([*rows, (99, None, "en"), (98, "no label here", None)])
+    model = language.train(docs)
+    out = language.predict(docs, model, {"doc_id": F.col("doc_id")}).collect()
+    logs = {}
+    for lang in letters:
+        total = sum((plain_grams(t) for _, t, l in rows if l == lang), collections.Counter())
+        size = sum(total.values()) + 0.1 * language.BUCKETS
+        logs[lang] = lambda g, total=total, size=size: math.log((total[g] + 0.1) / size)
+    texts = {i: t for i, t, _ in rows} | {98: "no label here"}
+    assert len(out) == 62
+    for r in out:
+        text = texts.get(r["doc_id"])
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        points = {lang: sum(n * log(g) for g, n in plain_grams(text).items()) for lang, log in logs.items()}
+        best = max(sorted(points), key=points.__getitem__)
+        assert r["lang_pred"] == best
+        assert r["score"] == pytest.approx(1 / sum(math.exp(p - points[best]) for p in points.values()))
+
+
+@pytest.mark.parametrize("text", ["½ ²", "① Ⅷ", "12 _ !", " ", "٣"])
+def test_signs_that_are_no_letters(text):
+    model = language.Model(["en", "fr"], np.zeros((2, language.BUCKETS + 1)), np.zeros(2))
+    assert model.predict([text])[0] == ["und"] and model.predict([text + "a"])[0] == ["en"] and not language.has_letter(text)
+
+
+def test_accepted_rows(documents):
+    rows = [(1, "the cat sat on the mat and then the dog", "en"), (2, "le chat est sur la table avec le chien", "fr"), (3, None, "en"), (4, "12 ½", "fr"), (5, "zzzz", None)]
+    docs = documents(rows)
+    model = language.train(docs)
+    out = language.accepted(docs, model)
+    assert out.columns == docs.columns and {1, 2} <= {r.doc_id for r in out.collect()} <= {1, 2, 5}
+    assert {r.doc_id for r in language.accepted(docs, model, least=1.1).collect()} == set()
+    unlabelled = language.train(docs.limit(0))
+    assert {r.doc_id for r in language.accepted(docs, unlabelled).collect()} == {1, 2, 5}
 
 
 # ---- SimHash -------------------------------------------------------------------------------------
@@ -372,7 +469,11 @@ def test_mixture_on_odd_rows(spark, documents):
     labels = spark.createDataFrame([(5, "high"), (8, "low"), (5, "low"), (None, "high"), (99, "toxic"), (4, None)], "doc_id long, domain string")
     assert mixing.rates(docs, labels).count() == len(ODD)
     out = mixing.sampled(docs, labels)
-    assert out.columns == docs.columns and out.count() >= 0
+    plain = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+    drawn = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    rate = {r.doc_id: r.rate for r in mixing.rates(docs, labels).collect()}
+    assert out.columns == docs.columns and set(drawn) <= set(plain)
+    assert all(math.floor(rate[i]) * n <= drawn[i, t] <= math.ceil(rate[i]) * n for (i, t), n in plain.items())
     none = labels.limit(0)
     assert mixing.rates(docs, none).count() == len(ODD)
     assert mixing.rates(documents([]), labels).count() == 0 and mixing.sampled(documents([]), labels).count() == 0

@@ -6,6 +6,7 @@ from typing import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from courtlens.sources.tables import shared_folder
@@ -43,6 +44,19 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def by_bytes(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of rows whose texts hold ``most`` bytes at most; a longer one is alone.
+    Memory that the run before it used is handed back."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        held = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, held + most, side="right")))
+        yield at, stop - at
+        at = stop
+        pa.default_memory_pool().release_unused()
+
+
 def pack(values) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 

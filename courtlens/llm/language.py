@@ -15,17 +15,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from courtlens.llm.common import by_bytes
+
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Characters of text handled at once; longer texts go through in pieces.
 PIECE = 1 << 18
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Least posterior of a text that ``accepted`` keeps.
+SURE = 0.5
+_WORD_SIGN = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter; fractions, circled digits and number letters are none."""
+    return bool(text) and any(m[0].isalpha() for m in _WORD_SIGN.finditer(text))
 
 
-def _buckets(codes: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+def _buckets(codes: np.ndarray, ends: np.ndarray, cut: np.ndarray) -> Iterator[np.ndarray]:
     """For each size, the bucket of the n-gram that starts at each character; ``BUCKETS`` where
-    it would run into the next text."""
+    it would run into the next text, or starts in what the next piece of its text repeats (``cut``:
+    ends of pieces that have a next one)."""
     padded = np.concatenate([codes, np.zeros(max(SIZES), np.uint32)])
     value = np.full(len(codes), 11, dtype=np.uint32)
     for n in range(1, max(SIZES) + 1):
@@ -34,15 +44,18 @@ def _buckets(codes: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
             bucket = (((value ^ (value >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> np.uint32(17)).astype(np.intp)
             for short in range(1, n):
                 bucket[np.maximum(ends - short, 0)] = BUCKETS
+            for back in range(1, max(SIZES)):
+                bucket[cut - back] = BUCKETS
             yield bucket
 
 
-def _batches(texts: Iterable[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(text numbers, characters, ends) of about ``PIECE`` characters. Texts are lower-cased; a long
-    one is cut into pieces that overlap by the longest n-gram less one character, whose short
-    n-grams count twice in the overlap."""
+def _batches(texts: Iterable[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(text numbers, characters, ends, ends of unfinished pieces) of about ``PIECE`` characters.
+    Texts are lower-cased; a long one is cut into pieces that overlap by the longest n-gram less
+    one character, so that every n-gram lies in a piece."""
     numbers: list[int] = []
     parts: list[str] = []
+    open_: list[bool] = []
     held = 0
     overlap = max(SIZES) - 1
     for number, text in enumerate(texts):
@@ -53,17 +66,19 @@ def _batches(texts: Iterable[str | None]) -> Iterator[tuple[list[int], np.ndarra
             part = text[start:start + PIECE + overlap]
             numbers.append(number)
             parts.append(part)
+            open_.append(start + len(part) < len(text))
             held += len(part)
             if held >= PIECE:
-                yield _joined(numbers, parts)
-                numbers, parts, held = [], [], 0
+                yield _joined(numbers, parts, open_)
+                numbers, parts, open_, held = [], [], [], 0
     if parts:
-        yield _joined(numbers, parts)
+        yield _joined(numbers, parts, open_)
 
 
-def _joined(numbers: list[int], parts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+def _joined(numbers: list[int], parts: list[str], open_: list[bool]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return numbers, codes, np.cumsum([len(p) for p in parts])
+    ends = np.cumsum([len(p) for p in parts])
+    return numbers, codes, ends, ends[np.array(open_, dtype=bool)]
 
 
 class Model(NamedTuple):
@@ -73,14 +88,14 @@ class Model(NamedTuple):
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         totals = np.zeros((len(texts), len(self.languages)))
-        for numbers, codes, ends in _batches(texts) if self.languages else ():
+        for numbers, codes, ends, cut in _batches(texts) if self.languages else ():
             starts = np.concatenate([[0], ends[:-1]])
-            for bucket in _buckets(codes, ends):
+            for bucket in _buckets(codes, ends, cut):
                 for k, row in enumerate(self.log_prob):
                     np.add.at(totals[:, k], numbers, np.add.reduceat(row[bucket], starts))
         names, scores = [], np.zeros(len(texts))
         for i, text in enumerate(texts):
-            if not self.languages or not text or not _LETTER.search(text):
+            if not self.languages or not has_letter(text):
                 names.append(UNKNOWN)
                 continue
             total = totals[i] + self.prior
@@ -100,15 +115,15 @@ def train(docs: DataFrame, text_column: str = "text", label_column: str = "lang"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in _sliced(batches):
             langs = batch.column("lang").to_pylist()
-            for numbers, codes, ends in _batches(batch.column("text").to_pylist()):
+            for numbers, codes, ends, cut in _batches(batch.column("text").to_pylist()):
                 kinds = sorted({langs[i] for i in numbers})
                 place = {k: i for i, k in enumerate(kinds)}
                 kind = np.array([place[langs[i]] for i in numbers])
                 width = BUCKETS + 1
                 owner = np.repeat(kind * width, np.diff(ends, prepend=0))
-                for bucket in _buckets(codes, ends):
+                for bucket in _buckets(codes, ends, cut):
                     both = np.bincount(owner + bucket, minlength=len(kinds) * width).reshape(len(kinds), width)
                     for k, row in zip(kinds, both[:, :BUCKETS]):
                         if k in counts:
@@ -149,7 +164,7 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text_column:
     inner = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text_column).alias("text"))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
@@ -158,3 +173,30 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text_column:
     fields = ", ".join(f"k{i} {kind}" for i, (_, kind) in enumerate(inner.dtypes[:-1]))
     out = inner.mapInArrow(score, f"{fields}, lang_pred string, score double")
     return out.select(*[F.col(f"k{i}").alias(name) for i, name in enumerate(keep)], "lang_pred", "score")
+
+
+def _sliced(batches: Iterable[pa.RecordBatch], text_column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few megabytes of text."""
+    for batch in batches:
+        for at, n in by_bytes(batch.column(batch.schema.names.index(text_column))):
+            yield batch.slice(at, n)
+
+
+def accepted(docs: DataFrame, model: Model, least: float = SURE, text_column: str = "text") -> DataFrame:
+    """The rows, all columns, whose text has a language with a posterior of ``least`` or more.
+
+    Null texts and texts without a letter go. A model without a language rejects nothing else.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, text_column):
+            texts = batch.column(batch.schema.names.index(text_column)).to_pylist()
+            if shared.value.languages:
+                names, scores = shared.value.predict(texts)
+                kept = [name != UNKNOWN and score >= least for name, score in zip(names, scores.tolist())]
+            else:
+                kept = [has_letter(t) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

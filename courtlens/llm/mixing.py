@@ -9,20 +9,23 @@ so far, which are a few numbers each, so an iteration is one aggregate over a na
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from typing import Iterable, Iterator, NamedTuple, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from courtlens.llm.common import stage
+from courtlens.llm.common import by_bytes, stage
 
 BUCKETS = 1 << 14
 #: Labelled documents that the classifier is fitted on at most, those of the smallest hashes.
 LABELLED = 5000
-STEPS = 25
+#: Steps of the descent, far more than it takes; a fit that needs more says so in a warning.
+STEPS = 200
 CLOSE = 1e-6
 DOMAINS = ("high", "low", "toxic")
 #: Share of the mixture's tokens that each domain shall have.
@@ -39,8 +42,8 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(words, buckets, values) of each text: dampened counts of hashed words, of length 1."""
-    for at in range(0, len(texts), 2000):
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, 2000).fill_null("").cast(pa.string())))
+    for at, n in by_bytes(texts):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, n).fill_null("").cast(pa.string())))
         coded = lists.flatten().dictionary_encode()
         known = np.array([zlib.crc32(w.strip(".,;:!?").encode("utf-8")) % BUCKETS if w else -1 for w in coded.dictionary.to_pylist()], dtype=np.int64)
         bucket = known[coded.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
@@ -165,10 +168,13 @@ def fit_rates(members: DataFrame, targets: dict[str, float], domains: Sequence[s
     if tokens == 0:
         return steps
     goal = wanted * tokens
-    for _ in range(STEPS):
+    while True:
         miss = now - goal
         if np.abs(miss).max() <= CLOSE * tokens:
             break
+        if len(steps) >= STEPS:
+            warnings.warn(f"mixing rates after {STEPS} steps miss the targets by {np.abs(miss).max() / tokens:.2g} of the tokens", stacklevel=2)
+            break
         newton = np.linalg.pinv(gram / tokens, rcond=1e-9) @ miss / tokens
         plain = miss / tokens / max(1e-12, float(np.linalg.eigvalsh(gram / tokens).max()))
         trials = [newton, newton / 2, newton / 8, plain, plain / 4]
@@ -197,8 +203,9 @@ def sampled(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TA
             id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The mixture: every row of ``docs`` as often as its rate says, all columns.
 
-    The fraction of a rate is drawn by a hash of the id, so that a rerun gives the same rows and the
-    expected tokens are those of the rates.
+    The fraction of a rate is drawn by a hash of id and text, and for a null id of the row's place
+    in its task too, so that a rerun gives the same rows and the expected tokens are those of the
+    rates.
     """
     model = train(docs, labelled, DOMAINS, id_column, text_column)
     members = stage(memberships(docs, model, DOMAINS, id_column, text_column), "memberships")
@@ -208,15 +215,18 @@ def sampled(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TA
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier, taken = shared.value
+        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            copies = []
-            for doc, (_, held, values) in zip(batch.column(id_at).to_pylist(), features(batch.column(text_at))):
-                p, rate = classifier.posterior(held, values), 1.0
-                for step in taken:
-                    rate = max(0.0, rate - float(p @ step))
-                drawn = zlib.crc32(f"{seed}:{doc}".encode()) / 2**32
-                copies.append(int(rate) + (drawn < rate - int(rate)))
-            keep = np.repeat(np.arange(batch.num_rows), copies)
-            yield batch.take(pa.array(keep))
+            for at, n in by_bytes(batch.column(text_at)):
+                part = batch.slice(at, n)
+                texts, copies = part.column(text_at), []
+                for doc, text, (_, held, values) in zip(part.column(id_at).to_pylist(), texts, features(texts)):
+                    p, rate = classifier.posterior(held, values), 1.0
+                    for step in taken:
+                        rate = max(0.0, rate - float(p @ step))
+                    row += 1
+                    own = zlib.crc32(text.as_buffer() if text.is_valid else b"", zlib.crc32(f"{seed}:{f'{task}-{row}' if doc is None else doc}:".encode()))
+                    copies.append(int(rate) + (own / 2**32 < rate - int(rate)))
+                yield part.take(pa.array(np.repeat(np.arange(n), copies)))
 
     return docs.mapInArrow(work, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from courtlens.llm.common import stage
+from courtlens.llm.common import by_bytes, stage
 
 CAPACITY = 2048
 END = 0
@@ -36,8 +36,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-;=-@\[-`{{-~]*)")
 #: The units of other words, if these hold nothing else; an apostrophe or < may belong to a rule.
 _UNIT = re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-;=-@\[-`{{-~]+")
-#: Rows whose words are looked up together.
-_ROWS = 5000
+#: Bytes of text whose words are looked up together.
+_BYTES = 1 << 21
 
 
 class Coder:
@@ -100,10 +100,10 @@ class Coder:
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text and the closing id; null counts as empty."""
         end = np.array([END], dtype="<u4").tobytes()
-        for at in range(0, len(texts), _ROWS):
+        for at, n in by_bytes(texts, _BYTES):
             if len(self.known) > KNOWN_WORDS:
                 self.known = {"": b""}
-            lists = pc.ascii_split_whitespace(texts.slice(at, _ROWS).fill_null(""))
+            lists = pc.ascii_split_whitespace(texts.slice(at, n).fill_null(""))
             coded = lists.flatten().dictionary_encode()
             different = coded.dictionary.to_pylist()
             self.learn([w for w in different if w not in self.known])
@@ -237,7 +237,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = spark.sparkContext.broadcast(plan(counts, capacity)[0])
     deals = max(1, math.ceil(sum(counts.values()) / PER_WINDOW))
-    dealt = cut.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(deals)).cast("int"))
+    dealt = cut.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(deals)).cast("int"))
     sizes = dealt.groupBy("length", "deal").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("deal")) - F.col("n")
     firsts = sizes.select("length", "deal", before.alias("first"))

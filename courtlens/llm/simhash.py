@@ -239,11 +239,10 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def _similar(rows: DataFrame) -> DataFrame:
     """(u, v) of lists that share ``NEAR`` of their shingles, enough of them to connect all such lists."""
-    placed = _prefixes(rows).select("fp", "size", F.posexplode("prefix").alias("at", "token"))
-    bucket = Window.partitionBy("token")
-    marked = placed.select("*", F.min("fp").over(bucket).alias("pivot"), F.max("fp").over(bucket).alias("last"),
-                           F.min_by(F.struct("size", "at"), "fp").over(bucket).alias("p"))
-    met = stage(marked.where("pivot <> last").drop("last"), "met")
+    placed = stage(_prefixes(rows).select("fp", "size", F.posexplode("prefix").alias("at", "token")), "placed")
+    # Bounds of a shingle are pre-aggregated and joined back: Spark may split the rows of a very common one.
+    bounds = placed.groupBy("token").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last"), F.min_by(F.struct("size", "at"), "fp").alias("p"))
+    met = stage(placed.join(bounds.where("pivot <> last").drop("last"), "token"), "met")
     star = met.where(F.col("fp") != F.col("pivot")).where(_may_be_similar("p.size", "p.at", "size", "at")).select(
         F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v"), _least_shared("p.size", "size"))
     first = stage(_confirmed(rows, star), "links")

@@ -7,8 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from courtlens.functions import calibrate, dates, names, ranks
-
-SCORE_BUCKETS = 65_536
+from courtlens.operators.timeline import in_ranges
 
 
 # ---- two views of one match --------------------------------------------------------------------
@@ -77,20 +76,19 @@ def metrics_by(df: DataFrame, by: Sequence[str], prob: str = "prob_one", actual:
 def auc_by(df: DataFrame, by: Sequence[str], prob: str = "prob_one", actual: str = "actual") -> DataFrame:
     """Exact area under the ROC curve per group, NaN with only one class.
 
-    Equal scores are merged first. Score order is resolved inside fixed score ranges; counts per
-    range, at most SCORE_BUCKETS of them, supply what lies below.
+    Equal scores are merged first. What lies below a score is counted inside ranges of (group,
+    score) of about equal size, wherever the scores crowd; sums per range supply the rest.
     """
     keys = list(by)
     y = F.col(actual).cast("bigint")
-    scores = df.groupBy(*keys, F.col(prob).alias("_p")).agg(
-        F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"),
-    ).withColumn("_b", F.floor(F.col("_p") * SCORE_BUCKETS))
-    below_range = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    merged = df.groupBy(*keys, F.col(prob).alias("_p")).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
+    scores = in_ranges(merged, [*keys, "_p"])
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
-    offsets = scores.groupBy(*keys, "_b").agg(F.sum("_neg").alias("_range_neg")).select(
-        *keys, "_b", F.coalesce(F.sum("_range_neg").over(below_range), zero).alias("_offset"))
-    below = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    placed = scores.withColumn("_under", F.coalesce(F.sum("_neg").over(below), zero)).join(offsets, [*keys, "_b"])
+    offsets = scores.groupBy(*keys, "_range").agg(F.sum("_neg").alias("_range_neg")).select(
+        *keys, "_range", F.coalesce(F.sum("_range_neg").over(earlier), zero).alias("_offset"))
+    below = Window.partitionBy(*keys, "_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    placed = scores.withColumn("_under", F.coalesce(F.sum("_neg").over(below), zero)).join(offsets, [*keys, "_range"])
     wins = F.sum(F.col("_pos").cast("double") * (F.col("_offset") + F.col("_under") + F.col("_neg") / 2.0))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
     return placed.groupBy(*keys).agg(F.when(pairs > 0, wins / pairs).otherwise(F.lit(float("nan"))).alias("auc"))

@@ -20,6 +20,19 @@ def require_columns(df: DataFrame, needed: Iterable[str]) -> DataFrame:
     return df
 
 
+def column_contract(df: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """(column, expected, found, present, fits, filled) per expected column: the type it has, null
+    if it is absent, whether that is the expected one, and how many rows have a value; one pass."""
+    found = {f.name: f.dataType.simpleString() for f in df.schema}
+    there = [c for c in expected if c in found]
+    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(there)], F.count(F.lit(1)).alias("rows"))
+    cells = [F.struct(
+        F.lit(c).alias("column"), F.lit(kind).alias("expected"), F.lit(found.get(c)).cast("string").alias("found"),
+        F.lit(c in found).alias("present"), F.lit(found.get(c) == kind).alias("fits"),
+        (F.col(f"n{there.index(c)}") if c in found else F.lit(0).cast("bigint")).alias("filled")) for c, kind in expected.items()]
+    return counts.select(F.inline(F.array(*cells)))
+
+
 def finished_only(df: DataFrame) -> DataFrame:
     """Drop walkovers, retirements and defaults; a missing score is kept."""
     return df.filter(~F.coalesce(F.col("score").rlike(UNFINISHED), F.lit(False)))

@@ -16,6 +16,8 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
+from courtlens.session import cut_lineage
+
 ROWS_PER_RUN = 2_000_000
 BROADCAST_ROWS = 200_000
 
@@ -116,24 +118,27 @@ def with_day_state(df: DataFrame, state: DataFrame, keys: Sequence[str], day: st
     return df.join(state, [*keys, day], "left")
 
 
-def global_position(df: DataFrame, bucket: Column, order: Sequence[Column], name: str) -> DataFrame:
-    """1-based position in a total order, without sorting everything in one task.
+def in_ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` in contiguous ranges of a total order, numbered from below by ``_range``.
 
-    ``bucket`` is an ascending coarse value of the leading order column with a bounded range;
-    counts per bucket give the offsets, rows are ordered inside their bucket only.
+    Bounds come from a sample of the whole order, later columns included, so ranges are about equal
+    however often one leading value occurs. The result is materialised: bounds sampled again could
+    differ from those that ranges were counted with.
     """
-    bucketed = df.withColumn("_bucket", bucket)
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per bucket: the range of the bucket value bounds this window
-    before = Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    return (
-        bucketed.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, "_bucket")
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_offset")
-    )
+    return cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
+def global_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """1-based position in a total order, without sorting everything in one task: rows are numbered
+    inside their range and counts per range give the offsets."""
+    ranged = in_ranges(df, order)
+    # one row per range, of which there are as many as shuffle partitions
+    before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return ranged.withColumn("_inside", F.row_number().over(inside)).join(offsets, "_range").withColumn(
+        name, F.col("_offset") + F.col("_inside")).drop("_range", "_inside", "_offset")
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, position: str = "recent_no") -> DataFrame:

@@ -87,9 +87,7 @@ def with_recency(df: DataFrame) -> DataFrame:
 
 def with_return_bucket(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Equal-sized bins 1..8 by recency-weighted return, as ``ntile`` gives, without one global sort."""
-    low, high = s.rpw_bounds
-    coarse = F.floor((F.col("rpw_adj_last10") - low) / (high - low) * 4096)
-    placed = global_position(df, coarse, [F.col("rpw_adj_last10"), F.col(DAY), F.col(NUM), F.col(KEY)], "_position")
+    placed = global_position(df, [F.col("rpw_adj_last10"), F.col(DAY), F.col(NUM), F.col(KEY)], "_position")
     total = df.agg(F.count(F.lit(1))).scalar()
     size, extra = F.floor(total / s.buckets), total % s.buckets
     wide = extra * (size + 1)

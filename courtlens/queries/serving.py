@@ -315,6 +315,22 @@ def _(spark, folder):
     return rounded(tables.read_summaries(spark, place), ["season", "strategy", "num_bets_placed", "num_total_matches"], ["roi_pct"])
 
 
+def _reports(spark, folder):
+    place = tables.shared_folder(spark, "reports")
+    tables.export_reports(summaries(spark, folder), temperature_table(spark, folder), ledger.equity_curve(path(spark, folder), PATH), place)
+    return place
+
+
+@query("a12_comparison_read_back", "temperature_table", f"SELECT season, temperature, bets, {sql_r6('profit', 'roi', 'hit_rate', 'avg_edge', 'max_drawdown')} FROM temperature_table")
+def _(spark, folder):
+    return rounded(tables.read_temperatures(spark, _reports(spark, folder)), ["season", "temperature", "bets"], ["profit", "roi", "hit_rate", "avg_edge", "max_drawdown"])
+
+
+@query("a12_equity_read_back", "paths", "SELECT season, strategy, temperature, bet_number, round(bankroll, 6) + 0.0 AS bankroll FROM paths")
+def _(spark, folder):
+    return rounded(tables.read_equity(spark, _reports(spark, folder)), [*PATH, "bet_number"], ["bankroll"])
+
+
 @query("a13_stored_scaler", "skilled", " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(avg({c}), 6) + 0.0 AS mean, round(stddev_pop({c}), 6) + 0.0 AS std FROM skilled" for c in ("serve_skill", "return_skill")))
 def _(spark, folder):

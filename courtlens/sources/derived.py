@@ -26,7 +26,6 @@ def players(spark: SparkSession, folder: str) -> DataFrame:
     nation = _read(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("ioc"))
     ranked = global_position(
         supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
-        F.floor(-F.col("s_acctbal")),
         [F.col("s_acctbal").desc(), F.col("s_suppkey")],
         "rnk",
     )

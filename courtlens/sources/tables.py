@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 from typing import Callable, Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -57,19 +59,20 @@ def read_raw_matches(spark: SparkSession, folder: str, merged: str | None = None
 
 
 def _by_header(spark: SparkSession, globs: Sequence[str]) -> Iterable[DataFrame]:
-    files = [str(s.getPath()) for g in globs for s in _statuses(spark, g)]
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path in files:  # one small metadata read per yearly file
-        header = tuple(spark.read.option("header", True).csv(path).columns)
-        groups.setdefault(header, []).append(path)
-    for header, paths in groups.items():
+    for r in first_lines(spark, globs).collect():  # one row per file
+        groups.setdefault(tuple(next(csv.reader([r["line"]]))), []).append(unquote(r["path"]))
+    for header, paths in sorted(groups.items()):
         schema = StructType([StructField(c, StringType()) for c in header])
         yield spark.read.schema(schema).option("header", True).csv(paths)
 
 
-def _statuses(spark: SparkSession, glob: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(glob)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+def first_lines(spark: SparkSession, globs: Sequence[str]) -> DataFrame:
+    """(path, line): the first line of every file, by one job over all of them. Files without a
+    line are left out."""
+    lines = spark.read.text(list(globs)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("id"))
+    return lines.where("at = 0").groupBy("path").agg(F.min_by("value", "id").alias("line"))
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -91,20 +94,34 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 # ---- feature cache -----------------------------------------------------------------------------
 
 
+_MANIFEST = "version bigint, feature_names string, place string"
+
+
+def _newest_version(spark: SparkSession, path: str):
+    """The newest finished version's manifest row, None when there is none."""
+    try:
+        manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+        return manifest.agg(F.max_by(F.struct("version", "feature_names", "place"), "version").alias("m")).first()["m"]
+    except AnalysisException:
+        return None
+
+
 def load_or_build_features(spark: SparkSession, path: str, names: Sequence[str], build: Callable[[], DataFrame],
                            force: bool = False) -> DataFrame:
-    """The stored feature table, rebuilt when absent, forced, without names or with other names."""
+    """The stored feature table, rebuilt when absent, forced, without names or with other names.
+
+    Every build has a folder of its own, and the manifest row that names it is added last: readers
+    see the version before until the new one is whole, and a build that fails changes nothing.
+    """
     wanted = ",".join(names)
-    if not force:
-        try:
-            stored = spark.read.parquet(f"{path}/manifest").select("feature_names").first()
-            if stored is not None and stored[0] == wanted:
-                return spark.read.parquet(f"{path}/rows")
-        except AnalysisException:
-            pass
-    build().write.mode("overwrite").parquet(f"{path}/rows")
-    spark.createDataFrame([(wanted,)], "feature_names string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
-    return spark.read.parquet(f"{path}/rows")
+    stored = _newest_version(spark, path)
+    if not force and stored is not None and stored["feature_names"] == wanted:
+        return spark.read.parquet(f"{path}/{stored['place']}")
+    place = f"rows-{uuid.uuid4().hex}"
+    build().write.parquet(f"{path}/{place}")
+    version = 1 if stored is None else stored["version"] + 1
+    spark.createDataFrame([(version, wanted, place)], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/{place}")
 
 
 # ---- predictions -------------------------------------------------------------------------------
@@ -197,6 +214,20 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUMMARY_SCHEMA).json(f"{path}/summary")
 
 
+TEMPERATURE_SCHEMA = "season int, temperature double, bets bigint, profit double, hit_rate double, avg_edge double, max_drawdown double, roi double"
+EQUITY_SCHEMA = "season int, strategy string, temperature double, bet_number bigint, bankroll double"
+
+
+def read_temperatures(spark: SparkSession, path: str) -> DataFrame:
+    """The saved temperature comparison; fields that a file lacks are null."""
+    return spark.read.schema(TEMPERATURE_SCHEMA).json(f"{path}/temperatures")
+
+
+def read_equity(spark: SparkSession, path: str) -> DataFrame:
+    """The saved equity curves, bet by bet."""
+    return spark.read.schema(EQUITY_SCHEMA).json(f"{path}/equity")
+
+
 def save_scaler(spark: SparkSession, scaler, path: str) -> None:
     scaler.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(path)
 

@@ -42,13 +42,32 @@ def test_long_key_windows_equal_plain_windows(rows, limit):
 
 
 def test_global_position_is_a_total_order(rows):
-    placed = timeline.global_position(rows, F.floor(F.col("v") * 5), [F.col("v"), F.col("match_num")], "pos")
+    placed = timeline.global_position(rows, [F.col("v"), F.col("match_num")], "pos")
     got = [r.match_num for r in placed.orderBy("pos").select("match_num").collect()]
     want = [r.match_num for r in rows.orderBy("v", "match_num").select("match_num").collect()]
     assert got == want
     assert [r.pos for r in placed.orderBy("pos").collect()] == list(range(1, len(want) + 1))
 
 
+@pytest.fixture
+def small_ranges_kept_apart(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_ranges_stay_even_when_one_value_is_nine_tenths(spark, small_ranges_kept_apart):
+    rnd = random.Random(6)
+    data = [(0.35 if rnd.random() < 0.9 else rnd.random(), 20200101 + rnd.randrange(28), i) for i in range(8000)]
+    rows = spark.createDataFrame(data, "v double, day int, n long").repartition(5)
+    order = [F.col("v"), F.col("day"), F.col("n")]
+    sizes = [r["count"] for r in timeline.in_ranges(rows, order).groupBy("_range").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 8000 * 0.5
+    placed = {r.n: r.pos for r in timeline.global_position(rows, order, "pos").collect()}
+    assert [placed[n] for _, _, n in sorted(data)] == list(range(1, 8001))
+
+
 @pytest.mark.parametrize("mode", ["upto", "before", "day"])
 def test_asof_join_against_brute_force(spark, rows, mode):
     data = make_rows()

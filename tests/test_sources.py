@@ -69,3 +69,48 @@ def test_two_sided_mirrors(spark):
     assert w.match_id == l.match_id == "A_B_20200101" and w.tourney_level == "A"
     with pytest.raises(ValueError, match="loser_name"):
         orient.two_sided(df.drop("loser_name"))
+
+
+def test_first_lines_in_one_job(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"atp matches_{i}.csv").write_text(("a,b,c" if i % 2 else "c,\"x,y\"") + "\n" + f"{i},2,3\n" * i)
+    (tmp_path / "atp matches_empty.csv").write_text("")
+    spark.sparkContext.setJobGroup("first lines", "first lines")
+    rows = tables.first_lines(spark, [str(tmp_path / "*.csv")]).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("first lines")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(rows) == 40 and {r.line for r in rows} == {"a,b,c", "c,\"x,y\""} and len(jobs) <= 3
+
+
+def test_cache_keeps_the_old_version_until_the_new_one_is_whole(spark, tmp_path):
+    place, old = str(tmp_path / "cache"), spark.createDataFrame([(1, 2.0)], "n int, a double")
+    assert tables.load_or_build_features(spark, place, ["a"], lambda: old).columns == ["n", "a"]
+
+    def fails():
+        return spark.range(4).select(F.raise_error(F.lit("stopped half way")).cast("string").alias("b"))
+
+    with pytest.raises(Exception, match="half way"):
+        tables.load_or_build_features(spark, place, ["b"], fails)
+    kept = tables.load_or_build_features(spark, place, ["a"], lambda: pytest.fail("not read from the cache"))
+    assert [tuple(r) for r in kept.collect()] == [(1, 2.0)]
+    new = spark.createDataFrame([(5, 6.0)], "n int, a double")
+    forced = tables.load_or_build_features(spark, place, ["a"], lambda: new, force=True)
+    assert [tuple(r) for r in forced.collect()] == [(5, 6.0)] and [tuple(r) for r in kept.collect()] == [(1, 2.0)]
+
+
+def test_documents_of_unlike_runs(spark, tmp_path):
+    for name, doc in {"a": {"run": "a", "metrics": {"test": {"accuracy": 0.6, "match_accuracy": 0.7, "match_auc": 0.8}}},
+                      "b": {"run": "b", "metrics": {"test": {"accuracy": 0.5, "brier": 0.2}, "other": [1]}}, "c": {"run": "c"}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=2))
+    rows = {r.run: r for r in documents.test_metrics(documents.read_run_documents(spark, str(tmp_path))).collect()}
+    assert (rows["a"].accuracy, rows["a"].auc, rows["a"].brier) == (0.7, 0.8, 0.0)
+    assert (rows["b"].accuracy, rows["b"].auc, rows["b"].brier) == (0.5, 0.0, 0.2)
+    assert tuple(rows["c"])[1:] == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_column_contract(spark):
+    df = spark.createDataFrame([("x", 1), (None, 2)], "a string, b int")
+    rows = {r.column: r for r in orient.column_contract(df, {"a": "string", "b": "double", "c": "int"}).collect()}
+    assert (rows["a"].present, rows["a"].fits, rows["a"].filled) == (True, True, 1)
+    assert (rows["b"].found, rows["b"].fits, rows["b"].filled) == ("int", False, 2)
+    assert (rows["c"].present, rows["c"].found, rows["c"].fits, rows["c"].filled) == (False, None, False, 0)

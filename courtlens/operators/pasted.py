@@ -206,6 +206,12 @@ def _name_matches(described: Column, name: Column) -> Column:
             | low.startswith(last) | low.startswith(full))
 
 
+def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with new columns that the optimizer does not merge into later steps: a value that
+    several later conditions use is computed once per row."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def typed_matches(df: DataFrame) -> DataFrame:
     """Typed match rows from the pasted lines, valid or not, with an ``is_valid`` column.
 
@@ -239,7 +245,7 @@ def typed_matches(df: DataFrame) -> DataFrame:
     texts = {f"_t_{name}": F.when(positional, part(after + i)) for i, name in enumerate(stats)}
     texts.update({f"_o_{name}": F.when(F.col("column_map")[c].isNotNull(), field(c, -1)) for name, c in own.items()})
     texts.update({"_desc": desc, "_t_rank": field("rank", 4), "_t_opp": field("opponent_rank", 5), "_t_date": field("date", 0)})
-    rows = rows.filter(F.size("parts") >= 3).withColumns(texts)
+    rows = _computed(rows.filter(F.size("parts") >= 3), {**texts, "score": score})
     desc = F.col("_desc")
 
     def stat(name: str) -> Column:
@@ -250,16 +256,15 @@ def typed_matches(df: DataFrame) -> DataFrame:
     points = F.coalesce("_t__points", F.lit(""))
     saved = F.regexp_extract(points, "^([0-9]+)/([0-9]+)$", 1).try_cast("double")
     faced = F.regexp_extract(points, "^([0-9]+)/([0-9]+)$", 2).try_cast("double")
-    shaped = desc.rlike(".+?\\s+d\\.\\s+.+")
     left_text = F.regexp_extract(desc, "^(.+?)\\s+d\\.\\s+(.+)$", 1)
     right_text = F.regexp_extract(desc, "^(.+?)\\s+d\\.\\s+(.+)$", 2)
-    typed = rows.withColumns({
+    rows = _computed(rows, {"_lefttext": left_text, "_righttext": right_text})
+    typed = _computed(rows, {
         "match_date": parsed_date(F.col("_t_date")),
         "tournament": field("tournament", 1), "surface": field("surface", 2), "round": field("round", 3),
         "player_rank": parsed_int(F.col("_t_rank")), "opponent_rank": parsed_int(F.col("_t_opp")),
-        "score": score, "_left": _bare_name(left_text), "_right": _bare_name(right_text),
-        "_lefttext": left_text, "_righttext": right_text,
-        "_open": shaped & ~F.lower("line").contains(" vs "),
+        "_left": _bare_name(F.col("_lefttext")), "_right": _bare_name(F.col("_righttext")),
+        "_open": (F.col("_righttext") != "") & ~F.lower("line").contains(" vs "),
         "dominance": F.when(ratio > 0, ratio), "ace_pct": stat("ace_pct"), "df_pct": stat("df_pct"),
         "first_in": stat("first_in"), "first_won": stat("first_won"), "second_won": stat("second_won"),
         "break_points_saved": F.when(faced > 0, saved / faced),
@@ -269,13 +274,15 @@ def typed_matches(df: DataFrame) -> DataFrame:
         (F.col("_t_rank") != "") & F.col("_lefttext").contains(F.col("_t_rank")))
     lost = F.when(named, _name_matches(F.col("_right"), F.col("player_name"))).otherwise(
         (F.col("_t_rank") != "") & F.col("_righttext").contains(F.col("_t_rank")))
+    typed = _computed(typed, {"_won": won, "_lost": lost})
+    won, lost = F.col("_won"), F.col("_lost")
     typed = typed.withColumns({
         "result": F.when(F.col("_open") & won, "W").when(F.col("_open") & lost, "L").otherwise(""),
         "opponent": F.when(~F.col("_open"), "").when(~won & lost, F.col("_left")).otherwise(F.col("_right")),
         "return_pct": return_from_dominance(),
     })
     return typed.withColumn("is_valid", valid_match()).drop(
-        "_left", "_right", "_lefttext", "_righttext", "_open", "fields", "parts", "column_map", *texts)
+        "_left", "_right", "_lefttext", "_righttext", "_open", "_won", "_lost", "fields", "parts", "column_map", *texts)
 
 
 def return_from_dominance() -> Column:

@@ -33,7 +33,8 @@ BASE = (
     Template("apache-2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", True),
 )
-# Wording of common license notices, found also when a few words differ.
+# Wording of common license notices. Long ones are found also when a few words differ;
+# in one of seven to nine words only a word near an end may.
 NOTICES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", False),
     Template("mit", "released under the terms of the mit license", False),
@@ -70,9 +71,15 @@ def _template_grams(spark: SparkSession, templates: Sequence[Template]) -> DataF
     ).withColumn("gram", F.xxhash64("t0", "t1", "t2"))
 
 
-def hits(docs: DataFrame, templates: Sequence[Template], id_column: str, text_column: str) -> DataFrame:
-    """Every place where a text shares a 3-gram with a template: the hash finds it, the words confirm it."""
-    words = docs.select(F.col(id_column).alias("id"), word_array(F.col(text_column)).alias("w")).where(F.size("w") >= K)
+def text_key(text: Column) -> Column:
+    """What names a text: equal texts have equal findings, whatever their rows' ids."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def hits(docs: DataFrame, templates: Sequence[Template], text_column: str) -> DataFrame:
+    """Every place where a text shares a 3-gram with a template: the hash finds it, the words confirm it.
+    ``id`` is the text's key."""
+    words = docs.select(text_key(F.col(text_column)).alias("id"), word_array(F.col(text_column)).alias("w")).where(F.size("w") >= K)
     places = words.select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - K)).alias("place"))
     grams = places.select(
         "id", "place", *[F.get("w", F.col("place") + i).alias(f"w{i}") for i in range(K)]
@@ -104,13 +111,14 @@ def spans(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = BASE + NOTICES,
-         id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per text with a finding: (id, n_base, first_word, last_word, base_labels, labels, score).
+         text_column: str = "text") -> DataFrame:
+    """Per different text with a finding: (id, n_base, first_word, last_word, base_labels, labels, score).
 
-    Null and empty texts find nothing; overlapping places all count; a repeated id gathers the
-    findings of all its rows; other columns are not read. ``score`` is the best span's coverage.
+    ``id`` is the key of the text (``text_key``), so rows of one id or of none do not mix. Null and
+    empty texts find nothing; overlapping places all count; copies are one text; other columns are
+    not read. ``score`` is the best span's coverage.
     """
-    found = spans(hits(docs, templates, id_column, text_column))
+    found = spans(hits(docs, templates, text_column))
     base = F.col("base")
     return found.groupBy("id").agg(
         F.count(F.when(base, 1)).alias("n_base"),
@@ -125,12 +133,12 @@ def annotate(docs: DataFrame, templates: Sequence[Template] = BASE + NOTICES,
              id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The findings of ``scan`` beside every row's id and word count.
 
-    Rows without a finding get zeros, nulls for the places and empty label strings. A null id is
-    matched with itself.
+    Rows without a finding get zeros, nulls for the places and empty label strings. Every row has
+    the findings of its own text, whatever other rows share its id.
     """
-    counted = docs.select(F.col(id_column).alias("doc_id"), F.size(word_array(F.col(text_column))).cast("long").alias("n_words"))
-    found = scan(docs, templates, id_column, text_column)
-    joined = counted.join(found, counted["doc_id"].eqNullSafe(found["id"]), "left")
+    text = F.col(text_column)
+    counted = docs.select(F.col(id_column).alias("doc_id"), text_key(text).alias("id"), F.size(word_array(text)).cast("long").alias("n_words"))
+    joined = counted.join(scan(docs, templates, text_column), "id", "left")
     return joined.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),

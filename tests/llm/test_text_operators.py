@@ -508,6 +508,9 @@ def test_license_places_equal_plain_ones(documents):
         assert (row["first_word"], row["last_word"]) == ((min(places), max(places)) if places else (None, None))
         assert set(filter(None, labels.split(","))) <= set(row["labels"].split(",")) and 0 <= row["score"] <= 1
     assert out[len(texts) - 1]["labels"] == "mit" and out[len(texts) - 1]["base_labels"] == ""
+    rows = [(None, "nothing here at all"), (None, "under the mit license"), (7, "cc by nc"), (7, "plain words only"), (7, None), (None, "under the mit license")]
+    found = collections.Counter((r["doc_id"], r["n_words"], r["n_base"], r["base_labels"]) for r in licenses.annotate(documents(rows)).collect())
+    assert found == {(None, 4, 0, ""): 1, (None, 4, 1, "mit"): 2, (7, 3, 1, "cc-by-nc"): 1, (7, 3, 0, ""): 1, (7, 0, 0, ""): 1}
     assert licenses.annotate(documents(ODD)).count() == len(ODD) and licenses.annotate(documents([])).count() == 0
 
 

@@ -57,6 +57,13 @@ def by_bytes(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
         pa.default_memory_pool().release_unused()
 
 
+def sliced(batches: Iterable[pa.RecordBatch], text_column: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few megabytes of text."""
+    for batch in batches:
+        for at, n in by_bytes(batch.column(batch.schema.names.index(text_column)), most):
+            yield batch.slice(at, n)
+
+
 def pack(values) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 

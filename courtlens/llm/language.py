@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from courtlens.llm.common import by_bytes
+from courtlens.llm.common import sliced
 
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -115,7 +115,7 @@ def train(docs: DataFrame, text_column: str = "text", label_column: str = "lang"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             langs = batch.column("lang").to_pylist()
             for numbers, codes, ends, cut in _batches(batch.column("text").to_pylist()):
                 kinds = sorted({langs[i] for i in numbers})
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text_column:
     inner = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text_column).alias("text"))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
@@ -175,13 +175,6 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text_column:
     return out.select(*[F.col(f"k{i}").alias(name) for i, name in enumerate(keep)], "lang_pred", "score")
 
 
-def _sliced(batches: Iterable[pa.RecordBatch], text_column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in parts of a few megabytes of text."""
-    for batch in batches:
-        for at, n in by_bytes(batch.column(batch.schema.names.index(text_column))):
-            yield batch.slice(at, n)
-
-
 def accepted(docs: DataFrame, model: Model, least: float = SURE, text_column: str = "text") -> DataFrame:
     """The rows, all columns, whose text has a language with a posterior of ``least`` or more.
 
@@ -190,7 +183,7 @@ def accepted(docs: DataFrame, model: Model, least: float = SURE, text_column: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches, text_column):
+        for batch in sliced(batches, text_column):
             texts = batch.column(batch.schema.names.index(text_column)).to_pylist()
             if shared.value.languages:
                 names, scores = shared.value.predict(texts)

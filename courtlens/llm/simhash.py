@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from courtlens.llm.common import stage, words_of
+from courtlens.llm.common import sliced, stage, words_of
 from courtlens.llm.components import components
 
 SHINGLE = 3
@@ -102,7 +102,7 @@ def _shingles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     kind = dict(inner.dtypes)["doc_id"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps, sizes, parts = [], [0], [np.zeros(0, np.int32)]
             for text in batch.column("text"):
                 words = words_of(text.as_py())
@@ -244,7 +244,7 @@ def _similar(rows: DataFrame) -> DataFrame:
     bounds = placed.groupBy("token").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last"), F.min_by(F.struct("size", "at"), "fp").alias("p"))
     met = stage(placed.join(bounds.where("pivot <> last").drop("last"), "token"), "met")
     star = met.where(F.col("fp") != F.col("pivot")).where(_may_be_similar("p.size", "p.at", "size", "at")).select(
-        F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v"), _least_shared("p.size", "size"))
+        F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v"))
     first = stage(_confirmed(rows, star), "links")
     roots = components(first)
     named = met.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -256,34 +256,24 @@ def _similar(rows: DataFrame) -> DataFrame:
     right = open_rows.select("token", "fp", "size", "at", "root", (F.col("root") == F.col("main")).alias("of_main"))
     apart = left.join(right, "token").where((F.col("l_root") != F.col("root")) & (F.col("of_main") | (F.col("l_fp") < F.col("fp"))))
     rest = apart.where(_may_be_similar("l_size", "l_at", "size", "at")).select(
-        F.least("l_fp", "fp").alias("u"), F.greatest("l_fp", "fp").alias("v"), _least_shared("l_size", "size"))
+        F.least("l_fp", "fp").alias("u"), F.greatest("l_fp", "fp").alias("v"))
     return first.union(_confirmed(rows, rest))
 
 
 def _may_be_similar(size: str, at: str, other_size: str, other_at: str) -> Column:
-    """Whether lists of these sizes that share the shingle at these places can be similar: no more
-    shingles are shared than the shorter rests before and after it have."""
+    """Whether lists of these sizes can be similar if the shingle at these places is the first that
+    they share: all they share is then in the rests from there on. Similar lists pass at that
+    shingle, whatever becomes of their later ones."""
     over, under = NEAR
     a, i, b, j = (F.col(c).cast("long") for c in (size, at, other_size, other_at))
-    most = F.least(i, j) + F.least(a - i, b - j)
+    most = F.least(a - i, b - j)
     return (F.least(a, b) * under >= F.greatest(a, b) * over) & (most * (over + under) >= (a + b) * over)
 
 
-def _least_shared(size: str, other_size: str) -> Column:
-    """How many shingles the first parts of similar lists of these sizes have in common at least:
-    what the similarity asks for less what can follow the first part that ends earlier."""
-    over, under = NEAR
-    a, b = (F.col(c).cast("long") for c in (size, other_size))
-    behind = F.ceil(F.greatest(a, b) * over / under) - 1
-    return (F.ceil((a + b) * over / (over + under)) - behind).alias("need")
-
-
 def _confirmed(rows: DataFrame, met: DataFrame) -> DataFrame:
-    """The pairs whose lists are similar, of (u, v, need) with a row for each shingle that the first
-    parts share. The first pass has a part of those rows and may miss pairs; the second has all."""
+    """The pairs (u, v) of ``met`` whose lists are similar; a pair may come several times."""
     over, under = NEAR
-    often = met.groupBy("u", "v").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
-    pairs = stage(often.select("u", "v"), "candidates")
+    pairs = stage(met.select("u", "v").distinct(), "candidates")
     asked = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
     lists = stage(_only(rows, _marked(asked)).join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "shingles")
     both = pairs.join(lists.toDF("u", "a"), "u").join(lists.toDF("v", "b"), "v")

@@ -9,7 +9,6 @@ without a disguise get exactly the plain findings.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 import unicodedata
@@ -19,6 +18,8 @@ from typing import Callable, Iterable, Iterator, NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from courtlens.llm.common import sliced
+
 KINDS = ("email", "ip", "card", "phone")
 
 
@@ -350,7 +351,7 @@ def hidden_spans(text: str, plain: list[Span]) -> list[Span]:
             continue
         if not touched or start >= end or end <= reached[span.kind]:
             continue
-        before = bisect.bisect_right(starts[span.kind], start) - 1
+        before = bisect_right(starts[span.kind], start) - 1
         if before < 0 or known[span.kind][before].end < end:
             out.append(Span(span.kind, start, end))
             reached[span.kind] = end
@@ -417,7 +418,7 @@ def mask(docs: DataFrame, text_column: str = "text", length_column: str | None =
     has_length = length_column in names
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_column):
             texts = batch.column(place).to_pylist()
             out = [masked(t) for t in texts]
             columns = list(batch.columns)

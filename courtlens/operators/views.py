@@ -48,19 +48,16 @@ def recent_match_rows(df: DataFrame) -> DataFrame:
 
 
 def latest_player_records(df: DataFrame) -> DataFrame:
-    """One row per player with the attributes of the newest row."""
-    newest_row = F.max_by(
-        F.struct("player_ioc", "player_hand", "player_ht", "player_rank", "tourney_date"), F.struct(*ORDER)
-    )
-    return (
-        df.groupBy("player").agg(newest_row.alias("r"))
-        .select(
-            names.slug(F.col("player")).alias("slug"), F.col("player").alias("name"),
-            F.col("r.player_ioc").alias("country"), F.col("r.player_hand").alias("handedness"),
-            F.col("r.player_ht").cast("int").alias("height_cm"), F.col("r.player_rank").cast("int").alias("last_rank"),
-            dates.as_date(F.col("r.tourney_date")).alias("last_rank_date"),
-        )
-    )
+    """One row per slug with name and attributes of its newest row: spellings of one slug are one
+    player. Rows are reduced per spelling first, so slugs are made for few of them."""
+    at = F.struct(*ORDER)
+    newest_row = F.max_by(F.struct("player_ioc", "player_hand", "player_ht", "player_rank", "tourney_date"), at)
+    spelled = df.groupBy("player").agg(newest_row.alias("r"), F.max(at).alias("at"))
+    players = spelled.groupBy(names.slug(F.col("player")).alias("slug")).agg(F.max_by(F.struct(F.col("player").alias("name"), "r"), F.struct("at", "player")).alias("p"))
+    return players.select(
+        "slug", "p.name", F.col("p.r.player_ioc").alias("country"), F.col("p.r.player_hand").alias("handedness"),
+        F.col("p.r.player_ht").cast("int").alias("height_cm"), F.col("p.r.player_rank").cast("int").alias("last_rank"),
+        dates.as_date(F.col("p.r.tourney_date")).alias("last_rank_date"))
 
 
 def search_players(records: DataFrame, text: str | None, limit: int) -> DataFrame:

@@ -438,6 +438,18 @@ def _(spark, folder):
     return found.withColumn("player_one", F.initcap("player_one"))
 
 
+@query("d08_latest_sample_known_in_reverse", "dual pairs", """
+WITH won AS (SELECT lower(trim(player)) AS a, lower(trim(opponent)) AS b, match_id, match_num FROM dual WHERE label = 1
+  QUALIFY row_number() OVER (PARTITION BY lower(trim(player)), lower(trim(opponent)) ORDER BY tourney_date DESC, match_num DESC) = 1)
+SELECT player_one, player_two, d.match_num IS NULL AS swapped, coalesce(d.match_id, r.match_id) AS match_id, coalesce(d.match_num, r.match_num) AS match_num FROM pairs
+LEFT JOIN won d ON d.a = lower(trim(player_one)) AND d.b = lower(trim(player_two)) LEFT JOIN won r ON r.a = lower(trim(player_two)) AND r.b = lower(trim(player_one))
+WHERE d.match_num IS NOT NULL OR r.match_num IS NOT NULL
+""")
+def _(spark, folder):
+    # samples stored from the winner's side only, so a pair may be known in reverse alone
+    return views.latest_sample_by_name(dual(spark, folder).filter("label = 1"), pairs(spark, folder))
+
+
 @query("d12_side_by_side", "shown pairs", """
 WITH i AS (SELECT player, match_num, opponent, serve_pct, row_number() OVER (PARTITION BY player ORDER BY tourney_date, match_num) AS k FROM shown WHERE back <= 10),
 a AS (SELECT player_one, player_two, k, opponent, serve_pct FROM pairs JOIN i ON player = player_one),

@@ -241,8 +241,11 @@ def _similar(rows: DataFrame) -> DataFrame:
     """(u, v) of lists that share ``NEAR`` of their shingles, enough of them to connect all such lists."""
     placed = stage(_prefixes(rows).select("fp", "size", F.posexplode("prefix").alias("at", "token")), "placed")
     # Bounds of a shingle are pre-aggregated and joined back: Spark may split the rows of a very common one.
-    bounds = placed.groupBy("token").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last"), F.min_by(F.struct("size", "at"), "fp").alias("p"))
-    met = stage(placed.join(bounds.where("pivot <> last").drop("last"), "token"), "met")
+    # The pivot is the text with the fewest rarer shingles: what near copies were made from has none of
+    # their edits, so they link to it where they may not link to one another.
+    pivot = F.min_by(F.struct("fp", "size", "at"), F.struct("at", "fp")).alias("p")
+    bounds = placed.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), pivot).where("low <> high")
+    met = stage(placed.join(bounds.select("token", F.col("p.fp").alias("pivot"), "p"), "token"), "met")
     star = met.where(F.col("fp") != F.col("pivot")).where(_may_be_similar("p.size", "p.at", "size", "at")).select(
         F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v"))
     first = stage(_confirmed(rows, star), "links")

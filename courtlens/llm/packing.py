@@ -37,7 +37,7 @@ _SIMPLE = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-;=-@\[-`{{-~]*)")
 #: The units of other words, if these hold nothing else; an apostrophe or < may belong to a rule.
 _UNIT = re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-;=-@\[-`{{-~]+")
 #: Bytes of text whose words are looked up together.
-_BYTES = 1 << 21
+_BYTES = 1 << 24
 
 
 class Coder:

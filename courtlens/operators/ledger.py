@@ -24,6 +24,9 @@ from courtlens.session import cut_lineage
 START = 100.0
 BLOCK = 500
 INF = float("inf")
+BET = ("bet_number", "tourney_date", "match_num", "share", "amount", "odds", "won", "edge")
+#: Bets whose lines are composed at once; bounds the arrays of a task.
+AT_ONCE = 1 << 15
 
 
 # ---- choosing bets -----------------------------------------------------------------------------
@@ -79,14 +82,9 @@ def numbered_bets(bets: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _positioned(bets: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
     """Number the bets of each path and cut them into blocks and groups of blocks."""
-    gain = F.when(F.col("won"), F.col("odds") - 1).otherwise(F.lit(-1.0))
     numbered = bets if "bet_number" in bets.columns else numbered_bets(bets, keys)
-    slim = numbered.select(*keys, "bet_number", "tourney_date", "match_num", "share", "amount", "odds", "won", "edge")
-    return slim.withColumns({
-        "_gain": gain, "_share": F.least(F.coalesce("share", F.lit(1.0)), F.lit(1.0)),
-        "_amount": F.coalesce("amount", F.lit(INF)),
-        "_block": F.floor((F.col("bet_number") - 1) / block),
-    }).withColumn("_group", F.floor(F.col("_block") / block))
+    slim = numbered.dropna(subset=list(keys)).select(*keys, *BET)
+    return slim.withColumn("_block", F.floor((F.col("bet_number") - 1) / block)).withColumn("_group", F.floor(F.col("_block") / block))
 
 
 class BrokenLine(NamedTuple):
@@ -106,21 +104,7 @@ class BrokenLine(NamedTuple):
 
     def then(self, other: "BrokenLine") -> "BrokenLine":
         """This line followed by ``other``: pieces are split where their value crosses its breaks."""
-        out = [], [], []
-        low = -INF
-        for end, a, c in zip(self.until.tolist(), self.slope.tolist(), self.offset.tolist()):
-            first = int(np.searchsorted(other.until, a * low + c, side="right")) if a > 0 and low > -INF else 0 if a > 0 else int(np.searchsorted(other.until, c))
-            for k in range(first, len(other.until)):
-                stop = min(end, (other.until[k] - c) / a) if a > 0 else end
-                if stop > low:
-                    out[0].append(stop)
-                    out[1].append(a * other.slope[k])
-                    out[2].append(c * other.slope[k] + other.offset[k])
-                    low = stop
-                if stop >= end:
-                    break
-            low = end
-        return BrokenLine(*map(np.array, out))
+        return _tight(*(x[0] for x in _followed([x[None] for x in self], [x[None] for x in other])))
 
     def pack(self) -> bytes:
         return np.stack(self).tobytes()
@@ -130,50 +114,140 @@ class BrokenLine(NamedTuple):
         return BrokenLine(*np.frombuffer(raw, np.float64).reshape(3, -1))
 
 
-def line_of_bets(share: np.ndarray, amount: np.ndarray, gain: np.ndarray) -> BrokenLine:
-    """The broken line of bets in order. A bet multiplies up to ``amount / share`` and adds beyond."""
+Rows = Sequence[np.ndarray]
+
+
+def _followed(first: Rows, then: Rows) -> Rows:
+    """Row by row the lines of ``first`` followed by those of ``then``. Each is (until, slope, offset) of
+    one shape; pieces that end where the one before them ends are empty, as those that fill up a row."""
+    (until, slope, offset), (turn, steep, shift) = first, then
+    p, q = until.shape[1], turn.shape[1]
+    with np.errstate(invalid="ignore", over="ignore"):
+        ends = np.where(slope > 0, slope * until, 0.0) + offset
+    ends = np.maximum.accumulate(np.where(until == -INF, -INF, ends), axis=1)
+    # the piece whose value reaches a break of ``then``, and where it does
+    rank = np.argsort(np.argsort(np.concatenate([turn, ends], axis=1), axis=1, kind="stable"), axis=1, kind="stable")
+    reached = rank[:, :q] - np.arange(q)
+    k = np.minimum(reached, p - 1)
+    lows = np.concatenate([np.full((len(until), 1), -INF), until[:, :-1]], axis=1)
+    low, high, a, c = (np.take_along_axis(x, k, 1) for x in (lows, until, slope, offset))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        at = np.where(a > 0, np.clip((turn - c) / a, low, high), low)
+    at = np.maximum.accumulate(np.where(reached >= p, INF, at), axis=1)
+    every = np.concatenate([until, at], axis=1)
+    order = np.argsort(every, axis=1, kind="stable")[:, :-1]  # both end at infinity; one end is enough
+    own = order < p
+    i = np.minimum(np.cumsum(own, axis=1) - own, p - 1)
+    j = np.minimum(np.cumsum(~own, axis=1) - ~own, q - 1)
+    a, c = np.take_along_axis(slope, i, 1), np.take_along_axis(offset, i, 1)
+    b, d = np.take_along_axis(steep, j, 1), np.take_along_axis(shift, j, 1)
+    return np.take_along_axis(every, order, 1), a * b, c * b + d
+
+
+def _tight(until: np.ndarray, slope: np.ndarray, offset: np.ndarray) -> BrokenLine:
+    """The line without its empty pieces."""
+    kept = until > np.concatenate([[-INF], until[:-1]])
+    return BrokenLine(until[kept], slope[kept], offset[kept])
+
+
+def _lines_of(blocks: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[BrokenLine]:
+    """The line of each block of (share, amount, gain): neighbours are composed in pairs, all blocks at once."""
+    width = 1 << max(0, int(max(len(b[0]) for b in blocks) - 1).bit_length())
+    share, amount, gain = np.zeros((3, len(blocks), width))
+    for n, block in enumerate(blocks):
+        for to, values in zip((share, amount, gain), block):
+            to[n, :len(values)] = values
     with np.errstate(divide="ignore", invalid="ignore"):
-        turns = np.where(share > 0, amount / share, INF)
-    until, slope, offset = BrokenLine.same()
-    for turn, s, m, g in zip(turns.tolist(), share.tolist(), amount.tolist(), gain.tolist()):
-        if turn == INF:
-            slope, offset = slope * (1 + g * s), offset * (1 + g * s)
+        turn = np.where(share > 0, amount / share, INF)
+        added = np.where(turn < INF, gain * amount, 0.0)
+    scaled = 1 + gain * share
+    both = lambda a, b: np.stack([a, b], axis=-1).reshape(-1, 2)
+    rows = both(turn, np.full_like(turn, INF)), both(scaled, np.where(turn < INF, 1.0, scaled)), both(np.zeros_like(turn), added)
+    while len(rows[0]) > len(blocks):
+        rows = _followed([x[::2] for x in rows], [x[1::2] for x in rows])
+    return [_tight(*row) for row in zip(*rows)]
+
+
+def lines_of_bets(blocks: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[BrokenLine]:
+    """The broken line of each block of bets in order. A bet multiplies up to ``amount / share`` and adds beyond."""
+    lines: list[BrokenLine | None] = [None] * len(blocks)
+    open_blocks, held = [], 0
+    for n, (share, amount, gain) in enumerate(blocks):
+        if not ((share > 0) & (amount < INF)).any():
+            lines[n] = BrokenLine(np.array([INF]), np.array([np.prod(1 + gain * share)]), np.array([0.0]))
             continue
-        ends = np.where(slope > 0, slope * np.where(slope > 0, until, 0.0), 0.0) + offset
-        k = int(np.searchsorted(ends, turn, side="left"))  # pieces before k stay below the turn
-        if k < len(until) and slope[k] > 0:
-            at = (turn - offset[k]) / slope[k]
-            if at < until[k] and (k == 0 or at > until[k - 1]):
-                until, slope, offset = np.insert(until, k, at), np.insert(slope, k, slope[k]), np.insert(offset, k, offset[k])
-                k += 1
-            elif at >= until[k]:
-                k += 1
-        slope, offset = slope.copy(), offset.copy()
-        slope[:k] *= 1 + g * s
-        offset[:k] *= 1 + g * s
-        offset[k:] += g * m
-    return BrokenLine(until, slope, offset)
+        open_blocks.append(n)
+        held += len(share)
+        if held >= AT_ONCE:
+            for k, line in zip(open_blocks, _lines_of([blocks[k] for k in open_blocks])):
+                lines[k] = line
+            open_blocks, held = [], 0
+    if open_blocks:
+        for k, line in zip(open_blocks, _lines_of([blocks[k] for k in open_blocks])):
+            lines[k] = line
+    return lines
+
+
+def line_of_bets(share: np.ndarray, amount: np.ndarray, gain: np.ndarray) -> BrokenLine:
+    return lines_of_bets([(share, amount, gain)])[0]
+
+
+def _composed(lines: Sequence[BrokenLine]) -> BrokenLine:
+    """Lines one after another, neighbours first, so that long lines are touched a few times only."""
+    while len(lines) > 1:
+        odd = lines[len(lines) // 2 * 2:]
+        lines = [a.then(b) for a, b in zip(lines[::2], lines[1::2])] + list(odd)
+    return lines[0] if lines else BrokenLine.same()
 
 
 def _block_lists(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    bet = F.struct("bet_number", F.col("_share").alias("share"), F.col("_amount").alias("amount"), F.col("_gain").alias("gain"))
-    return rows.groupBy(*keys, "_group", "_block").agg(F.array_sort(F.collect_list(bet)).alias("_bets"))
+    return rows.groupBy(*keys, "_group", "_block").agg(F.collect_list(F.struct(*BET)).alias("_bets"))
+
+
+def _bets_of(bets: pa.StructArray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The order of a block's bets, and in it their share, amount and gain."""
+    order = np.argsort(bets.field("bet_number").to_numpy(zero_copy_only=False), kind="stable")
+    share, amount, odds = (bets.field(c).to_numpy(zero_copy_only=False)[order] for c in ("share", "amount", "odds"))
+    won = bets.field("won").fill_null(False).to_numpy(zero_copy_only=False)[order]
+    share = np.where(bets.field("share").is_null().to_numpy(zero_copy_only=False)[order], 1.0, np.fmin(share, 1.0))
+    amount = np.where(bets.field("amount").is_null().to_numpy(zero_copy_only=False)[order], INF, amount)
+    return order, (share, amount, np.where(won, odds - 1, -1.0))
 
 
 def _block_lines(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, _group, _block, line) with the packed line of every block of bets."""
-    named = blocks.select(*keys, "_group", "_block", F.transform("_bets", lambda b: b.share).alias("s"),
-                          F.transform("_bets", lambda b: b.amount).alias("m"), F.transform("_bets", lambda b: b.gain).alias("g"))
     kept = [*keys, "_group", "_block"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [[np.asarray(x.values) for x in batch.column(c)] for c in ("s", "m", "g")]
-            lines = [line_of_bets(*bets).pack() for bets in zip(*lists)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(lines, pa.binary())], [*kept, "line"])
+            lines = lines_of_bets([_bets_of(x.values)[1] for x in batch.column("_bets")])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([x.pack() for x in lines], pa.binary())], [*kept, "line"])
+
+    kinds = ", ".join(f"`{n}` {k}" for n, k in blocks.dtypes if n in kept)
+    return blocks.mapInArrow(work, f"{kinds}, line binary")
+
 
-    kinds = ", ".join(f"`{n}` {k}" for n, k in named.dtypes if n in kept)
-    return named.mapInArrow(work, f"{kinds}, line binary")
+def _settled(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The bets of every block one after another from its ``_start``, with ``stake`` and ``bankroll``."""
+    columns = [*keys, *BET, "_block", "stake", "bankroll"]
+    kinds = dict(blocks.select(*keys, "_block", F.inline("_bets")).dtypes) | {"stake": "double", "bankroll": "double"}
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, bets in enumerate(batch.column("_bets")):
+                order, rules = _bets_of(bets.values)
+                now, stakes, after = batch.column("_start")[n].as_py(), [], []
+                for share, amount, gain in zip(*(x.tolist() for x in rules)):
+                    stake = min(share * now, amount)
+                    now += gain * stake
+                    stakes.append(stake)
+                    after.append(now)
+                same = {c: batch.column(c).take(pa.array(np.full(len(order), n))) for c in (*keys, "_block")}
+                listed = bets.values.take(pa.array(order))
+                made = same | {c: listed.field(c) for c in BET} | {"stake": pa.array(stakes, pa.float64()), "bankroll": pa.array(after, pa.float64())}
+                yield pa.RecordBatch.from_arrays([made[c] for c in columns], columns)
+
+    return blocks.select(*keys, "_block", "_start", "_bets").mapInArrow(work, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
 
 
 def _group_starts(lines: DataFrame, keys: Sequence[str], start: float) -> DataFrame:
@@ -185,9 +259,7 @@ def _group_starts(lines: DataFrame, keys: Sequence[str], start: float) -> DataFr
     kinds = ", ".join(f"`{n}` {k}" for n, k in lines.dtypes if n in (*keys, "_group"))
 
     def composed(frame: pd.DataFrame) -> pd.DataFrame:
-        line = BrokenLine.same()
-        for raw in frame.sort_values("_block")["line"]:
-            line = line.then(BrokenLine.unpack(raw))
+        line = _composed([BrokenLine.unpack(raw) for raw in frame.sort_values("_block")["line"]])
         return frame.iloc[:1][[*keys, "_group"]].assign(line=line.pack())
 
     def chained(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,25 +297,13 @@ def _block_starts(lines: DataFrame, keys: Sequence[str], begins: DataFrame | Non
 def bankroll_path(bets: DataFrame, keys: Sequence[str], start: float = START, block: int = BLOCK) -> DataFrame:
     """Bets with ``bet_number``, ``stake`` and ``bankroll`` (after the bet) in date order per path."""
     keys = list(keys)
-    rows = cut_lineage(_positioned(bets, keys, block))
-    blocks = _block_lists(rows, keys)
-    longest = rows.agg(F.max("_block").alias("block"), F.max("_group").alias("group")).first()
+    blocks = cut_lineage(_block_lists(_positioned(bets, keys, block), keys))
+    longest = blocks.agg(F.max("_block").alias("block"), F.max("_group").alias("group")).first()
     if not longest["block"]:
-        blocks = blocks.withColumn("_start", F.lit(float(start)))
-    else:
-        blocks = cut_lineage(blocks)
-        lines = cut_lineage(_block_lines(blocks, keys))
-        begins = _group_starts(lines, keys, start) if longest["group"] else None
-        blocks = blocks.join(_block_starts(lines, keys, begins, start), [*keys, "_block"])
-    begin = F.array(F.struct(F.lit(0).cast("bigint").alias("bet_number"), F.lit(0.0).alias("stake"), F.col("_start").alias("bankroll")))
-
-    def settle(acc, bet):
-        now = F.element_at(acc, -1).bankroll
-        stake = F.least(bet.share * now, bet.amount)
-        return F.concat(acc, F.array(F.struct(bet.bet_number.alias("bet_number"), stake.alias("stake"), (now + bet.gain * stake).alias("bankroll"))))
-
-    paths = blocks.select(*keys, F.inline(F.aggregate("_bets", begin, settle))).filter("bet_number > 0")
-    return rows.drop("_gain", "_share", "_amount", "_group").join(paths, [*keys, "bet_number"])
+        return _settled(blocks.withColumn("_start", F.lit(float(start))), keys)
+    lines = cut_lineage(_block_lines(blocks, keys))
+    begins = _group_starts(lines, keys, start) if longest["group"] else None
+    return _settled(blocks.join(_block_starts(lines, keys, begins, start), [*keys, "_block"]), keys)
 
 
 def equity_curve(path: DataFrame, keys: Sequence[str], start: float = START) -> DataFrame:

@@ -120,9 +120,9 @@ JOIN (SELECT season, strategy, bet_number, won FROM placed) w USING (season, str
 """)
 
 
-def summaries(spark, folder):
+def summaries(spark, folder, paths=None):
     totals = with_odds(spark, folder).groupBy("season").agg(F.count(F.lit(1)).alias("num_total_matches"))
-    return ledger.summary(path(spark, folder), PATH, totals, ["season"])
+    return ledger.summary(path(spark, folder) if paths is None else paths, PATH, totals, ["season"])
 
 
 @query("e27_backtest_summary", "summaries", f"SELECT season, strategy, num_bets_placed, bets_won, bets_lost, num_total_matches, {sql_r6(*_SUMMARY)} FROM summaries")

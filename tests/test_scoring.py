@@ -135,3 +135,24 @@ def test_scaled_training_rows_have_mean_zero(spark):
     assert scaler.std["b"] == 1.0
     r = scoring.scale_static(df, scaler).agg(F.avg("a").alias("m"), F.stddev_pop("a").alias("s"), F.avg("b").alias("b")).first()
     assert r.m == pytest.approx(0.0, abs=1e-9) and r.s == pytest.approx(1.0) and r.b == 0.0
+
+
+def test_lines_of_blocks_are_those_of_their_bets_and_cost_little():
+    import time
+
+    rng = np.random.default_rng(5)
+    blocks = []
+    for n in (1, 2, 37, 500):
+        share = np.where(rng.random(n) < 0.3, 1.0, rng.random(n) * 0.02)
+        blocks.append((share, np.where(rng.random(n) < 0.1, np.inf, rng.random(n) * 100), np.where(rng.random(n) < 0.5, rng.random(n) + 0.3, -1.0)))
+    blocks.append((np.full(60, 0.03), np.full(60, np.inf), np.where(np.arange(60) % 2 == 0, 0.5, -1.0)))
+    for block, line in zip(blocks, ledger.lines_of_bets(blocks)):
+        for start in [0.0, 1e-3, 0.5, 1.0, 7.0, 100.0, 4321.0, 1e5, *(rng.random(40) * 300)]:
+            now = start
+            for s, m, g in zip(*block):
+                now += g * min(s * now, m)
+            assert line(start) == pytest.approx(now, rel=1e-9, abs=1e-9)
+    many = [(rng.random(500) * 0.02 + 1e-4, np.full(500, 100.0), np.where(rng.random(500) < 0.5, 0.8, -1.0)) for _ in range(400)]
+    begin = time.process_time()
+    ledger.lines_of_bets(many)
+    assert time.process_time() - begin < 8  # 200,000 bets, each with a turn of its own

@@ -73,3 +73,10 @@ def test_unreadable_date_is_null(spark):
 
 def test_too_few_valid_matches_are_marked(texts):
     assert [r.enough for r in pasted.newest_valid(pasted.typed_matches(texts.filter("doc_id = 1")), 3).collect()] == [False, False]
+
+
+def test_lines_are_cleaned_once_per_text(texts):
+    maps = pasted.read_lines(texts).where("column_map IS NOT NULL").select("doc_id", "row_index", "column_map")
+    plan = maps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 4  # twelve when the lines and the labels of a header were worked out at every use
+    assert {r.doc_id for r in maps.collect()} == {1}

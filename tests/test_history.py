@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from courtlens.operators import sequences, timeline, windows
 from courtlens.operators.asof import asof_join
-from courtlens.plans import features, legacy
+from courtlens.plans import features, legacy, serve
 from courtlens.queries.base import player_table
+from courtlens.session import cut_lineage
 
 
 def make_rows(n=400, seed=3, hot=0.7):
@@ -168,3 +169,33 @@ def test_leakage_timeline(spark):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="opponent_rank"):
         legacy.with_step_inputs(spark.createDataFrame([("a", 1)], "player string, tourney_date int"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_staged_rows_are_compressed_and_read_by_column(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 AS kind", "IF(id % 3 = 0, NULL, id / 2) AS half", "array(id, id + 1) AS pair")
+    cut = cut_lineage(df)
+    assert cut.dtypes == df.dtypes and sorted(map(tuple, cut.select("id", "half").collect()), key=lambda r: r[0]) == sorted(
+        map(tuple, df.select("id", "half").collect()), key=lambda r: r[0])
+    assert "ReadSchema: struct<kind:bigint>" in _plan(cut.select("kind"))
+
+
+def test_state_of_days_is_not_sent_whole_to_everyone(spark):
+    rows = [("a", 20200101 + k, k, float(k)) for k in range(20)]
+    df = cut_lineage(spark.createDataFrame(rows, "player string, tourney_date int, match_num long, v double"))
+    asof = asof_join(df, df, left_key="player", right_key="player", day="tourney_date", number="match_num", values=["v"], mode="before")
+    for out in (sequences.strict_history(df, ["v"]), asof):
+        assert "Broadcast" not in _plan(out) and out.count() == 20
+
+
+def test_only_rows_before_a_request_keep_their_lists(spark):
+    rows = [(p, d, n) for p, days in (("a", (1, 2, 2, 5, None)), ("b", (3, 4))) for n, d in enumerate(days)]
+    history = spark.createDataFrame(rows, "player string, tourney_date int, match_num long")
+    asked = spark.createDataFrame([("a", 2, 90), ("a", 5, 91), ("a", 5, 91), ("b", 3, 92), ("c", 9, 93), (None, 9, 94)], history.schema)
+    got = serve._marked(history, asked).where("_asked").select("player", "tourney_date", "match_num").collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 0), ("a", 2, 1), ("a", 2, 2)]
+    early = spark.createDataFrame([("a", 1, 95)], history.schema)  # rows without a date come before every date
+    assert [tuple(r) for r in serve._marked(history, early).where("_asked").collect()] == [("a", None, 4, True)]

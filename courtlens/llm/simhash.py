@@ -11,7 +11,8 @@ by more than ``CROWD`` different fingerprints are not joined pairwise: their fin
 every fingerprint in reach instead, a fixed number of exact keys each. Both ways are exact.
 
 ``keep_one`` is after texts that share four fifths of their five-word shingles, which no number of
-bits tells surely. It is an exact join: shingles are put into one order, rare ones first, and of two
+bits tells surely. Fingerprints come first: texts of one fingerprint or of two that are linked are
+candidates and are confirmed on their shingles. An exact join finds the rest: shingles are put into one order, rare ones first, and of two
 such texts a fixed first part of both must have a shingle in common (prefix filter). All texts of
 such a shingle are first compared with one of them; only texts that this left in different groups
 are compared pair by pair, so a large group of near copies costs a multiple of its size. Every link
@@ -29,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from courtlens.llm.common import sliced, stage, words_of
+from courtlens.llm.common import bit_map, is_set, sliced, stage, words_of
 from courtlens.llm.components import components
 
 SHINGLE = 3
@@ -96,25 +97,27 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def _shingles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, fp, shingles) per row: the different hashes, cut to 32 bits, of the runs of
-    ``NEAR_SHINGLE`` words, none for a text without a word; ``fp`` is the 64-bit hash of that list."""
+    """(doc_id, fp, print, shingles) per row: the different hashes, cut to 32 bits, of the runs of
+    ``NEAR_SHINGLE`` words, none for a text without a word; ``fp`` is the 64-bit hash of that list
+    and ``print`` the fingerprint of the text."""
     inner = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = dict(inner.dtypes)["doc_id"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            fps, sizes, parts = [], [0], [np.zeros(0, np.int32)]
+            fps, prints, sizes, parts = [], [], [0], [np.zeros(0, np.int32)]
             for text in batch.column("text"):
                 words = words_of(text.as_py())
                 part = np.unique(_hashes(words, NEAR_SHINGLE).astype(np.uint32).view(np.int32)) if words else parts[0]
                 fps.append(xxhash.xxh64_intdigest(part.tobytes(), SEED))
+                prints.append(_majority(_hashes(words, SHINGLE)) if words else 0)
                 parts.append(part)
                 sizes.append(len(part))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))
             made = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made, lists], ["doc_id", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made, pa.array(prints, pa.int64()), lists], ["doc_id", "fp", "print", "shingles"])
 
-    return inner.mapInArrow(work, f"doc_id {kind}, fp long, shingles array<int>")
+    return inner.mapInArrow(work, f"doc_id {kind}, fp long, print long, shingles array<int>")
 
 
 def _only(rows: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -237,9 +240,35 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return _meeting(halves.join(crowded, ["side", "part"], "left_anti"), REACH).union(lookups)
 
 
+def _near_prints(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(u, v) of lists whose texts have one fingerprint or linked ones: every list with the first of its
+    fingerprint, and the first lists of linked fingerprints. Candidates only, for ``_confirmed``."""
+    lists = stage(rows.select("print", "fp").distinct(), "prints")
+    firsts = stage(lists.groupBy("print").agg(F.min("fp").alias("first")), "firsts")
+    same = lists.join(firsts, "print").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+    linked = links(firsts.select(F.col("print").alias("fp")), crowd).distinct()
+    ends = linked.join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v").where("a <> b")
+    return same.union(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
+def _shared(placed: DataFrame) -> DataFrame:
+    """The rows whose shingle may be in the first parts of several lists: most are in one only and
+    need not travel with their places. A map of fixed size lets a few more through."""
+    several = placed.groupBy("token").count().where("count > 1").select(F.col("token").cast("long"))
+    bits = placed.sparkSession.sparkContext.broadcast(bit_map(several))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("token").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.filter(pa.array(is_set(bits.value, tokens)))
+
+    return placed.select("fp", "size", "at", "token").mapInArrow(work, "fp long, size int, at int, token int")
+
+
 def _similar(rows: DataFrame) -> DataFrame:
     """(u, v) of lists that share ``NEAR`` of their shingles, enough of them to connect all such lists."""
-    placed = stage(_prefixes(rows).select("fp", "size", F.posexplode("prefix").alias("at", "token")), "placed")
+    placed = _shared(stage(_prefixes(rows).select("fp", "size", F.posexplode("prefix").alias("at", "token")), "placed"))
+    placed = stage(placed, "shared")
     # Bounds of a shingle are pre-aggregated and joined back: Spark may split the rows of a very common one.
     # The pivot is the text with the fewest rarer shingles: what near copies were made from has none of
     # their edits, so they link to it where they may not link to one another.
@@ -248,7 +277,7 @@ def _similar(rows: DataFrame) -> DataFrame:
     met = stage(placed.join(bounds.select("token", F.col("p.fp").alias("pivot"), "p"), "token"), "met")
     star = met.where(F.col("fp") != F.col("pivot")).where(_may_be_similar("p.size", "p.at", "size", "at")).select(
         F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v"))
-    first = stage(_confirmed(rows, star), "links")
+    first = stage(_confirmed(rows, _near_prints(rows).union(star)), "links")
     roots = components(first)
     named = met.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stage(named.select("token", "fp", "size", "at", "root", (F.col("fp") == F.col("pivot")).alias("is_pivot")), "named")

@@ -540,3 +540,19 @@ def test_equal_fingerprints_are_not_copies(spark):
     assert len({simhash.fingerprint(t) for t in texts}) == 1
     kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(6))
+
+
+def test_fingerprints_are_the_first_way_to_similar_texts(spark):
+    words = [f"w{k}" for k in range(400)]
+    line = " ".join(["the same long line of a page foot"] * 60)
+    texts = [" ".join(words), " ".join(words[:399] + ["other"]), line + " one", line + " two and more", "far from all of these texts", "", "  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = simhash._shingles(docs, "doc_id", "text").cache()
+    named = {r["fp"]: r["doc_id"] for r in rows.orderBy(F.desc("doc_id")).collect()}
+    prints = {r["doc_id"]: r["print"] for r in rows.collect()}
+    assert prints == {k: simhash.fingerprint(t) for k, t in enumerate(texts)}
+    met = {tuple(sorted((named[r["u"]], named[r["v"]]))) for r in simhash._near_prints(rows).collect()}
+    near = {(a, b) for a in range(6) for b in range(a + 1, 6) if bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1") <= 2}
+    assert met == near and (0, 1) in met
+    placed = spark.createDataFrame([(1, 9, 0, 5), (2, 9, 0, 5), (2, 9, 1, -7), (3, 9, 0, -8), (4, 9, 0, -8), (4, 9, 1, 6)], "fp long, size int, at int, token int")
+    assert {r["token"] for r in simhash._shared(placed).collect()} == {5, -8}

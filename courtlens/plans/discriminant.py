@@ -13,11 +13,11 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from courtlens.functions import categories, rates
 from courtlens.operators.asof import asof_join
-from courtlens.operators.timeline import history_columns
+from courtlens.operators.timeline import history_columns, longer_sums, rows_before
 from courtlens.plans import features, styles
 from courtlens.plans.scoring import STYLE_INPUT, Scaler, fit_static_scaler, style_matchup
 from courtlens.session import cut_lineage
@@ -32,33 +32,46 @@ ROW = ("player", "opponent", "match_id", "match_num", "tourney_date", "label")
 # ---- rows ----------------------------------------------------------------------------------------
 
 
-def with_window_means(df: DataFrame) -> DataFrame:
-    """Mean and mean square of each sequence feature over the previous ten rows, and their number."""
+def with_window_means(df: DataFrame, derive=lambda d: d) -> DataFrame:
+    """Mean and mean square of each sequence feature over the previous ten rows, and their number.
+    ``derive`` may add the features after the rows are dealt by player."""
     def build(w):
-        ten = w.rowsBetween(-features.SEQ_LEN, -1)
         value = {f: rates.finite_or_zero(F.col(f)) for f in features.SEQUENCE_FEATURES}
-        return {**{MEAN + f: F.avg(v).over(ten) for f, v in value.items()},
-                **{"square_" + f: F.avg(v * v).over(ten) for f, v in value.items()}, "steps": F.count(F.lit(1)).over(ten)}
+        every = {**{"_" + MEAN + f: v for f, v in value.items()}, **{"_square_" + f: v * v for f, v in value.items()}}
+        half, n = features.SEQ_LEN // 2, F.col("_rows")
+        sums = {"_half" + name: F.sum(v).over(w.rowsBetween(-half, -1)) for name, v in every.items()}
+        return [sums | {"_rows": rows_before(w, features.SEQ_LEN)}, longer_sums(w, {name: "_half" + name for name in every}, features.SEQ_LEN, half),
+                {**{name[1:]: F.col(name) / n for name in every}, "steps": F.coalesce(n, F.lit(0)).cast("bigint")}]
 
-    return history_columns(df, features.KEY, features.DAY, features.ORDER, features.SEQ_LEN, build)
+    out = history_columns(df, features.KEY, features.DAY, features.ORDER, features.SEQ_LEN, build, derive=derive)
+    return out.drop("_rows", *[c for c in out.columns if c.startswith(("_" + MEAN, "_square_", "_half_"))])
 
 
 def with_static(df: DataFrame, fitted: styles.Styles) -> DataFrame:
     """The nine static values of feature rows: edges, surface, both styles and their matchup."""
     styled = fitted.add(df)
     faced = asof_join(styled, styled, left_key="opponent", right_key="player", day=features.DAY, number="match_num",
-                      values=["player_style_cluster"], prefix="_opp_")
-    opp = F.coalesce("_opp_player_style_cluster", F.lit(0))
-    full = faced.withColumns({"opp_style_cluster": opp, "style_matchup": style_matchup(F.col("player_style_cluster"), opp)})
+                      values=["player_style_cluster"], prefix="opp_")
+    return with_matchup(faced)
+
+
+def with_matchup(df: DataFrame) -> DataFrame:
+    """Static values of rows that have both styles, the opponent's as of the match."""
+    opp = F.coalesce("opp_player_style_cluster", F.lit(0))
+    full = df.withColumns({"opp_style_cluster": opp, "style_matchup": style_matchup(F.col("player_style_cluster"), opp)})
     return full.withColumns({s: rates.finite_or_zero(F.col(s).cast("double")) for s in features.STATIC_FEATURES})
 
 
-def fit_sequence_scaler(train: DataFrame) -> Scaler:
+def _sequence_cells(train: Column) -> list[Column]:
+    """Averages over the training rows of the windows' means and mean squares."""
+    of = lambda c: F.avg(F.when(train, F.col(c)))
+    return [of(MEAN + f).alias("m" + f) for f in features.SEQUENCE_FEATURES] + [of("square_" + f).alias("s" + f) for f in features.SEQUENCE_FEATURES]
+
+
+def _sequence_scaler(found: dict) -> Scaler:
     """Mean and deviation over all steps of all windows, from the windows' means and mean squares."""
-    cells = [F.avg(MEAN + f).alias("m" + f) for f in features.SEQUENCE_FEATURES] + [F.avg("square_" + f).alias("s" + f) for f in features.SEQUENCE_FEATURES]
-    row = train.agg(*cells).first()
-    mean = {MEAN + f: row["m" + f] or 0.0 for f in features.SEQUENCE_FEATURES}
-    var = {MEAN + f: (row["s" + f] or 0.0) - mean[MEAN + f] ** 2 for f in features.SEQUENCE_FEATURES}
+    mean = {MEAN + f: found.get("m" + f) or 0.0 for f in features.SEQUENCE_FEATURES}
+    var = {MEAN + f: (found.get("s" + f) or 0.0) - mean[MEAN + f] ** 2 for f in features.SEQUENCE_FEATURES}
     return Scaler(mean, {f: math.sqrt(v) if v > 1e-12 else 1.0 for f, v in var.items()})
 
 
@@ -106,10 +119,19 @@ def _dot(weights: Sequence[float], intercept: float) -> Column:
     return reduce(lambda a, b: a + b, [F.col(n) * F.lit(w) for n, w in zip(NAMES, weights)], F.lit(intercept))
 
 
+#: Values per aggregate of ``moments``. A wider one makes a method too long for the JVM to compile.
+AT_ONCE = 7
+
+
 def moments(train: DataFrame, names: Sequence[str] = NAMES) -> Moments:
-    """One pass over the scaled training rows, grouped by label."""
-    cells = [F.avg(n).alias(f"m{i}") for i, n in enumerate(names)] + [F.var_pop(n).alias(f"v{i}") for i, n in enumerate(names)]
-    rows = {int(r["y"]): r for r in train.groupBy(F.col("label").cast("int").alias("y")).agg(F.count("*").alias("n"), *cells).collect()}  # two rows
+    """Class sizes, means and variances of the scaled training rows, a few values per pass: a pass
+    reads only their columns and brings back two rows."""
+    rows: dict[int, dict] = {}
+    for at in range(0, len(names), AT_ONCE):
+        part = list(enumerate(names))[at:at + AT_ONCE]
+        cells = [F.avg(n).alias(f"m{i}") for i, n in part] + [F.var_pop(n).alias(f"v{i}") for i, n in part]
+        for r in train.groupBy(F.col("label").cast("int").alias("y")).agg(F.count("*").alias("n"), *cells).collect():
+            rows.setdefault(int(r["y"]), {}).update(r.asDict())
     n = {y: rows[y]["n"] if y in rows else 0 for y in (0, 1)}
     mean = {y: tuple(rows[y][f"m{i}"] if y in rows else 0.0 for i in range(len(names))) for y in (0, 1)}
     total = max(1, n[0] + n[1])
@@ -124,16 +146,30 @@ class Fit:
     scaled: DataFrame  # all rows of ROW with window means and static values scaled, and split
 
 
-def fit(history: DataFrame, split: Column, shrinkage: float = SHRINKAGE, label: Column | None = None) -> Fit:
+def fit(history: DataFrame, split: Column, shrinkage: float = SHRINKAGE, label: Column | None = None,
+        fitted: styles.Styles | None = None, derive=None, stage=cut_lineage) -> Fit:
     """Model of the rows of split ``train`` with a full window. ``history`` is the feature table;
-    ``label`` may stand for its label in the training rows."""
+    ``label`` may stand for its label in the training rows. With ``fitted`` given, ``history`` has the
+    styles of both players already and ``derive`` adds the features that are not stored in it.
+    ``stage`` stores the rows and gives them back.
+
+    Styles come first and window means last, so that the means are not shuffled. The windows' mean
+    squares are only needed for the scaler: they are averaged while the rows are stored.
+    """
     marked = history.withColumn("split", split)
-    fitted = styles.fit(marked.where("split = 'train'"))
-    rows = with_static(with_window_means(marked), fitted).where(F.col("steps") == features.SEQ_LEN)
-    table = cut_lineage(rows.select(*ROW, "split", *FIELDS, *["square_" + f for f in features.SEQUENCE_FEATURES], *features.STATIC_FEATURES))
+    if fitted is None:
+        fitted = styles.fit(marked.where("split = 'train'"))
+        rows = with_window_means(with_static(marked, fitted))
+    else:
+        rows = with_window_means(marked, lambda d: with_matchup(derive(d)))
+    rows = rows.where(F.col("steps") == features.SEQ_LEN)
+    seen = Observation()
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("n"), *_sequence_cells(F.col("split") == "train"))
+    kept = [c for c in (*ROW, "split") if c in rows.columns]
+    table = stage(observed.select(*kept, *FIELDS, *features.STATIC_FEATURES))
     train = table.where("split = 'train'")
-    blank = Model(fit_sequence_scaler(train), fit_static_scaler(train, features.STATIC_FEATURES), fitted, {}, 0.0)
-    scaled = blank.scaled(table.drop(*["square_" + f for f in features.SEQUENCE_FEATURES]))
+    blank = Model(_sequence_scaler(seen.get), fit_static_scaler(train, features.STATIC_FEATURES), fitted, {}, 0.0)
+    scaled = blank.scaled(table)
     learned = scaled.where("split = 'train'")
     found = moments(learned if label is None else learned.withColumn("label", label))
     w, b = found.weights(shrinkage)

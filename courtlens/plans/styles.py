@@ -44,11 +44,14 @@ def nearest(values: list[Column], centres) -> Column:
     return F.array_min(F.array(*away)).getField("i")
 
 
-def fit(train: DataFrame, rounds: int = ROUNDS) -> Styles:
-    """Styles of the training rows; no rows give no centres, and then everyone is in cluster 0."""
+def fit(train: DataFrame, rounds: int = ROUNDS, stage=cut_lineage) -> Styles:
+    """Styles of the training rows; no rows give no centres, and then everyone is in cluster 0.
+
+    Every round reads the scaled rates; ``stage`` stores them. Rows that are stored already need none.
+    """
     filled = train.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in STYLE_INPUT])
     scaler = fit_static_scaler(filled, STYLE_INPUT)
-    rows = cut_lineage(filled.select(*[scaler.of(c, F.col(c)).alias(c) for c in STYLE_INPUT]))
+    rows = stage(filled.select(*[scaler.of(c, F.col(c)).alias(c) for c in STYLE_INPUT]))
     values = [F.col(c) for c in STYLE_INPUT]
     first = (F.col(START[0]) >= 0).cast("int") * 2 + (F.col(START[1]) >= 0).cast("int")
     centres = _means(rows, first, [(0.0,) * len(STYLE_INPUT)] * STYLES)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtlens.functions import calibrate
+from courtlens.functions import calibrate, names
 from courtlens.operators import evaluate, orient
 from courtlens.plans import asked, discriminant, features, scoring, styles
-from courtlens.queries.base import cte, query, r6, rounded, sql_r6
-from courtlens.queries.history import rated
+from courtlens.queries.base import cte, player_table, query, r6, rounded, sql_r6
 from courtlens.queries.match_table import requests
 from courtlens.queries.scoring import TRAIN_UNTIL, VALIDATE_UNTIL
 from courtlens.queries import serving as _serving  # noqa: F401  (registers the request rows)
@@ -94,23 +93,48 @@ cte("lda_model", ("lda_moments",), _weights("lda_moments", str(discriminant.SHRI
 # ---- what the queries start from ----------------------------------------------------------------
 
 _STORED: dict[tuple[str, str], tuple[str, str, str]] = {}
-_HISTORY = ("player", "opponent", "match_id", "match_num", "tourney_date", "label", "surface", *features.ROLLED, *scoring.STYLE_INPUT,
-            *[f for f in features.SEQUENCE_FEATURES], "serve_vs_return_edge", "return_vs_serve_edge", "net_edge")
+_ROW = ("player", "opponent", "match_num", "tourney_date", "label", "surface")
+_COUNTS = ("player_ace", "player_df", *[f"{side}_{c}" for side in ("player", "opp") for c in ("svpt", "1stIn", "1stWon", "2ndWon")])
+_OWN = (*scoring.STYLE_INPUT, "serve_skill", "return_skill", "serve_form_delta", "return_form_delta", "days_since_last_match")
+_FACED = ("opp_serve_skill", "opp_return_skill", "player_style_cluster", "opp_player_style_cluster")
+
+
+def _match_id(df):
+    return df.withColumn("match_id", names.match_key(F.col("player"), F.col("opponent"), F.col("tourney_date")))
+
+
+def _history(stored_rows):
+    """The feature table from its stored columns: what follows from a row alone is not stored."""
+    return features.faced_features(features.with_rolled_rates(stored_rows))
 
 
 def stored(spark, folder):
     """(feature table, scaled rows with split, model) of a data folder: fitted and stored once per
-    application, then read from the shared folder as a later job would."""
+    application, then read from the shared folder as a later job would.
+
+    Styles need only a player's own rows. They are fitted first, so one as-of join brings the
+    opponent's skills and style.
+    """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STORED:
-        places = tuple(tables.shared_folder(spark, name) for name in ("history", "scaled", "model"))
-        features.match_features(rated(spark, folder), stage=cut_lineage).select(*_HISTORY).write.parquet(places[0])
-        fitted = discriminant.fit(spark.read.parquet(places[0]), orient.temporal_split(F.col("tourney_date"), TRAIN_UNTIL, VALIDATE_UNTIL))
-        fitted.scaled.write.parquet(places[1])
+        places = tuple(tables.shared_folder(spark, name) for name in ("history", "windows", "model"))
+        split = orient.temporal_split(F.col("tourney_date"), TRAIN_UNTIL, VALIDATE_UNTIL)
+        counts = player_table(spark, folder).select(*_ROW, *_COUNTS)
+        own = cut_lineage(features.own_features(counts).select(*_ROW, *_COUNTS, *_OWN))
+        looks = styles.fit(own.where(split == "train"), stage=lambda d: d)
+        faced = features.with_opponent_skills(looks.add(own), more=["player_style_cluster"])
+        faced.select(*_ROW, *_COUNTS, *_OWN, *_FACED).write.parquet(places[0])
+
+        def keep(rows):
+            rows.write.parquet(places[1])
+            return spark.read.parquet(places[1])
+
+        fitted = discriminant.fit(spark.read.parquet(places[0]), split, fitted=looks, derive=_history, stage=keep)
         discriminant.write_model(spark, fitted.model, places[2])
         _STORED[key] = places
-    history, scaled, model = _STORED[key]
-    return spark.read.parquet(history), spark.read.parquet(scaled), discriminant.read_model(spark, model)
+    history, windows, place = _STORED[key]
+    model = discriminant.read_model(spark, place)
+    return _match_id(_history(spark.read.parquet(history))), _match_id(model.scaled(spark.read.parquet(windows))), model
 
 
 def _with_auc(df, keys, prob):

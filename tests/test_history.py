@@ -199,3 +199,28 @@ def test_only_rows_before_a_request_keep_their_lists(spark):
     assert sorted(map(tuple, got)) == [("a", 1, 0), ("a", 2, 1), ("a", 2, 2)]
     early = spark.createDataFrame([("a", 1, 95)], history.schema)  # rows without a date come before every date
     assert [tuple(r) for r in serve._marked(history, early).where("_asked").collect()] == [("a", None, 4, True)]
+
+
+@pytest.mark.parametrize("limit", [None, 7])
+def test_long_means_from_sums_of_earlier_rows_equal_plain_frames(spark, limit):
+    rows = [(f"p{i % 2}", 20200101 + i // 3, i, *[(i * k % 17) / 17 for k in range(1, 7)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "player string, tourney_date int, match_num long, " + ", ".join(f"{r} double" for r in features.ROLLED))
+
+    def known(d):  # rates that are never missing, as the plan's are
+        return d.withColumns({r: F.coalesce(r, F.lit(0.0)) for r in features.ROLLED})
+
+    found = features.with_rolling(df, rows_per_run=limit, derive=known).toPandas().sort_values(["player", "match_num"])
+    plain = features.with_rolling(df, rows_per_run=limit).toPandas().sort_values(["player", "match_num"])
+    assert list(found.columns) == list(plain.columns)
+    for c in [f"{r}_roll{n}" for r in features.ROLLED for n in features.WINDOWS]:
+        want = [None if not k else sum(v[max(0, k - int(c.rsplit("roll")[1])):k]) / min(k, int(c.rsplit("roll")[1]))
+                for _, v in ((p, g[c.rsplit("_roll")[0]].tolist()) for p, g in plain.groupby("player")) for k in range(len(v))]
+        for got in (found, plain):
+            assert [None if x != x else round(x, 9) for x in got[c]] == [None if x is None else round(x, 9) for x in want]
+
+
+def test_row_sequences_add_fields_after_rows_are_dealt(spark):
+    rows = [("p", 20200101 + i, i, float(i)) for i in range(15)]
+    df = spark.createDataFrame(rows, "player string, tourney_date int, match_num long, v double")
+    out = sequences.row_sequences(df, ["x"], 3, derive=lambda d: d.withColumn("x", F.col("v") * 2)).orderBy("match_num").collect()
+    assert [[s.x for s in r.sequence] for r in out] == [[2.0 * (i - 3), 2.0 * (i - 2), 2.0 * (i - 1)] for i in range(3, 15)]

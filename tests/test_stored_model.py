@@ -120,3 +120,22 @@ def test_empty_history(spark, fitted):
     assert none.model.styles.centres == () and set(none.model.weights.values()) == {0.0} and none.scaled.count() == 0
     requests = spark.createDataFrame([(1, "p0", "p1", 20200301, "Clay")], "request_id long, player string, opponent string, tourney_date int, surface string")
     assert [r.status for r in asked.fresh(table.limit(0), requests, fit.model).collect()] == [asked.UNKNOWN]
+
+
+def test_fit_from_own_rows_equals_fit_from_the_feature_table(spark, fitted):
+    """Styles fitted first, features added after the rows are dealt, and no mean squares among the stored rows."""
+    table, fit = fitted
+    split = F.when(F.col("tourney_date") < 20200120, "train").otherwise("test")
+    looks = styles.fit(table.where(split == "train"), stage=lambda d: d)
+    faced = discriminant.asof_join(looks.add(table), looks.add(table), left_key="opponent", right_key="player", day="tourney_date",
+                                   number="match_num", values=["player_style_cluster"], prefix="opp_")
+    kept = []
+
+    def stage(df):
+        kept.append(df.columns)
+        return df.localCheckpoint()
+
+    other = discriminant.fit(faced, split, fitted=looks, derive=lambda d: d, stage=stage)
+    assert not [c for c in kept[0] if "square" in c]
+    assert np.allclose([other.model.weights[n] for n in discriminant.NAMES], [fit.model.weights[n] for n in discriminant.NAMES])
+    assert other.model.intercept == pytest.approx(fit.model.intercept)

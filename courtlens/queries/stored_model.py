@@ -134,7 +134,8 @@ def stored(spark, folder):
         _STORED[key] = places
     history, windows, place = _STORED[key]
     model = discriminant.read_model(spark, place)
-    return _match_id(_history(spark.read.parquet(history))), _match_id(model.scaled(spark.read.parquet(windows))), model
+    table = _history(spark.read.parquet(history)).drop("player_style_cluster", "opp_player_style_cluster")
+    return _match_id(table), _match_id(model.scaled(spark.read.parquet(windows))), model
 
 
 def _with_auc(df, keys, prob):

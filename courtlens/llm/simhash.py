@@ -26,11 +26,12 @@ from itertools import combinations
 from typing import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from courtlens.llm.common import bit_map, is_set, sliced, stage, words_of
+from courtlens.llm.common import bit_map, is_set, sliced, stage, tidy, unstage, words_of
 from courtlens.llm.components import components
 
 SHINGLE = 3
@@ -46,7 +47,7 @@ NEAR = (4, 5)
 #: share a counter only change the order, which may be any.
 COUNTERS, BLOCKS = 1 << 20, 16
 #: Bits of the filter that spares most lists the way to a join.
-MARKS = 1 << 23
+MARKS = 1 << 25
 _PIECE = 1 << 17
 
 
@@ -120,35 +121,17 @@ def _shingles(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return inner.mapInArrow(work, f"doc_id {kind}, fp long, print long, shingles array<int>")
 
 
-def _only(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The rows (fp, shingles) whose fp has its bit set."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+def _only(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows (fp, shingles) whose fp is asked, and a few more: a filter ahead of a join."""
+    bits = rows.sparkSession.sparkContext.broadcast(bit_map(asked, MARKS))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("fp").to_numpy(zero_copy_only=False) & (MARKS - 1)
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1))
+            yield batch.filter(pa.array(is_set(bits.value, batch.column("fp").to_numpy(zero_copy_only=False))))
 
     return rows.select("fp", "shingles").mapInArrow(work, "fp long, shingles array<int>")
 
 
-def _marked(fps: DataFrame) -> np.ndarray:
-    """A bit for each fp of the table, which others may share: a filter ahead of a join."""
-    slots = fps.select(F.col("fp").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("slot")).distinct()
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = np.zeros(MARKS, np.uint8)
-        for batch in batches:
-            made[batch.column("slot").to_numpy(zero_copy_only=False)] = 1
-        packed = zlib.compress(np.packbits(made, bitorder="little").tobytes(), 1)
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([packed], pa.binary())})
-
-    out = np.zeros(MARKS // 8, np.uint8)
-    for r in slots.mapInArrow(work, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return out
-
-
 def _counters(rows: DataFrame) -> np.ndarray:
     """How many shingles of all rows fall to each counter; one small table whatever the input."""
     width = COUNTERS // BLOCKS
@@ -169,7 +152,8 @@ def _counters(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([made.tobytes()], pa.binary())})
 
     kind = "block int, counts binary"
-    parts = rows.select("shingles").mapInArrow(count, kind).groupBy("block").applyInArrow(add, kind).collect()
+    with tidy(rows.sparkSession):
+        parts = rows.select("shingles").mapInArrow(count, kind).groupBy("block").applyInArrow(add, kind).collect()
     out = np.zeros(COUNTERS, np.int64)
     for r in parts:
         out[r["block"] * width:(r["block"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
@@ -267,20 +251,22 @@ def _shared(placed: DataFrame) -> DataFrame:
 
 def _similar(rows: DataFrame) -> DataFrame:
     """(u, v) of lists that share ``NEAR`` of their shingles, enough of them to connect all such lists."""
-    placed = _shared(stage(_prefixes(rows).select("fp", "size", F.posexplode("prefix").alias("at", "token")), "placed"))
-    placed = stage(placed, "shared")
+    every = stage(_prefixes(rows).select("fp", "size", F.posexplode("prefix").alias("at", "token")), "placed")
+    placed = stage(_shared(every), "shared")
+    unstage(every)
     # Bounds of a shingle are pre-aggregated and joined back: Spark may split the rows of a very common one.
     # The pivot is the text with the fewest rarer shingles: what near copies were made from has none of
     # their edits, so they link to it where they may not link to one another.
-    pivot = F.min_by(F.struct("fp", "size", "at"), F.struct("at", "fp")).alias("p")
-    bounds = placed.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), pivot).where("low <> high")
+    bounds = placed.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("at", "fp", "size")).alias("p")).where("n > 1")
     met = stage(placed.join(bounds.select("token", F.col("p.fp").alias("pivot"), "p"), "token"), "met")
+    unstage(placed)
     star = met.where(F.col("fp") != F.col("pivot")).where(_may_be_similar("p.size", "p.at", "size", "at")).select(
         F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v"))
     first = stage(_confirmed(rows, _near_prints(rows).union(star)), "links")
     roots = components(first)
     named = met.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stage(named.select("token", "fp", "size", "at", "root", (F.col("fp") == F.col("pivot")).alias("is_pivot")), "named")
+    unstage(met)
     # A pair of different groups has a side that is not of the pivot's group; that side is the left one.
     split = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.when(F.col("is_pivot"), F.col("root"))).alias("main"))
     open_rows = named.join(split.where("a <> b").select("token", "main"), "token")
@@ -289,7 +275,9 @@ def _similar(rows: DataFrame) -> DataFrame:
     apart = left.join(right, "token").where((F.col("l_root") != F.col("root")) & (F.col("of_main") | (F.col("l_fp") < F.col("fp"))))
     rest = apart.where(_may_be_similar("l_size", "l_at", "size", "at")).select(
         F.least("l_fp", "fp").alias("u"), F.greatest("l_fp", "fp").alias("v"))
-    return first.union(_confirmed(rows, rest))
+    second = _confirmed(rows, rest)
+    unstage(named)
+    return first.union(second)
 
 
 def _may_be_similar(size: str, at: str, other_size: str, other_at: str) -> Column:
@@ -307,7 +295,7 @@ def _confirmed(rows: DataFrame, met: DataFrame) -> DataFrame:
     over, under = NEAR
     pairs = stage(met.select("u", "v").distinct(), "candidates")
     asked = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
-    lists = stage(_only(rows, _marked(asked)).join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "shingles")
+    lists = _only(rows, asked).join(asked, "fp", "left_semi").dropDuplicates(["fp"])
     both = pairs.join(lists.toDF("u", "a"), "u").join(lists.toDF("v", "b"), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared * under >= over * (F.size("a") + F.size("b") - shared)).select("u", "v")
@@ -362,8 +350,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows = stage(_shingles(docs, id_column, text_column), "shingled")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = stage(_grouped(rows, classes, _similar(rows)), "groups")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    chosen = _one_each(docs.join(kept, docs[id_column] == kept["__kept"], "left_semi"), id_column, text_column)
+    unstage(rows, classes)
+    chosen = _kept(docs, found, id_column, text_column)
     nameless = found.where("component_id IS NULL").select(F.col("fingerprint").alias("__fp"), F.col("group").alias("__group")).distinct()
     if nameless.isEmpty():
         return chosen
@@ -374,6 +362,25 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return chosen.unionByName(_one_each(rows.join(least, rows[text_column].eqNullSafe(least["__text"]), "left_semi"), text_column, id_column))
 
 
+def _kept(docs: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """One row of every id that is the smallest of its group. Ids that go or come several times are
+    put into a map of fixed size; rows that it does not have stay where they are, and only the
+    others travel with their texts to be looked up."""
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(ids.where("n > 1 OR NOT stays").select(F.xxhash64("doc_id"))))
+
+    @F.pandas_udf("boolean")
+    def open_id(hashes: pd.Series) -> pd.Series:
+        return pd.Series(is_set(bits.value, hashes.to_numpy()))
+
+    named = docs.where(F.col(id_column).isNotNull())
+    is_open = open_id(F.xxhash64(id_column))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    several = named.where(is_open).join(kept, F.col(id_column) == F.col("__kept"), "left_semi")
+    return named.where(~is_open).unionByName(_one_each(several, id_column, text_column))
+
+
 def _one_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return rows.select("*", place.alias("__place")).where("__place = 1").drop("__place")

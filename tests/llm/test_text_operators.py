@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -15,9 +16,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from courtlens.llm import katz, language, licenses, mixing, packing, pii, simhash
-from courtlens.llm.common import remainder, words_of
+from courtlens.llm.common import TIDY, bit_map, is_set, remainder, words_of
 from courtlens.llm.components import components
 from courtlens.llm.queries import vocabulary
+from courtlens.sources.tables import shared_folder
 from .conftest import LONG, ODD
 
 # ---- personal data -------------------------------------------------------------------------------
@@ -556,3 +558,42 @@ def test_fingerprints_are_the_first_way_to_similar_texts(spark):
     assert met == near and (0, 1) in met
     placed = spark.createDataFrame([(1, 9, 0, 5), (2, 9, 0, 5), (2, 9, 1, -7), (3, 9, 0, -8), (4, 9, 0, -8), (4, 9, 1, 6)], "fp long, size int, at int, token int")
     assert {r["token"] for r in simhash._shared(placed).collect()} == {5, -8}
+
+
+def test_near_duplicates_leave_few_files(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900 + i, t) for i, t in enumerate(texts[:50])], "doc_id long, text string")
+    before = spark.conf.get(TIDY)
+    folder = os.path.dirname(shared_folder(spark, "none")).removeprefix("file:")
+    already = set(os.listdir(folder))
+    kept = simhash.keep_one(docs)
+    left = {f.rsplit("-", 1)[0] for f in os.listdir(folder) if f not in already}
+    assert "groups" in left and not left & {"shingled", "classes", "placed", "shared", "met", "shingles"}
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+    assert spark.conf.get(TIDY) == before
+
+
+def test_only_open_ids_travel(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "c"), (2, "b"), (3, "d"), (None, "e"), (4, "f"), (4, "g")], "doc_id long, text string")
+    found = spark.createDataFrame([(1, 1), (2, 2), (2, 2), (3, 1), (None, None), (4, 1), (4, 4)], "doc_id long, component_id long")
+    kept = simhash._kept(docs, found, "doc_id", "text")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a"), (2, "b"), (4, "f")]
+
+
+def test_a_bit_map_takes_no_job_for_each_partition(spark):
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    for n, value in zip(names, ("false", "23")):
+        spark.conf.set(n, value)
+    group = "bit map"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        hashes = np.arange(0, 1 << 22, 77777)
+        bits = bit_map(spark.createDataFrame([(int(h),) for h in hashes], "h long"), 1 << 22)
+        assert is_set(bits, hashes).all() and np.unpackbits(bits).sum() == len(hashes)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 5
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)

@@ -16,7 +16,8 @@ candidates and are confirmed on their shingles. An exact join finds the rest: sh
 such texts a fixed first part of both must have a shingle in common (prefix filter). All texts of
 such a shingle are first compared with one of them; only texts that this left in different groups
 are compared pair by pair, so a large group of near copies costs a multiple of its size. Every link
-is confirmed on the whole lists.
+is confirmed on the whole lists; these travel only if their parity sketches, a small part of their
+size, leave it possible (bitmap filter), which drops no link.
 """
 
 from __future__ import annotations
@@ -132,6 +133,33 @@ def _only(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.select("fp", "shingles").mapInArrow(work, "fp long, shingles array<int>")
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """For each of as many bits as there are shingles, made a power of two: whether an odd number falls to it."""
+    width = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount(shingles & (width - 1), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def _least_apart(a: bytes, b: bytes) -> int:
+    """How many shingles at least are in one list only: a bit that differs takes one. The wider sketch is folded."""
+    a, b = sorted((a, b), key=len)
+    narrow, wide, width = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(b) * 8
+    while width > len(a) * 8:
+        width //= 2
+        wide = wide >> width ^ wide & (1 << width) - 1
+    return (narrow ^ wide).bit_count()
+
+
+def _sketches(rows: DataFrame) -> DataFrame:
+    """(fp, size, sketch) per list."""
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [x.values.to_numpy(zero_copy_only=False) for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("fp"), pa.array(map(len, lists), pa.int32()), pa.array(map(_sketch, lists), pa.binary())], ["fp", "size", "sketch"])
+
+    return rows.select("fp", "shingles").mapInArrow(work, "fp long, size int, sketch binary")
+
+
 def _counters(rows: DataFrame) -> np.ndarray:
     """How many shingles of all rows fall to each counter; one small table whatever the input."""
     width = COUNTERS // BLOCKS
@@ -258,14 +286,14 @@ def _similar(rows: DataFrame) -> DataFrame:
     # The pivot is the text with the fewest rarer shingles: what near copies were made from has none of
     # their edits, so they link to it where they may not link to one another.
     bounds = placed.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("at", "fp", "size")).alias("p")).where("n > 1")
-    met = stage(placed.join(bounds.select("token", F.col("p.fp").alias("pivot"), "p"), "token"), "met")
+    met = stage(placed.join(bounds.select("token", F.col("p.fp").alias("pivot"), "p", (F.col("n") > 2).alias("many")), "token"), "met")
     unstage(placed)
     star = met.where(F.col("fp") != F.col("pivot")).where(_may_be_similar("p.size", "p.at", "size", "at")).select(
         F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v"))
     first = stage(_confirmed(rows, _near_prints(rows).union(star)), "links")
-    roots = components(first)
-    named = met.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = stage(named.select("token", "fp", "size", "at", "root", (F.col("fp") == F.col("pivot")).alias("is_pivot")), "named")
+    # Two texts alone with a shingle have been compared.
+    many = met.where("many").select("token", "fp", "size", "at", (F.col("fp") == F.col("pivot")).alias("is_pivot"))
+    named = stage(_named(many, components(first).toDF("fp", "root")), "named")
     unstage(met)
     # A pair of different groups has a side that is not of the pivot's group; that side is the left one.
     split = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.when(F.col("is_pivot"), F.col("root"))).alias("main"))
@@ -280,6 +308,20 @@ def _similar(rows: DataFrame) -> DataFrame:
     return first.union(second)
 
 
+def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with the root of their fp, which is the fp itself if it has no link. Only rows that
+    a map of the linked ones has travel to be looked up."""
+    bits = rows.sparkSession.sparkContext.broadcast(bit_map(roots.select("fp"), MARKS))
+
+    @F.pandas_udf("boolean")
+    def is_linked(fps: pd.Series) -> pd.Series:
+        return pd.Series(is_set(bits.value, fps.to_numpy()))
+
+    linked = is_linked("fp")
+    found = rows.where(linked).join(roots, "fp", "left").select(*rows.columns, F.coalesce("root", "fp").alias("root"))
+    return rows.where(~linked).withColumn("root", F.col("fp")).unionByName(found)
+
+
 def _may_be_similar(size: str, at: str, other_size: str, other_at: str) -> Column:
     """Whether lists of these sizes can be similar if the shingle at these places is the first that
     they share: all they share is then in the rests from there on. Similar lists pass at that
@@ -293,14 +335,34 @@ def _may_be_similar(size: str, at: str, other_size: str, other_at: str) -> Colum
 def _confirmed(rows: DataFrame, met: DataFrame) -> DataFrame:
     """The pairs (u, v) of ``met`` whose lists are similar; a pair may come several times."""
     over, under = NEAR
-    pairs = stage(met.select("u", "v").distinct(), "candidates")
-    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+    candidates = stage(met.select("u", "v").distinct(), "candidates")
+    pairs = stage(_possible(rows, candidates), "possible")
+    asked = _ends(pairs)
     lists = _only(rows, asked).join(asked, "fp", "left_semi").dropDuplicates(["fp"])
     both = pairs.join(lists.toDF("u", "a"), "u").join(lists.toDF("v", "b"), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared * under >= over * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def _possible(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) but those whose sizes or sketches tell that too few of their shingles are shared."""
+    over, under = NEAR
+    asked = _ends(pairs)
+    sketches = _sketches(_only(rows, asked)).join(asked, "fp", "left_semi").dropDuplicates(["fp"])
+
+    @F.pandas_udf("long")
+    def least_apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_least_apart(x, y) for x, y in zip(a, b)], dtype="int64")
+
+    both = pairs.join(sketches.toDF("u", "n", "a"), "u").join(sketches.toDF("v", "m", "b"), "v")
+    both = both.withColumns({x: F.col(x).cast("long") for x in "nm"}).where(F.least("n", "m") * under >= F.greatest("n", "m") * over)
+    return both.where(least_apart("a", "b") * (under + over) <= (F.col("n") + F.col("m")) * (under - over)).select("u", "v")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+
+
 def _masks() -> list[int]:
     """All differences of one or two bits as signed 64-bit numbers."""
     both = [1 << a for a in range(64)] + [1 << a | 1 << b for a, b in combinations(range(64), 2)]

@@ -574,6 +574,33 @@ def test_near_duplicates_leave_few_files(spark):
     assert spark.conf.get(TIDY) == before
 
 
+def test_sketches_drop_no_link_and_spare_most_lists(spark):
+    rng = np.random.default_rng(5)
+    lists = [np.zeros(0, np.int32)]
+    for size in (1, 5, 60, 64, 65, 300, 1100):
+        base = rng.choice(np.arange(-2**31, 2**31, 97), 2 * size, replace=False).astype(np.int32)
+        lists += [np.sort(base[a:a + n]) for a in (0, size // 20, size // 10, size // 4, size) for n in (size, size * 9 // 10, size * 4 // 5) if n]
+    sketches = [simhash._sketch(x) for x in lists]
+    for x, p in zip(lists, sketches):
+        assert len(p) * 8 <= max(64, 2 * len(x))
+        for y, q in zip(lists, sketches):
+            assert simhash._least_apart(p, q) == simhash._least_apart(q, p) <= len(np.setxor1d(x, y))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(lists)], "fp long, shingles array<int>")
+    pairs = [(a, b) for b in range(len(lists)) for a in range(b)]
+    near = {(a, b) for a, b in pairs if 5 * len(np.intersect1d(lists[a], lists[b])) >= 4 * len(np.union1d(lists[a], lists[b]))}
+    met = spark.createDataFrame(pairs, "u long, v long")
+    possible = {tuple(r) for r in simhash._possible(rows, met).collect()}
+    assert near <= possible and len(possible) < len(near) + len(pairs) // 10
+    assert {tuple(r) for r in simhash._confirmed(rows, met).collect()} == near
+
+
+def test_only_linked_rows_travel_for_their_root(spark):
+    rows = spark.createDataFrame([(5, k, 9, 0, k == 1) for k in (1, 2, -3, 4, 1 + (1 << 25))], "token int, fp long, size int, at int, is_pivot boolean")
+    roots = spark.createDataFrame([(-3, -3), (1, -3)], "fp long, root long")
+    named = simhash._named(rows, roots)
+    assert {(r.fp, r.root) for r in named.collect()} == {(1, -3), (2, 2), (-3, -3), (4, 4), (1 + (1 << 25), 1 + (1 << 25))}
+
+
 def test_only_open_ids_travel(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "c"), (2, "b"), (3, "d"), (None, "e"), (4, "f"), (4, "g")], "doc_id long, text string")
     found = spark.createDataFrame([(1, 1), (2, 2), (2, 2), (3, 1), (None, None), (4, 1), (4, 4)], "doc_id long, component_id long")

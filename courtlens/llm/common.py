@@ -37,6 +37,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def stage_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """One staged table of several of one schema, each written before the next one is asked for."""
+    place = None
+    for df in parts:
+        place = place or shared_folder(df.sparkSession, name)
+        with tidy(df.sparkSession):
+            df.write.mode("append").parquet(place)
+    table = df.sparkSession.read.schema(df.schema).parquet(place)
+    _places[table] = place
+    return table
+
+
 def unstage(*tables: DataFrame) -> None:
     """Deletes the files of staged tables that no later job reads."""
     for table in tables:
@@ -45,6 +57,12 @@ def unstage(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that sorts both: neither is sent whole through the driver. Spark sizes what comes
+    out of an explode or a Python step by what goes in, so that a table many times its threshold looks small."""
+    return df.hint("merge")
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Queries that run inside leave no shuffle files."""

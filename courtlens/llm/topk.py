@@ -6,7 +6,9 @@ still gain is at most the product of the masses remaining on both sides (Cauchy-
 whose best case is below the k-th best worst case are out, and the survivors are compacted.
 
 Query blocks meet candidate blocks through an equality join on the block number, so a task holds
-one pair of blocks of fixed size, and each pair hands on k rows a query.
+one pair of blocks of fixed size, and each pair hands on k rows a query. Every query block travels to
+every candidate block: numbers that fit take two bytes, and the join sorts, since Spark would take the
+copies for one query block and send them all through the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from courtlens.llm.common import pack, stage
+from courtlens.llm.common import merged, pack, stage
 from courtlens.llm.vectors import usable
 
 SCALE = 1024
@@ -31,7 +33,7 @@ _PEAK = np.finfo(np.float64).max
 
 
 def _blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
-    """(block, dim, n, ids, data): ``data`` is dim x n doubles, floors of the scaled components.
+    """(block, dim, n, ids, data): ``data`` is dim x n numbers, floors of the scaled components.
 
     Rows of one id land in one block, where the first by (id, vector) stays. A block holds ``size``
     vectors on average; vectors of different lengths are kept in rows of their own.
@@ -45,13 +47,23 @@ def _blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
             values = np.array(part["vector"].tolist(), dtype=np.float64).reshape(len(part), dim)
             with np.errstate(over="ignore"):
                 data = np.clip(np.floor(values.T * SCALE), -_PEAK, _PEAK)
-            out.append((key[0], dim, len(part), pack(part["id"].to_numpy(np.int64)), pack(data)))
+            out.append((key[0], dim, len(part), pack(part["id"].to_numpy(np.int64)), _narrow(data)))
         return pd.DataFrame(out, columns=["block", "dim", "n", "ids", "data"])
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
     return dealt.groupBy("block").applyInPandas(build, "block int, dim int, n int, ids binary, data binary")
 
 
+def _narrow(data: np.ndarray) -> bytes:
+    """Whole numbers in two bytes each if all of them fit, else as doubles."""
+    return pack(data.astype(np.int16) if np.abs(data).max(initial=0) < 1 << 15 else data)
+
+
+def _wide(raw: bytes, dim: int, n: int) -> np.ndarray:
+    kind = np.int16 if len(raw) == 2 * dim * n else np.float64
+    return np.frombuffer(raw, dtype=kind).reshape(dim, n).astype(np.float64)
+
+
 def best_of_block(query: np.ndarray, data: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the k highest inner products of one query with the columns of ``data``,
     ties to the smaller id; all columns if there are no more than k."""
@@ -90,9 +102,9 @@ def _meet(k: int):
         out = []
         for row in frame.itertuples(index=False):
             ids = np.frombuffer(row.ids, dtype=np.int64)
-            data = np.frombuffer(row.data, dtype=np.float64).reshape(row.dim, row.n)
+            data = _wide(row.data, row.dim, row.n)
             asked = np.frombuffer(row.q_ids, dtype=np.int64)
-            queries = np.frombuffer(row.q_data, dtype=np.float64).reshape(row.dim, row.q_n)
+            queries = _wide(row.q_data, row.dim, row.q_n)
             place = {i: p for p, i in enumerate(ids.tolist())}
             peak = float(np.abs(data).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, row.dim)
             square = max(float(np.abs(data).max(initial=0)), float(np.abs(queries).max(initial=0))) ** 2 * max(1, row.dim)
@@ -124,7 +136,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_column: str = "ve
     queries = _blocks(rows.where("asks").select("id", "vector"), QUERIES, sizes["asked"]).select(
         F.col("block").alias("q_block"), "dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"))
-    met = candidates.join(queries, ["block", "dim"]).groupBy("block", "dim", "q_block").applyInPandas(
+    met = candidates.join(merged(queries), ["block", "dim"]).groupBy("block", "dim", "q_block").applyInPandas(
         _meet(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

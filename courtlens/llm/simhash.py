@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from courtlens.llm.common import bit_map, is_set, sliced, stage, tidy, unstage, words_of
+from courtlens.llm.common import bit_map, is_set, merged, sliced, stage, tidy, unstage, words_of
 from courtlens.llm.components import components
 
 SHINGLE = 3
@@ -238,7 +238,7 @@ def _meeting(cut: DataFrame, bits: int) -> DataFrame:
     variants = _variants(cut)
     left = variants.where("whole OR own = 0").select(F.col("fp").alias("u"), "key")
     right = variants.where("whole OR own = 1").select(F.col("fp").alias("v"), "key")
-    return left.join(right, "key").where((F.col("u") != F.col("v")) & (_distance("u", "v") <= bits)).select("u", "v")
+    return left.join(merged(right), "key").where((F.col("u") != F.col("v")) & (_distance("u", "v") <= bits)).select("u", "v")
 
 
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -257,9 +257,9 @@ def _near_prints(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     fingerprint, and the first lists of linked fingerprints. Candidates only, for ``_confirmed``."""
     lists = stage(rows.select("print", "fp").distinct(), "prints")
     firsts = stage(lists.groupBy("print").agg(F.min("fp").alias("first")), "firsts")
-    same = lists.join(firsts, "print").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+    same = lists.join(merged(firsts), "print").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
     linked = links(firsts.select(F.col("print").alias("fp")), crowd).distinct()
-    ends = linked.join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v").where("a <> b")
+    ends = linked.join(merged(firsts.toDF("u", "a")), "u").join(merged(firsts.toDF("v", "b")), "v").where("a <> b")
     return same.union(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
 
@@ -286,7 +286,7 @@ def _similar(rows: DataFrame) -> DataFrame:
     # The pivot is the text with the fewest rarer shingles: what near copies were made from has none of
     # their edits, so they link to it where they may not link to one another.
     bounds = placed.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("at", "fp", "size")).alias("p")).where("n > 1")
-    met = stage(placed.join(bounds.select("token", F.col("p.fp").alias("pivot"), "p", (F.col("n") > 2).alias("many")), "token"), "met")
+    met = stage(placed.join(merged(bounds.select("token", F.col("p.fp").alias("pivot"), "p", (F.col("n") > 2).alias("many"))), "token"), "met")
     unstage(placed)
     star = met.where(F.col("fp") != F.col("pivot")).where(_may_be_similar("p.size", "p.at", "size", "at")).select(
         F.least("fp", "pivot").alias("u"), F.greatest("fp", "pivot").alias("v"))
@@ -297,10 +297,10 @@ def _similar(rows: DataFrame) -> DataFrame:
     unstage(met)
     # A pair of different groups has a side that is not of the pivot's group; that side is the left one.
     split = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.when(F.col("is_pivot"), F.col("root"))).alias("main"))
-    open_rows = named.join(split.where("a <> b").select("token", "main"), "token")
+    open_rows = named.join(merged(split.where("a <> b").select("token", "main")), "token")
     left = open_rows.where("root <> main").select("token", *[F.col(c).alias(f"l_{c}") for c in ("fp", "size", "at", "root")])
     right = open_rows.select("token", "fp", "size", "at", "root", (F.col("root") == F.col("main")).alias("of_main"))
-    apart = left.join(right, "token").where((F.col("l_root") != F.col("root")) & (F.col("of_main") | (F.col("l_fp") < F.col("fp"))))
+    apart = left.join(merged(right), "token").where((F.col("l_root") != F.col("root")) & (F.col("of_main") | (F.col("l_fp") < F.col("fp"))))
     rest = apart.where(_may_be_similar("l_size", "l_at", "size", "at")).select(
         F.least("l_fp", "fp").alias("u"), F.greatest("l_fp", "fp").alias("v"))
     second = _confirmed(rows, rest)
@@ -318,7 +318,7 @@ def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
         return pd.Series(is_set(bits.value, fps.to_numpy()))
 
     linked = is_linked("fp")
-    found = rows.where(linked).join(roots, "fp", "left").select(*rows.columns, F.coalesce("root", "fp").alias("root"))
+    found = rows.where(linked).join(merged(roots), "fp", "left").select(*rows.columns, F.coalesce("root", "fp").alias("root"))
     return rows.where(~linked).withColumn("root", F.col("fp")).unionByName(found)
 
 
@@ -338,8 +338,8 @@ def _confirmed(rows: DataFrame, met: DataFrame) -> DataFrame:
     candidates = stage(met.select("u", "v").distinct(), "candidates")
     pairs = stage(_possible(rows, candidates), "possible")
     asked = _ends(pairs)
-    lists = _only(rows, asked).join(asked, "fp", "left_semi").dropDuplicates(["fp"])
-    both = pairs.join(lists.toDF("u", "a"), "u").join(lists.toDF("v", "b"), "v")
+    lists = _only(rows, asked).join(merged(asked), "fp", "left_semi").dropDuplicates(["fp"])
+    both = pairs.join(merged(lists.toDF("u", "a")), "u").join(merged(lists.toDF("v", "b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared * under >= over * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
@@ -348,13 +348,13 @@ def _possible(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) but those whose sizes or sketches tell that too few of their shingles are shared."""
     over, under = NEAR
     asked = _ends(pairs)
-    sketches = _sketches(_only(rows, asked)).join(asked, "fp", "left_semi").dropDuplicates(["fp"])
+    sketches = _sketches(_only(rows, asked)).join(merged(asked), "fp", "left_semi").dropDuplicates(["fp"])
 
     @F.pandas_udf("long")
     def least_apart(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_least_apart(x, y) for x, y in zip(a, b)], dtype="int64")
 
-    both = pairs.join(sketches.toDF("u", "n", "a"), "u").join(sketches.toDF("v", "m", "b"), "v")
+    both = pairs.join(merged(sketches.toDF("u", "n", "a")), "u").join(merged(sketches.toDF("v", "m", "b")), "v")
     both = both.withColumns({x: F.col(x).cast("long") for x in "nm"}).where(F.least("n", "m") * under >= F.greatest("n", "m") * over)
     return both.where(least_apart("a", "b") * (under + over) <= (F.col("n") + F.col("m")) * (under - over)).select("u", "v")
 
@@ -373,7 +373,7 @@ def _look_up(crowd: DataFrame, fps: DataFrame) -> DataFrame:
     """Pairs of crowded fingerprints with any other, by looking up every possible neighbour."""
     masks = F.broadcast(fps.sparkSession.createDataFrame([(_masks(),)], "masks array<long>"))
     asked = crowd.select(F.col("fp").alias("u")).distinct().join(masks).select("u", F.explode("masks").alias("mask"))
-    return asked.select("u", F.col("u").bitwiseXOR(F.col("mask")).alias("v")).join(fps.select(F.col("fp").alias("v")), "v").select("u", "v")
+    return asked.select("u", F.col("u").bitwiseXOR(F.col("mask")).alias("v")).join(merged(fps.select(F.col("fp").alias("v"))), "v").select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -390,11 +390,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def _grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(edges)
-    joined = classes.join(roots, classes["fp"] == roots["node"], "left").select(
+    joined = classes.join(merged(roots), classes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(joined.join(smallest, "root").select("fp", "component_id", "root"), "named")
-    return rows.join(named, "fp").select("doc_id", _digits("fp").alias("fingerprint"), "component_id", _digits("root").alias("group"))
+    named = stage(joined.join(merged(smallest), "root").select("fp", "component_id", "root"), "named")
+    return rows.join(merged(named), "fp").select("doc_id", _digits("fp").alias("fingerprint"), "component_id", _digits("root").alias("group"))
 
 
 def _digits(fp: str) -> Column:
@@ -420,8 +420,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows = docs.where(F.col(id_column).isNull())
     texts = _shingles(rows.select(text_column).distinct(), text_column, text_column).select(
         F.col("doc_id").alias("__text"), _digits("fp").alias("__fp"))
-    least = texts.join(nameless, "__fp").groupBy("__group").agg(F.min("__text").alias("__text"))
-    return chosen.unionByName(_one_each(rows.join(least, rows[text_column].eqNullSafe(least["__text"]), "left_semi"), text_column, id_column))
+    least = texts.join(merged(nameless), "__fp").groupBy("__group").agg(F.min("__text").alias("__text"))
+    return chosen.unionByName(_one_each(rows.join(merged(least), rows[text_column].eqNullSafe(least["__text"]), "left_semi"), text_column, id_column))
 
 
 def _kept(docs: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -439,7 +439,7 @@ def _kept(docs: DataFrame, found: DataFrame, id_column: str, text_column: str) -
     named = docs.where(F.col(id_column).isNotNull())
     is_open = open_id(F.xxhash64(id_column))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    several = named.where(is_open).join(kept, F.col(id_column) == F.col("__kept"), "left_semi")
+    several = named.where(is_open).join(merged(kept), F.col(id_column) == F.col("__kept"), "left_semi")
     return named.where(~is_open).unionByName(_one_each(several, id_column, text_column))
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from courtlens.llm.common import UPPER, bit_map, is_set, stage
+from courtlens.llm.common import UPPER, bit_map, is_set, merged, stage
 
 #: What a run of letters is, and how often a text's runs lose a letter (see ``runs``).
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
@@ -207,7 +207,7 @@ def near(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     first = F.floor(F.char_length("a") / 2).cast("int")
     again = F.col("back") & (F.substring(F.col("a"), F.lit(1), first) == F.substring(F.col("b"), F.lit(1), first))
     once = ~F.col("alike") | (F.col("a") < F.col("b"))
-    return questions.join(answers, "key").where(once & ~again & (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "n_a", "n_b")
+    return questions.join(merged(answers), "key").where(once & ~again & (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "n_a", "n_b")
 
 
 # ---- groups --------------------------------------------------------------------------------------
@@ -219,7 +219,7 @@ def forms(words: DataFrame, pairs: DataFrame) -> DataFrame:
     sides = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("n_other")).union(
         pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("n_other")))
     best = sides.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_other")).alias("less"), "other")).alias("best"))
-    joined = words.join(best, "word", "left")
+    joined = words.join(merged(best), "word", "left")
     ahead = -F.col("best.less") >= AHEAD * F.col("n")
     return joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                          F.when(ahead, F.col("best.other")).alias("form"), F.when(ahead, -F.col("best.less")).alias("form_n"))
@@ -234,12 +234,12 @@ def rooted(table: DataFrame) -> DataFrame:
     current = stage(table.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "forms")
     while True:
         step = current.toDF("root", "next")
-        moved = current.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        moved = current.join(merged(step), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         moved = stage(moved, "roots")
         current = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             break
-    return table.join(current, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return table.join(merged(current), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", symbols: int = SYMBOLS,

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import sys
 import time
 import zlib
 
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from courtlens.llm import katz, language, licenses, mixing, packing, pii, simhash
+from courtlens.llm import katz, language, licenses, mixing, packing, pii, simhash, variants
 from courtlens.llm.common import TIDY, bit_map, is_set, remainder, words_of
 from courtlens.llm.components import components
 from courtlens.llm.queries import vocabulary
@@ -256,6 +257,44 @@ def test_fingerprints_equal_plain_ones():
         assert simhash.fingerprint(text) % (1 << 64) == naive_fingerprint(text)
 
 
+def plans_of(monkeypatch, module):
+    """Plans of what the module and the components stage from now on."""
+    plans = []
+    for where in (module, sys.modules[components.__module__]):
+        def spied(df, name, staged=where.stage):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return staged(df, name)
+
+        monkeypatch.setattr(where, "stage", spied)
+    return plans
+
+
+def test_no_side_of_a_join_of_fingerprints_goes_through_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 3 * 50 + k) % 997}" for k in range(60)) + f" {i}") for i in range(60)], "doc_id long, text string")
+    plans = plans_of(monkeypatch, simhash)
+    plans.append(simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_no_side_of_a_join_of_shingles_goes_through_the_driver(spark, monkeypatch):
+    words = [[f"w{g}x{k}" for k in range(80)] for g in range(8)]
+    docs = spark.createDataFrame([(8 * n + g, " ".join(w[:40] + [f"v{n}"] + w[40:])) for n in range(4) for g, w in enumerate(words)], "doc_id long, text string")
+    plans = plans_of(monkeypatch, simhash)
+    kept = simhash.keep_one(docs)
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans) and sorted(r.doc_id for r in kept.collect()) == list(range(8))
+
+
+def test_no_side_of_a_join_of_words_goes_through_the_driver(spark, documents, monkeypatch):
+    words = spark.createDataFrame([("linkea", 3), ("linkeb", 8), ("linkxb", 20)], "word string, n long")
+    near = variants.near(words)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString() and near.count() == 2
+    plans = plans_of(monkeypatch, variants)
+    out = variants.variants(documents([(1, "linkea " * 3 + "linkeb " * 8 + "linkxb " * 20)]))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans) and out.count() == 3
+
+
 @pytest.mark.parametrize("crowd", [simhash.CROWD, 3])
 def test_links_equal_all_pairs(spark, crowd):
     rng = np.random.default_rng(5)

@@ -11,7 +11,7 @@ from courtlens.queries.base import cte, player_table, query, r6, rounded, sql_r6
 from courtlens.queries.match_table import requests
 from courtlens.queries.scoring import TRAIN_UNTIL, VALIDATE_UNTIL
 from courtlens.queries import serving as _serving  # noqa: F401  (registers the request rows)
-from courtlens.session import cut_lineage
+from courtlens.session import cut_lineage, passing, tidy
 from courtlens.sources import tables
 
 # ---- checking SQL: styles -----------------------------------------------------------------------
@@ -120,13 +120,15 @@ def stored(spark, folder):
         places = tuple(tables.shared_folder(spark, name) for name in ("history", "windows", "model"))
         split = orient.temporal_split(F.col("tourney_date"), TRAIN_UNTIL, VALIDATE_UNTIL)
         counts = player_table(spark, folder).select(*_ROW, *_COUNTS)
-        own = cut_lineage(features.own_features(counts).select(*_ROW, *_COUNTS, *_OWN))
-        looks = styles.fit(own.where(split == "train"), stage=lambda d: d)
-        faced = features.with_opponent_skills(looks.add(own), more=["player_style_cluster"])
-        faced.select(*_ROW, *_COUNTS, *_OWN, *_FACED).write.parquet(places[0])
+        with passing(spark), tidy(spark):
+            own = cut_lineage(features.own_features(counts).select(*_ROW, *_COUNTS, *_OWN))
+            looks = styles.fit(own.where(split == "train"), stage=lambda d: d)
+            faced = features.with_opponent_skills(looks.add(own), more=["player_style_cluster"])
+            faced.select(*_ROW, *_COUNTS, *_OWN, *_FACED).write.parquet(places[0])
 
         def keep(rows):
-            rows.write.parquet(places[1])
+            with tidy(spark):
+                rows.write.parquet(places[1])
             return spark.read.parquet(places[1])
 
         fitted = discriminant.fit(spark.read.parquet(places[0]), split, fitted=looks, derive=_history, stage=keep)

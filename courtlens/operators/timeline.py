@@ -144,6 +144,15 @@ def with_day_state(df: DataFrame, state: DataFrame, keys: Sequence[str], day: st
     return df.join(state.hint("merge"), [*keys, day], "left")
 
 
+def among(df: DataFrame, wanted: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """The rows of ``df`` whose keys are in ``wanted``, a stored table without repeated keys. A few keys go to every
+    task, so that no other row is shuffled; they are counted first, and many are joined by a shuffle. Null keys meet."""
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    named = wanted.withColumnsRenamed({k: f"_wanted_{k}" for k in keys})
+    same = [df[k].eqNullSafe(named[f"_wanted_{k}"]) for k in keys]
+    return df.join(F.broadcast(named) if few else named, same, how).drop(*[f"_wanted_{k}" for k in keys])
+
+
 def in_ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """``df`` in contiguous ranges of a total order, numbered from below by ``_range``.
 

@@ -1,9 +1,9 @@
 """Features of requested matches, fetched by key: each request finds its place, then a few rows.
 
-Rows of the players that the requests name are numbered by career. A request looks up the number
-its player had reached before its date and joins the thirty rows up to it, so the work follows the
-requests, not the history. Two sources of features are scored: the newest stored row of a pair
-(frozen) and the state as of the request's date (fresh).
+A request looks up the career number that its player had reached before its date, from the players'
+days alone. Only rows of the days that hold the thirty rows up to it are read with their values,
+numbered and joined, so the work follows the requests, not the history. Two sources of features are
+scored: the newest stored row of a pair (frozen) and the state as of the request's date (fresh).
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from courtlens.functions import rates
 from courtlens.functions.categories import one_hot_surfaces
 from courtlens.operators.asof import asof_join
-from courtlens.operators.timeline import before_each_day, with_day_state
+from courtlens.operators.timeline import among, before_each_day
 from courtlens.plans import features
 from courtlens.plans.discriminant import FIELDS, MEAN, Model
 from courtlens.plans.scoring import STYLE_INPUT, style_matchup
+from courtlens.session import cut_lineage
 
 LONGEST = 30
 REQUEST = ("request_id", "player", "opponent", "tourney_date", "surface")
@@ -29,12 +30,18 @@ def both_sides(requests: DataFrame) -> DataFrame:
     return requests.select(*REQUEST, F.lit(1).alias("side")).unionByName(turned.withColumn("side", F.lit(2)))
 
 
-def with_career_number(history: DataFrame) -> DataFrame:
-    """1 for a player's first row, 2 for the next, ...: rows per day are summed, and numbered within days."""
-    days = before_each_day(history, ["player"], features.DAY, {"_n": F.count(F.lit(1))}, lambda w: {"_before": F.coalesce(F.sum("_n").over(w), F.lit(0))})
+def career_days(history: DataFrame) -> DataFrame:
+    """(player, day, _before, _through): how many rows the player had before and by the end of each day."""
+    count = {"_n": F.count(F.lit(1))}
+    days = before_each_day(history, ["player"], features.DAY, count, lambda w: {"_before": F.coalesce(F.sum("_n").over(w), F.lit(0)), "_n": F.col("_n")})
+    return days.select("player", features.DAY, "_before", (F.col("_before") + F.col("_n")).alias("_through"))
+
+
+def with_career_number(rows: DataFrame) -> DataFrame:
+    """1 for a player's first row, 2 for the next, ...: rows of whole days, numbered within them after ``_before``."""
     inside = F.row_number().over(Window.partitionBy("player", features.DAY).orderBy("match_num"))
-    return with_day_state(history.withColumn("_inside", inside), days, ["player"], features.DAY).withColumn(
-        "career_no", F.col("_before") + F.col("_inside")).drop("_inside", "_before")
+    number = F.when(F.col(features.DAY).isNotNull(), F.col("_before") + inside)
+    return rows.withColumn("career_no", number).drop("_before")
 
 
 def request_values(history: DataFrame, sides: DataFrame, model: Model) -> DataFrame:
@@ -45,9 +52,16 @@ def request_values(history: DataFrame, sides: DataFrame, model: Model) -> DataFr
     """
     named = sides.select("player").union(sides.select("opponent")).distinct()
     known = history.select("player").distinct().join(named, "player", "left_semi").withColumn("_known", F.lit(True))
-    own = with_career_number(model.styles.add(history.join(named, "player", "left_semi")))
-    placed = asof_join(sides, own, left_key="player", right_key="player", day=features.DAY, number="match_num",
-                       values=["career_no"], prefix="_", mode="before")
+    days = cut_lineage(career_days(history.select("player", features.DAY).join(named, "player", "left_semi")))
+    dated = days.withColumn("career_no", F.when(F.col(features.DAY).isNotNull(), F.col("_through"))).withColumn("_one", F.lit(1))
+    ends = sides.select("player", features.DAY).union(sides.select("opponent", features.DAY)).distinct()
+    ends = cut_lineage(asof_join(ends, dated, left_key="player", right_key="player", day=features.DAY, number="_one",
+                                 values=["career_no", "_through"], prefix="_", mode="before"))
+    placed = sides.join(ends.drop("__through"), ["player", features.DAY], "left")
+    reached = ends.select("player", F.col("__through").alias("_reached")).where("_reached IS NOT NULL").distinct()
+    near = (F.col("_before") < F.col("_reached")) & (F.col("_through") > F.col("_reached") - LONGEST)
+    wanted_days = cut_lineage(days.join(reached, "player").where(near).select("player", features.DAY, "_before").distinct())
+    own = cut_lineage(with_career_number(model.styles.add(among(history, wanted_days, ["player", features.DAY]))))
     faced = asof_join(placed, own, left_key="opponent", right_key="player", day=features.DAY, number="match_num",
                       values=["serve_skill", "return_skill", "player_style_cluster"], prefix="_opp_", mode="before")
     wanted = placed.where("_career_no IS NOT NULL").select(
@@ -109,7 +123,8 @@ def frozen(samples: DataFrame, requests: DataFrame, model: Model) -> DataFrame:
     """
     pair = [F.least("player", "opponent").alias("a"), F.greatest("player", "opponent").alias("b")]
     asked = requests.select("request_id", *pair, (F.col("player") > F.col("opponent")).alias("swapped"))
-    one = model.score(samples).select(*pair, "tourney_date", "match_num", (F.col("player") < F.col("opponent")).alias("first"), "prob")
+    met = among(samples.withColumns(dict(zip("ab", pair))), cut_lineage(asked.select("a", "b").distinct()), ["a", "b"], "left_semi")
+    one = model.score(met).select("a", "b", "tourney_date", "match_num", (F.col("player") < F.col("opponent")).alias("first"), "prob")
     meeting = one.groupBy("a", "b", "tourney_date", "match_num").agg(
         F.max(F.when(F.col("first"), F.col("prob"))).alias("p"), F.max(F.when(~F.col("first"), F.col("prob"))).alias("q")).where("p IS NOT NULL AND q IS NOT NULL")
     newest = meeting.groupBy("a", "b").agg(F.max_by(F.struct("p", "q", "match_num"), F.struct("tourney_date", "match_num")).alias("s"))

@@ -139,3 +139,18 @@ def test_fit_from_own_rows_equals_fit_from_the_feature_table(spark, fitted):
     assert not [c for c in kept[0] if "square" in c]
     assert np.allclose([other.model.weights[n] for n in discriminant.NAMES], [fit.model.weights[n] for n in discriminant.NAMES])
     assert other.model.intercept == pytest.approx(fit.model.intercept)
+
+
+def test_only_rows_near_a_request_are_read_with_their_values(spark, fitted, monkeypatch):
+    table, model = history(spark), fitted[1].model
+    sent, among = [], asked.among
+    monkeypatch.setattr(asked, "among", lambda *a: sent.append(among(*a)) or sent[-1])
+    rows = spark.createDataFrame([(1, "p0", "p1", 20200120, "Hard"), (2, "p2", "p3", 20200110, None), (3, "p4", "nobody", 20200103, "Clay")],
+                                 "request_id int, player string, opponent string, tourney_date int, surface string")
+    sides = asked.both_sides(rows)
+    both = {(r.request_id, r.side): tuple(r) for r in asked.request_values(table, sides, model).collect()}
+    read = sent[0].select("player", "tourney_date").collect()
+    days = {(r.player, r.tourney_date) for r in read}
+    assert len(read) < 300 < table.count() and {p for p, _ in days} == {"p0", "p1", "p2", "p3", "p4"}
+    one = asked.request_values(table, sides.where("side = 1"), model).collect()
+    assert all(tuple(r) == both[r.request_id, 1] for r in one) and len(one) == 3 and both[3, 1][-1] == asked.UNKNOWN

@@ -322,9 +322,11 @@ def drawdown(path: DataFrame, keys: Sequence[str], start: float = START) -> Data
     return at.groupBy(*keys).agg(F.max(F.greatest("_peak", "_before") - F.col("bankroll")).alias("max_drawdown"))
 
 
-def summary(path: DataFrame, keys: Sequence[str], totals: DataFrame, total_keys: Sequence[str], start: float = START) -> DataFrame:
-    """Backtest summary per path; ``totals`` has the number of matches per ``total_keys``."""
-    path = cut_lineage(path)  # read for the totals and twice for the drawdown
+def summary(path: DataFrame, keys: Sequence[str], totals: DataFrame, total_keys: Sequence[str], start: float = START,
+            stage=cut_lineage) -> DataFrame:
+    """Backtest summary per path; ``totals`` has the number of matches per ``total_keys``. ``stage`` stores
+    the path; one that is stored already needs none."""
+    path = stage(path)  # read for the totals and twice for the drawdown
     base = path.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_bets_placed"), F.count_if("won").alias("bets_won"),
         F.count_if(~F.col("won")).alias("bets_lost"), F.avg(F.col("won").cast("double")).alias("win_rate"),

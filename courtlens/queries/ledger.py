@@ -22,8 +22,8 @@ def with_odds(spark, folder):
     return ledger.oriented_odds(preds, derived.odds(spark, folder)).withColumn("season", dates.year_of(F.col("tourney_date")))
 
 
-def bets(spark, folder, temperatures=(1.2,)):
-    return ledger.chosen_bets(ledger.with_temperatures(with_odds(spark, folder), temperatures))
+def bets(spark, folder, temperatures=(1.2,), odds=None):
+    return ledger.chosen_bets(ledger.with_temperatures(with_odds(spark, folder) if odds is None else odds, temperatures))
 
 
 cte("priced", ("scored",), """
@@ -86,8 +86,8 @@ def _(spark, folder):
     return rounded(ledger.with_temperatures(with_odds(spark, folder), TEMPERATURES), ["match_num", "temperature"], ["prob_one"])
 
 
-def path(spark, folder, block=ledger.BLOCK):
-    numbered = ledger.numbered_bets(bets(spark, folder), ["season", "temperature"])
+def path(spark, folder, block=ledger.BLOCK, odds=None):
+    numbered = ledger.numbered_bets(bets(spark, folder, odds=odds), ["season", "temperature"])
     staked = ledger.with_strategies(numbered, ALL)
     return ledger.bankroll_path(staked, PATH, block=block)
 
@@ -120,9 +120,12 @@ JOIN (SELECT season, strategy, bet_number, won FROM placed) w USING (season, str
 """)
 
 
-def summaries(spark, folder, paths=None):
-    totals = with_odds(spark, folder).groupBy("season").agg(F.count(F.lit(1)).alias("num_total_matches"))
-    return ledger.summary(path(spark, folder) if paths is None else paths, PATH, totals, ["season"])
+def summaries(spark, folder, paths=None, odds=None):
+    """``paths`` and ``odds`` are stored tables, if given."""
+    totals = (with_odds(spark, folder) if odds is None else odds).groupBy("season").agg(F.count(F.lit(1)).alias("num_total_matches"))
+    if paths is None:
+        return ledger.summary(path(spark, folder), PATH, totals, ["season"])
+    return ledger.summary(paths, PATH, totals, ["season"], stage=lambda d: d)
 
 
 @query("e27_backtest_summary", "summaries", f"SELECT season, strategy, num_bets_placed, bets_won, bets_lost, num_total_matches, {sql_r6(*_SUMMARY)} FROM summaries")
@@ -159,9 +162,9 @@ LEFT JOIN (SELECT season, temperature, arg_max(bankroll, bet_number) - 100 AS pr
 _TEMP = ["profit", "roi", "hit_rate", "avg_edge", "max_drawdown"]
 
 
-def temperature_table(spark, folder):
+def temperature_table(spark, folder, odds=None):
     keys = ["season", "temperature"]
-    candidates = ledger.with_temperatures(with_odds(spark, folder), TEMPERATURES)
+    candidates = ledger.with_temperatures(with_odds(spark, folder) if odds is None else odds, TEMPERATURES)
     staked = ledger.with_strategies(ledger.chosen_bets(candidates), ["quarter_kelly"], share_cap=0.02, amount_cap=100.0)
     return ledger.temperature_table(candidates, ledger.bankroll_path(staked, keys), keys)
 

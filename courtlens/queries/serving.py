@@ -10,11 +10,11 @@ from courtlens.operators.joins import ROW_KEYS
 from courtlens.plans import bookmaker, features, scoring, serve
 from courtlens.queries.base import cte, dual, match_table, player_table, query, r6, rounded, sql_r6
 from courtlens.queries.history import rated, served, skilled
-from courtlens.queries.ledger import summaries, temperature_table, path, PATH
+from courtlens.queries.ledger import summaries, temperature_table, path, with_odds, PATH
 from courtlens.queries.match_table import requests
 from courtlens.queries.pasted import typed
 from courtlens.queries.scoring import predictions
-from courtlens.session import cut_lineage
+from courtlens.session import cut_from, cut_lineage, passing
 from courtlens.sources import tables
 
 
@@ -81,7 +81,10 @@ def _(spark, folder):
 
 
 def custom_rows(spark, folder):
-    newest = pasted.newest_valid(typed(spark, folder), by="player_name").filter("enough")
+    shown = typed(spark, folder).select(
+        "player_name", "opponent", "match_date", "row_index", "surface", "result", "first_in", "first_won", "second_won", "return_pct",
+        "break_points_saved", "is_valid")
+    newest = pasted.newest_valid(shown, by="player_name").filter("enough")
     counts = pasted.estimated_counts(newest)
     return counts.select(
         F.col("player_name").alias("player"), "opponent", F.date_format("match_date", "yyyyMMdd").cast("int").alias("tourney_date"),
@@ -321,8 +324,11 @@ def _(spark, folder):
 
 def _reports(spark, folder):
     place = tables.shared_folder(spark, "reports")
-    paths = cut_lineage(path(spark, folder))  # read for the summaries and for the curves
-    tables.export_reports(summaries(spark, folder, paths), temperature_table(spark, folder), ledger.equity_curve(paths, PATH), place)
+    with passing(spark):
+        odds = cut_lineage(with_odds(spark, folder))  # read for the bets, the candidates and the totals
+        compared = cut_from(spark, lambda: temperature_table(spark, folder, odds))
+        paths = cut_from(spark, lambda: path(spark, folder, odds=odds))  # read for the summaries and for the curves
+        tables.export_reports(summaries(spark, folder, paths, odds), compared, ledger.equity_curve(paths, PATH), place)
     return place
 
 

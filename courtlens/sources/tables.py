@@ -202,7 +202,7 @@ def export_reports(summaries: DataFrame, temperatures: DataFrame, equity: DataFr
     extra = [c for c in ("season", "num_total_matches") if c in summaries.columns]
     summaries.select(*extra, *SUMMARY_FIELDS).write.mode("overwrite").json(f"{path}/summary")
     temperatures.write.mode("overwrite").json(f"{path}/temperatures")
-    equity.write.mode("overwrite").json(f"{path}/equity")
+    equity.write.mode("overwrite").json(f"{path}/equity", compression="gzip")  # a row for every bet
 
 
 SUMMARY_SCHEMA = ("season int, num_total_matches bigint, strategy string, num_bets_placed bigint, bets_won bigint, bets_lost bigint, "

@@ -80,3 +80,18 @@ def test_lines_are_cleaned_once_per_text(texts):
     plan = maps._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 4  # twelve when the lines and the labels of a header were worked out at every use
     assert {r.doc_id for r in maps.collect()} == {1}
+
+
+def test_trimming_is_what_the_pattern_does(spark):
+    odd = [None, "", " ", "\t a  b \x0b\f\r", "a \n", " a  ", "a \u0085", " ", " a  ", " \r", "a\r\n", "a   "]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    b = pasted.BLANK
+    row = lambda *c: [tuple(r) for r in df.select(*c).collect()]
+    t = F.col("t")
+    assert row(pasted.stripped(t), pasted._right_stripped(t), pasted._left_stripped(t), pasted._single_spaced(t)) == row(
+        F.regexp_replace(t, f"^{b}+|{b}+$", ""), F.regexp_replace(t, f"{b}+$", ""), F.regexp_replace(t, f"^{b}+", ""), F.regexp_replace(t, " +", " "))
+
+
+def test_lines_are_read_once_for_the_newest(texts):
+    plan = pasted.newest_valid(pasted.typed_matches(texts))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "regexp" not in plan

@@ -76,7 +76,7 @@ def test_blocks_are_not_copied_for_every_pair(spark, monkeypatch):
         return staged((plans.append(df._jdf.queryExecution().executedPlan().toString()) or df for df in parts), name)
 
     monkeypatch.setattr(covertree, "stage_parts", spied)
-    monkeypatch.setattr(covertree, "HELD", 20_000)
+    monkeypatch.setattr(covertree, "HELD", 5_000)
     before = spark.conf.get(covertree._ROWS)
     assert sorted(map(tuple, covertree.near_duplicates(vectors(spark, rows)).collect())) == expected
     assert len(plans) > 3 and not any("Exchange" in p or "Join" in p for p in plans) and spark.conf.get(covertree._ROWS) == before

@@ -1,9 +1,13 @@
 import json
+import os
 
 import pytest
 
+from courtlens import session
 from courtlens.functions import dates
-from courtlens.operators import orient
+from courtlens.operators import ledger, orient
+from courtlens.queries import all_queries  # noqa: F401  (registers all building blocks in order)
+from courtlens.queries import ledger as ledger_queries, scoring as scoring_queries, serving, stored_model
 from courtlens.sources import documents, tables
 from pyspark.sql import functions as F
 
@@ -114,3 +118,45 @@ def test_column_contract(spark):
     assert (rows["a"].present, rows["a"].fits, rows["a"].filled) == (True, True, 1)
     assert (rows["b"].found, rows["b"].fits, rows["b"].filled) == ("int", False, 2)
     assert (rows["c"].present, rows["c"].found, rows["c"].fits, rows["c"].filled) == (False, None, False, 0)
+
+
+def _cut(spark):
+    return {f for f in os.listdir(os.path.dirname(tables.shared_folder(spark, "none")).removeprefix("file:")) if f.startswith("cut-")}
+
+
+def test_tables_on_the_way_go_and_shuffle_files_too(spark, monkeypatch):
+    already, seen, before = _cut(spark), [], spark.conf.get(session.TIDY)
+    rows = spark.range(10)
+
+    def build():
+        first = session.cut_lineage(rows.selectExpr("id", "id % 3 AS k"))
+        seen.append(spark.conf.get(session.TIDY))
+        return first.groupBy("k").count()
+
+    with session.passing(spark):
+        kept = session.cut_from(spark, build)
+        assert len(_cut(spark) - already) == 1 and sorted(r["count"] for r in kept.collect()) == [3, 3, 4]
+    assert _cut(spark) == already and spark.conf.get(session.TIDY) == before == seen[0]
+    with pytest.raises(ValueError):
+        session.cut_from(spark, lambda: int("x"))
+    assert not session._open
+
+
+def test_reports_leave_no_tables_behind(spark, folder):
+    already = _cut(spark)
+    place = serving._reports(spark, folder).removeprefix("file:")
+    assert _cut(spark) == already and any(f.endswith(".json.gz") for f in os.listdir(f"{place}/equity"))
+    assert tables.read_equity(spark, place).count() == ledger.equity_curve(ledger_queries.path(spark, folder), ledger_queries.PATH).count()
+
+
+def test_the_unscaled_feature_rows_are_all_that_stays(spark, folder):
+    already = _cut(spark)
+    scoring_queries.feature_table(spark, folder)
+    assert len(_cut(spark) - already) == 1
+
+
+def test_stored_model_keeps_only_its_tables(spark, folder):
+    stored_model._STORED.pop((spark.sparkContext.applicationId, folder), None)
+    already = _cut(spark)
+    stored_model.stored(spark, folder)
+    assert _cut(spark) == already
